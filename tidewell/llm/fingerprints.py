@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.common import mix64
 
-LEAST, NORMAL, MOST = 24, 64, 255
-#: Bits of the gear hash that must be zero: a chunk ends with probability 1/128 a byte at first, then 1/16.
-LOOSE = np.uint32(0xF0000000)
-STRICT = np.uint32(0xFE000000)
+LEAST, NORMAL, MOST = 12, 32, 128
+#: Bits of the gear hash that must be zero: a chunk ends with probability 1/64 a byte at first, then 1/8.
+LOOSE = np.uint32(0xE0000000)
+STRICT = np.uint32(0xFC000000)
 GEAR = (mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
 
 

@@ -15,7 +15,7 @@ WINDOW = 8
 #: Ratio: least distance from the median at which it can fail, in per mille.  A bound lies at the median plus SPREAD times
 #: the distance from the lower decile to the median, or plus this if that is more; so up to half of a group may be
 #: bad without moving its bound far.
-RATIOS = {"symbols": 50, "dup_lines": 250, "repeats": 200, "shouting": 250, "long_words": 150}
+RATIOS = {"symbols": 50, "dup_lines": 250, "echoes": 100, "shouting": 250, "long_words": 150}
 SPREAD = 4
 #: Groups of fewer documents use the sketch of all sources of their language, merged.
 LEAST_GROUP = 30
@@ -28,7 +28,7 @@ def _pairs(h: Column, gap: int) -> Column:
 
 def measures(docs: DataFrame, *keep: str) -> DataFrame:
     """Columns `keep` of docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and, for the rules, n_upper (A-Z),
-    n_lines and n_long (words of more than 18 characters) of each whole text; null counts as empty.
+    n_lines, n_long (words of more than 18 characters) and n_echoes (words equal to the one before) of each whole text; null counts as empty.
 
     Repeated windows are found by hashes of 1, 2, 4 and then 8 words; only texts that repeat one are looked at further:
     their windows are sorted by hash, and neighbours that agree give the places, whose union is counted."""
@@ -43,6 +43,7 @@ def measures(docs: DataFrame, *keep: str) -> DataFrame:
         (F.size("lines_") - F.size(F.array_distinct("lines_"))).cast("long").alias("n_dup_lines"), F.size("lines_").cast("long").alias("n_lines"),
         (F.length("text_") - F.length(F.translate("text_", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).cast("long").alias("n_upper"),
         F.size(F.filter("words_", lambda w: F.length(w) > 18)).cast("long").alias("n_long"),
+        F.size(F.filter(F.zip_with("words_", F.slice("words_", F.lit(2), F.greatest(n, F.lit(1))), lambda a, b: a == b), lambda x: x)).cast("long").alias("n_echoes"),
         F.when(n >= WINDOW, F.transform("words_", lambda w: F.xxhash64(w))).alias("h_"),
     )
     for gap in (1, 2, 4):
@@ -63,7 +64,7 @@ def _ratios() -> list[Column]:
         value = F.when(F.col(b) > 0, F.floor(1000 * times * F.col(a) / F.col(b))).otherwise(0)
         return F.least(value, F.lit(1000)).cast("int")
 
-    return [share("n_symbols", "word_chars", 2).alias("symbols"), share("n_dup_lines", "n_lines").alias("dup_lines"), share("n_repeat_words", "n_words").alias("repeats"), share("n_upper", "word_chars").alias("shouting"), share("n_long", "n_words").alias("long_words")]
+    return [share("n_symbols", "word_chars", 2).alias("symbols"), share("n_dup_lines", "n_lines").alias("dup_lines"), share("n_echoes", "n_words").alias("echoes"), share("n_upper", "word_chars").alias("shouting"), share("n_long", "n_words").alias("long_words")]
 
 
 def sketches(rows: DataFrame, *group: str) -> DataFrame:

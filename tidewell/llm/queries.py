@@ -85,7 +85,7 @@ from rows join rates on rows.source is not distinct from rates.source
 """
 
 _SHARE = "least(case when {b} > 0 then ({t} * {a}) // {b} else 0 end, 1000)::int"
-_RATIOS = {"symbols": ("n_symbols", "word_chars", 2000), "dup_lines": ("n_dup_lines", "n_lines", 1000), "repeats": ("n_repeat_words", "n_words", 1000), "shouting": ("n_upper", "word_chars", 1000), "long_words": ("n_long", "n_words", 1000)}
+_RATIOS = {"symbols": ("n_symbols", "word_chars", 2000), "dup_lines": ("n_dup_lines", "n_lines", 1000), "echoes": ("n_echoes", "n_words", 1000), "shouting": ("n_upper", "word_chars", 1000), "long_words": ("n_long", "n_words", 1000)}
 _LEVELS = "mid + greatest(4 * (mid - low), case ratio " + " ".join(f"when '{r}' then {v}" for r, v in quality_rules.RATIOS.items()) + " end)"
 _WIDE = ", ".join(f"max(bound) filter (where ratio = '{r}') as {r}_bound" for r in _RATIOS)
 
@@ -120,7 +120,8 @@ base as (
     (length(t) - length(translate(t, '#*$%&|<>', '')))::bigint as n_symbols,
     (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, coalesce(covered.n, 0)::bigint as n_repeat_words,
     len(lines)::bigint as n_lines, (length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')))::bigint as n_upper,
-    len(list_filter(words, w -> length(w) > 18))::bigint as n_long
+    len(list_filter(words, lambda w: length(w) > 18))::bigint as n_long,
+    len(list_filter(list_zip(words[2:], words), lambda p: p[1] = p[2]))::bigint as n_echoes
   from split left join covered using (k)),
 rated as (select *, {", ".join(_SHARE.format(a=a, b=b, t=t) + " as " + r for r, (a, b, t) in _RATIOS.items())} from base),
 long as ({" union all ".join(f"select lang, source, '{r}' as ratio, {r} as bin from rated" for r in _RATIOS)}),

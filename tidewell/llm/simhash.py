@@ -105,13 +105,13 @@ WIDE = 512
 LIKENESS = 0.8
 
 
-def radius_for(likeness: float, bits: int = WIDE, deviations: float = 1.3) -> int:
+def radius_for(likeness: float, bits: int = WIDE, deviations: float = 1.6) -> int:
     """Differing bits up to which a pair counts as near, some standard deviations above what the likeness expects."""
     p = math.acos(2 * likeness / (1 + likeness)) / math.pi
     return int(bits * p + deviations * math.sqrt(bits * p * (1 - p)))
 
 
-WORDS, WORD_BITS = 48, 36
+WORDS, WORD_BITS = 64, 36
 
 
 def word_positions() -> list[np.ndarray]:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import map_arrow, materialize, shingle_hashes, word_hashes
+from tidewell.llm.common import map_arrow, materialize, mix64, shingle_hashes, word_hashes
 
 K, WINDOW = 8, 16
 #: Most words between matches on one diagonal, cost of a word of gap on either side, and the longest gap within a passage.
@@ -47,6 +47,14 @@ def minimizers(h: np.ndarray, window: int = WINDOW) -> np.ndarray:
     return np.flatnonzero(_slide(np.concatenate((pad, low, pad)), window, np.maximum) == h)
 
 
+def numbered(h: np.ndarray) -> np.ndarray:
+    """Hashes that also tell how many equal ones stand right before: in runs of one word, the n-th matches the n-th."""
+    place = np.arange(len(h))
+    start = np.where(np.concatenate(([True], h[1:] != h[:-1])), place, 0)
+    run = (place - np.maximum.accumulate(start)).astype(np.uint64)
+    return np.where(run > 0, mix64(h + run), h)
+
+
 def seeds(docs: DataFrame) -> DataFrame:
     """(h, doc, pos) of the seeds of every text; pos counts words."""
 
@@ -55,7 +63,7 @@ def seeds(docs: DataFrame) -> DataFrame:
         for i, t in zip(ids, texts):
             words = word_hashes((t or "").encode())[0]
             if len(words) >= K:
-                h = shingle_hashes(words, K)
+                h = numbered(shingle_hashes(words, K))
                 at = minimizers(h)
                 hs.append(h[at])
                 ds.append(np.full(len(at), i))
