@@ -42,6 +42,10 @@ def cells(keys: DataFrame, shards: int, tolerance: float = 0.001, parts: int = 6
                 refine.append((r["cell"], c, r["min" + c], -((r["min" + c] - r["max" + c] - 1) // PROBES)))
         if not refine:
             return now, [(r["cell"], r["n"], r["bytes"]) for r in found]
+        if refine[0][0] == "":  # all rows are one cell as yet
+            _, c, low, step = refine[0]
+            now = now.withColumn("cell", _digit(F.col(c), F.lit(low), F.lit(str(step))))
+            continue
         probes = spark.createDataFrame([(c, k, low, str(step)) for c, k, low, step in refine], "cell string, by string, low long, step string")
         probes = probes.select("cell", "by", "low", F.col("step").cast("decimal(20,0)").alias("step"))
         x = F.when(F.col("by") == "a", F.col("a")).otherwise(F.col("b"))
