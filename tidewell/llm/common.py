@@ -46,6 +46,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _typed(values, kind: pa.DataType) -> pa.Array:
+    return values.cast(kind) if isinstance(values, pa.Array) else pa.array(values, kind)
+
+
 def map_arrow(df: DataFrame, rows, schema: str) -> DataFrame:
     """mapInArrow of a function from a batch's columns (as Python lists) to a dict of arrays."""
     target = df.sparkSession.createDataFrame([], schema).schema
@@ -57,7 +61,7 @@ def map_arrow(df: DataFrame, rows, schema: str) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 made = rows(*(c.to_pylist() for c in batch.columns))
-                yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) for f in arrow], schema=arrow)
+                yield pa.RecordBatch.from_arrays([_typed(made[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, target)
 
