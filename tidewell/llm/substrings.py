@@ -77,7 +77,8 @@ def matches(docs: DataFrame) -> DataFrame:
     """(doc, pos, owner, at): every seed that occurs in a smaller doc_id too, with its first occurrence there."""
     found = materialize(seeds(docs))
     first = found.groupBy("h").agg(F.min(F.struct("doc", "pos")).alias("first"), F.max("doc").alias("last"))
-    first = first.where("last > first.doc").select("h", F.col("first.doc").alias("owner"), F.col("first.pos").alias("at"))
+    # Written, so that the join is between plain exchanges, of which Spark can split the large partitions
+    first = materialize(first.where("last > first.doc").select("h", F.col("first.doc").alias("owner"), F.col("first.pos").alias("at")))
     return found.join(first, "h").where("doc > owner").select("doc", "pos", "owner", "at")
 
 
@@ -143,39 +144,59 @@ def chains(found: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]
     return out
 
 
+def split_chains(pos: np.ndarray, at: np.ndarray) -> list[list[tuple[int, int, int]]]:
+    """Chains of the matches with one owner, cut at gaps of more than GAP words; single seeds are left out."""
+    out = []
+    for chain in chains(fragments(pos, at)):
+        part = [chain[0]]
+        for x, y in zip(chain, chain[1:] + [None]):
+            if y is None or max(y[0] - x[0] - x[2], y[1] - x[1] - x[2]) > GAP:
+                if len(part) > 1 or part[0][2] > K:
+                    out.append(part)
+                part = []
+            part.append(y)
+    return out
+
+
+def without_contained(found: list[tuple[int, list[tuple[int, int, int]]]]) -> list[tuple[int, list[tuple[int, int, int]]]]:
+    """(owner, chain) of a document without chains that lie in a stretch whose words are matched, nearly all of them, by
+    another owner's chain: such a stretch is found anyway, and later copies add nothing to it."""
+    out, solid = [], -1
+    for owner, chain in sorted(found, key=lambda x: (x[1][0][0], -(x[1][-1][0] + x[1][-1][2]), x[0])):
+        start, end = chain[0][0], chain[-1][0] + chain[-1][2]
+        if end <= solid:
+            continue
+        out.append((owner, chain))
+        if sum(w for _, _, w in chain) >= 0.9 * (end - start):
+            solid = max(solid, end)
+    return out
+
+
 def chained(pairs: DataFrame) -> DataFrame:
-    """(doc, owner, parts): the chains of every document with every owner, cut at gaps of more than GAP words; parts has
-    start, owner's start and words of each fragment in turn.
+    """(doc, owner, parts): the chains of every document with its owners; parts has start, owner's start and words of each
+    fragment in turn.
 
-    A task sees a document's matches in order and holds those with one owner, at most the document's own words."""
+    A task sees the matches document by document and holds those of one, at most as many as it has words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
+        rest = np.zeros((0, 4), np.int64)
         for b in batches:
-            block = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns], 1)
-            block = block if rest is None else np.concatenate((rest, block))
-            if not len(block):
-                continue
-            cut = np.flatnonzero((np.diff(block[:, :2], axis=0) != 0).any(1)) + 1
-            begin = np.concatenate(([0], cut))
-            yield made(block, begin[:-1], begin[1:])
+            block = np.concatenate((rest, np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns], 1)))
+            begin = np.flatnonzero(np.concatenate(([True], block[1:, 0] != block[:-1, 0]))) if len(block) else [0]
+            yield made(block[: begin[-1]])
             rest = block[begin[-1] :]
-        if rest is not None:
-            yield made(rest, np.array([0]), np.array([len(rest)]))
-
-    def made(block, begin, end):
-        out = ([], [], [])
-        for s, e in zip(begin.tolist(), end.tolist()):
-            for chain in chains(fragments(block[s:e, 2], block[s:e, 3])):
-                part = [chain[0]]
-                for x, y in zip(chain, chain[1:] + [None]):
-                    if y is None or max(y[0] - x[0] - x[2], y[1] - x[1] - x[2]) > GAP:
-                        out[0].append(int(block[s, 0]))
-                        out[1].append(int(block[s, 1]))
-                        out[2].append([v for f in part for v in f])
-                        part = []
-                    part.append(y)
-        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.int32()))], names=["doc", "owner", "parts"])
+        yield made(rest)
+
+    def made(block):
+        docs = np.flatnonzero(np.concatenate(([True], block[1:, 0] != block[:-1, 0], [True]))) if len(block) else [0]
+        out = []
+        for s, e in zip(docs[:-1], docs[1:]):
+            own = block[s:e]
+            cut = np.flatnonzero(np.concatenate(([True], own[1:, 1] != own[:-1, 1], [True])))
+            found = [(int(own[i, 1]), c) for i, j in zip(cut[:-1], cut[1:]) for c in split_chains(own[i:j, 2], own[i:j, 3])]
+            out += [(int(own[0, 0]), owner, [v for f in c for v in f]) for owner, c in without_contained(found)]
+        columns = list(zip(*out)) or [[], [], []]
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.list_(pa.int32()))], names=["doc", "owner", "parts"])
 
     rows = pairs.select("doc", "owner", "pos", "at").repartition("doc").sortWithinPartitions("doc", "owner", "pos")
     return rows.mapInArrow(run, "doc long, owner long, parts array<int>")
@@ -279,7 +300,7 @@ def _passages(text: str, chains_: list, least: int, identity: float) -> tuple[li
 
 def _with_chains(docs: DataFrame) -> DataFrame:
     """docs with a column chains_: of each document the chains, each with the owner's blocks of words that it needs."""
-    found = materialize(chained(matches(docs)).where("size(parts) > 3 or parts[2] > 8").withColumn("chain", F.monotonically_increasing_id()))
+    found = materialize(chained(matches(docs)).withColumn("chain", F.monotonically_increasing_id()))
     blocks = materialize(owner_blocks(docs, found))
     asked = found.withColumn("block", F.explode(_blocks()))
     each = asked.join(blocks, ["owner", "block"]).groupBy("doc", "chain").agg(F.first("owner").alias("owner"), F.first("parts").alias("parts"), F.collect_list(F.struct("block", "words")).alias("blocks"))
