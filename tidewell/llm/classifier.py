@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import word_hashes
+from tidewell.llm.common import slices, word_hashes
 
 #: Bounds of the samples that the models are fitted on; everything else sees all rows.
 LABELLED, UNLABELLED = 4000, 3000
@@ -142,7 +142,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabell
     picked = _views(docs).join(F.broadcast(some), "doc_id").select("doc_id", "text", "lang", "source", "n_chars", "q")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             i, t, lang, source, n, q = (c.to_pylist() for c in b.columns)
             yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(q, pa.float64()), pa.array([text_view(x).tobytes() for x in t], pa.binary()), pa.array([metadata_view(*x).tobytes() for x in zip(lang, source, n)], pa.binary())], names=["doc_id", "q", "text", "page"])
 
@@ -159,9 +159,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     least a half.  Null columns count as empty. Without a model nothing is rejected, and scores are null."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in slices(batches):
             i, t, lang, source, n = (c.to_pylist() for c in b.columns)
             s = [None] * len(i) if model is None else model.score(np.stack([text_view(x) for x in t]), np.stack([metadata_view(*x) for x in zip(lang, source, n)])).tolist()
             yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(s, pa.float64()), pa.array([x is None or x >= 0.5 for x in s], pa.bool_())], names=["doc_id", "score", "accepted"])
@@ -175,9 +173,7 @@ def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
         return docs
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in slices(batches):
             column = lambda name: b.column(b.schema.names.index(name)).to_pylist()
             t = np.stack([text_view(x) for x in column("text")])
             p = np.stack([metadata_view(*x) for x in zip(column("lang"), column("source"), column("n_chars"))])

@@ -50,6 +50,16 @@ def _typed(values, kind: pa.DataType) -> pa.Array:
     return values.cast(kind) if isinstance(values, pa.Array) else pa.array(values, kind)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most `rows` rows, so that what is made of a part stays small; empty ones are left out.
+    What Arrow no longer needs goes back to the system after each batch, as the worker may idle beside others."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+        del b
+        pa.default_memory_pool().release_unused()
+
+
 def map_arrow(df: DataFrame, rows, schema: str) -> DataFrame:
     """mapInArrow of a function from a batch's columns (as Python lists) to a dict of arrays."""
     target = df.sparkSession.createDataFrame([], schema).schema
@@ -58,10 +68,9 @@ def map_arrow(df: DataFrame, rows, schema: str) -> DataFrame:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(target)
-        for batch in batches:
-            if batch.num_rows:
-                made = rows(*(c.to_pylist() for c in batch.columns))
-                yield pa.RecordBatch.from_arrays([_typed(made[f.name], f.type) for f in arrow], schema=arrow)
+        for batch in slices(batches):
+            made = rows(*(c.to_pylist() for c in batch.columns))
+            yield pa.RecordBatch.from_arrays([_typed(made[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, target)
 
