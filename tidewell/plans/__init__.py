@@ -1 +1,3 @@
+"""Queries over the test tables: each applies operators of this library, with the SQL that must give the same rows."""
 
+from tidewell.plans import ads, billing, expressions, lines, ranks, sales, usage  # noqa: F401  (they register their queries)
