@@ -125,6 +125,33 @@ def test_keep_one_takes_near_copies_and_leaves_others(spark):
     assert sorted(r["doc_id"] for r in kept) == [1, 3]
 
 
+def test_near_classes_by_brute_force_between_seven_and_nine_tenths(spark):
+    texts = {}
+    for k in range(120):  # a base and copies whose last words differ, so that likenesses spread from 0.7 to 0.9
+        base = words(1000 + k, 204)
+        texts[10 * k] = base
+        for j, share in enumerate((0.72, 0.78, 0.82, 0.88)):
+            same = round(400 * share / (1 + share))
+            texts[10 * k + 1 + j] = [*base[: same + 4], *words(5000 + 10 * k + j, 200 - same)]
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, w in texts.items()}
+    rows = [(i, " ".join(w)) for i, w in texts.items()]
+    got = {r["doc_id"]: r["class_id"] for r in simhash.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    pairs, near = 0, 0
+    for k in range(0, 1200, 10):
+        alike = {i: len(sets[k] & sets[i]) / len(sets[k] | sets[i]) for i in range(k + 1, k + 5)}
+        assert 0.7 < alike[k + 1] < alike[k + 2] < 0.8 < alike[k + 3] < alike[k + 4] < 0.9
+        linked = {frozenset((a, b)) for a in range(k, k + 5) for b in range(a) if b >= k and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+        reach = {i: {i} for i in range(k, k + 5)}
+        for _ in range(5):
+            for a, b in map(tuple, linked):
+                reach[a] = reach[b] = reach[a] | reach[b]
+        for i in range(k, k + 5):  # nothing is joined but by pairs alike at 0.8
+            assert got[i] in reach[i]
+        pairs += 2
+        near += (got[k + 3] == k) + (got[k + 4] == k)
+    assert near >= 0.9 * pairs
+
+
 def test_mix_comes_near_its_targets(spark):
     rows = queries.op3_mixing(spark, "/root/testdata/sf0.01").collect()
     taken, variance = {}, {}

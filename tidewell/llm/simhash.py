@@ -3,11 +3,14 @@
 A mask family for radius r gives every bit position a nonzero vector of r + 1 bits and takes, for each nonzero vector
 v, the positions whose vector has an odd product with v.  The at most r positions in which two fingerprints differ
 span less than the whole space, so some v is orthogonal to all of them: that mask sees equal bits.  Hence every pair
-within the radius shares a bucket in at least one of the 2^(r+1) - 1 tables."""
+within the radius shares a bucket in at least one of the 2^(r+1) - 1 tables.
+
+That holds for the 64-bit fingerprints and their radius.  The wide fingerprints only propose pairs: each of their words
+covers one differing bit, so a pair at a likeness of 0.8 shares a bucket with a probability (the README gives it), and the
+shingle sets themselves decide what is linked."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import connected_components, map_arrow, materialize, mix64, shingle_hashes, word_hashes
+from tidewell.llm.common import connected_components, map_arrow, materialize, mix64, shingle_hashes, slices, word_hashes
 
 BITS = 64
 
@@ -101,14 +104,11 @@ def near_duplicates64(docs: DataFrame, width: int = 3) -> DataFrame:
 # --- wide fingerprints of five-word shingle sets, for a likeness of 0.8 or more
 
 WIDE = 512
-#: A likeness J of two shingle sets is a cosine of 2J/(1+J); its angle is the share of bits expected to differ.
+#: Least Jaccard likeness of two shingle sets that are linked.
 LIKENESS = 0.8
-
-
-def radius_for(likeness: float, bits: int = WIDE, deviations: float = 1.6) -> int:
-    """Differing bits up to which a pair counts as near, some standard deviations above what the likeness expects."""
-    p = math.acos(2 * likeness / (1 + likeness)) / math.pi
-    return int(bits * p + deviations * math.sqrt(bits * p * (1 - p)))
+#: Differing bits up to which the sets of a proposed pair are compared.  At a likeness of 0.8 the bits that differ are 78 of
+#: 512 with a deviation of 8 (sets of 4 and 5: 96 and 9), in unrelated texts 256 with one of 11.
+RADIUS = 160
 
 
 WORDS, WORD_BITS = 64, 36
@@ -146,8 +146,18 @@ def table_keys(bits: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def forest(bits: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the rows of packed bits, joined where they differ in at most `radius` bits.
+def likenesses(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Jaccard likeness of a set with each of some others; sets are sorted arrays of distinct values, none empty."""
+    sizes = np.array([len(x) for x in others])
+    joined = np.concatenate(others)
+    found = one[np.minimum(np.searchsorted(one, joined), len(one) - 1)] == joined
+    common = np.add.reduceat(found, np.cumsum(sizes) - sizes, dtype=np.int64)
+    return common / (len(one) + sizes - common)
+
+
+def forest(bits: np.ndarray, sets: list[np.ndarray], radius: int, likeness: float) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the rows, joined where their packed bits differ in at most `radius` places and their
+    sets are alike at `likeness` or more.
 
     Visited rows are compared with those not yet visited only, so a tight bucket costs one pass."""
     left, edges = np.arange(len(bits)), []
@@ -156,65 +166,94 @@ def forest(bits: np.ndarray, radius: int) -> list[tuple[int, int]]:
         while frontier and len(left):
             at = frontier.pop()
             near = np.bitwise_count(bits[left] ^ bits[at]).sum(1) <= radius
+            if near.any():
+                near[near] = likenesses(sets[at], [sets[i] for i in left[near]]) >= likeness
             edges += [(int(at), int(x)) for x in left[near]]
             frontier += left[near].tolist()
             left = left[~near]
     return edges
 
 
-def wide_links(prints: DataFrame, radius: int) -> DataFrame:
-    """Links (src, dst) between the ids of prints (id, bits as 64 bytes) within `radius` of 512 bits that share a bucket.
+def _as_sets(values) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint64) for x in values]
+
 
-    Each bucket is read once, in order, and yields fewer links than it has members."""
+def wide_links(prints: DataFrame, docs: DataFrame, radius: int = RADIUS, likeness: float = LIKENESS) -> DataFrame:
+    """Links (src, dst) between the ids of prints (id, bits as 64 bytes) that share a bucket and whose texts in docs
+    (doc_id, text) have shingle sets alike at `likeness` or more; the links join whatever such pairs join.
+
+    Each bucket is read once, in order, and yields fewer links than it has members; of buckets with the same members one
+    is read.  Only texts of proposed pairs are made into sets."""
 
     def keys(ids, bits):
         rows = np.unpackbits(np.frombuffer(b"".join(bits), np.uint8).reshape(-1, WIDE // 8), axis=1, bitorder="little")
         return {"id": np.repeat(np.asarray(ids, np.int64), len(TABLES)), "key": table_keys(rows).ravel()}
 
     rows = map_arrow(prints.select("id", "bits"), keys, "id long, key long")
-    shared = rows.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("n")).where("n > 1")
+    h = F.xxhash64("id")
+    members = F.struct(F.bit_xor(h), F.sum(F.shiftrightunsigned(h, 32))).alias("members")
+    shared = rows.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("n"), members).where("n > 1")
     shared = materialize(shared)
     pairs = shared.where("n = 2").select("a", "b").distinct()
     one, two = prints.select(F.col("id").alias("a"), F.col("bits").alias("x")), prints.select(F.col("id").alias("b"), F.col("bits").alias("y"))
-    few = map_arrow(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y"), lambda a, b, x, y: _compared(a, b, x, y, radius), "src long, dst long").where("src is not null")
-    members = rows.join(shared.where("n > 2").select("key"), "key").join(prints.select("id", "bits"), "id")
+    pairs = map_arrow(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y"), lambda a, b, x, y: _within(a, b, x, y, radius), "a long, b long").where("a is not null")
+    pairs = materialize(pairs)
+    read = shared.where("n > 2").groupBy("n", "a", "b", "members").agg(F.min("key").alias("key")).select("key")
+    many = materialize(rows.join(read, "key"))
+    asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(many.select("id")).distinct()
+
+    def made(ids, texts):
+        return {"id": ids, "set": [np.unique(shingle_hashes(word_hashes((t or "").encode())[0], 5)).tobytes() for t in texts]}
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(asked, "id", "left_semi")
+    sets = materialize(map_arrow(texts, made, "id long, set binary").where("length(set) > 0").dropDuplicates(["id", "set"]))
+    one, two = sets.select(F.col("id").alias("a"), F.col("set").alias("x")), sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
+
+    def compared(a, b, x, y):
+        near = [likenesses(p, [q])[0] >= likeness for p, q in zip(_as_sets(x), _as_sets(y))]
+        return {"src": [j if n else None for j, n in zip(b, near)], "dst": [i if n else None for i, n in zip(a, near)]}
+
+    few = map_arrow(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y"), compared, "src long, dst long").where("src is not null")
+    members = many.join(prints.select("id", "bits"), "id").join(sets, "id")
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, bits = None, [], []
+        key, ids, bits, some = None, [], [], []
 
         def out():
             packed = np.frombuffer(b"".join(bits), np.uint64).reshape(-1, WIDE // 64)
-            e = [(max(ids[i], ids[j]), min(ids[i], ids[j])) for i, j in forest(packed, radius)]
+            e = [(max(ids[i], ids[j]), min(ids[i], ids[j])) for i, j in forest(packed, _as_sets(some), radius, likeness)]
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in e], pa.int64()) for i in (0, 1)], names=["src", "dst"])
 
-        for b in batches:
-            for k, i, x in zip(*(c.to_pylist() for c in b.columns)):
+        for b in slices(batches):
+            for k, i, x, s in zip(*(c.to_pylist() for c in b.columns)):
                 if k != key and ids:
                     if len(ids) > 1:
                         yield out()
-                    ids, bits = [], []
+                    ids, bits, some = [], [], []
                 key = k
                 ids.append(i)
                 bits.append(x)
+                some.append(s)
         if len(ids) > 1:
             yield out()
 
-    more = members.repartition("key").sortWithinPartitions("key", "id").select("key", "id", "bits").mapInArrow(linked, "src long, dst long")
+    more = members.repartition("key").sortWithinPartitions("key", "id").select("key", "id", "bits", "set").mapInArrow(linked, "src long, dst long")
     return few.union(more).distinct()
 
 
-def _compared(a, b, x, y, radius):
+def _within(a, b, x, y, radius):
     p, q = (np.frombuffer(b"".join(v), np.uint64).reshape(-1, WIDE // 64) for v in (x, y))
     near = np.bitwise_count(p ^ q).sum(1) <= radius
-    return {"src": [j if n else None for j, n in zip(b, near)], "dst": [i if n else None for i, n in zip(a, near)]}
+    return {"a": [i if n else None for i, n in zip(a, near)], "b": [j if n else None for j, n in zip(b, near)]}
 
 
 def near_duplicate_classes(docs: DataFrame, radius: int | None = None) -> DataFrame:
-    """(doc_id, class_id): the classes of documents whose five-word shingle sets are alike at 0.8 or more, as their wide
-    fingerprints tell, copies (equal fingerprints and numbers of shingles) included; class_id is the least doc_id.
+    """(doc_id, class_id): the classes of documents joined by pairs whose five-word shingle sets are alike at 0.8 or more,
+    copies (equal fingerprints and numbers of shingles) included; class_id is the least doc_id.  No other pair is linked;
+    a pair near 0.8 may be passed over where its wide fingerprints share no bucket.
 
     Wordless and null texts form one class.  Null ids give no row."""
-    radius = radius_for(LIKENESS) if radius is None else radius
+    radius = RADIUS if radius is None else radius
 
     def rows(ids, texts):
         found = [wide_bits(t) for t in texts]
@@ -223,7 +262,7 @@ def near_duplicate_classes(docs: DataFrame, radius: int | None = None) -> DataFr
 
     made = materialize(map_arrow(docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")), rows, "doc_id long, n int, bits binary"))
     prints = materialize(made.groupBy("n", "bits").agg(F.min("doc_id").alias("id")))
-    classes = connected_components(wide_links(prints.where("n > 0"), radius))
+    classes = connected_components(wide_links(prints.where("n > 0"), docs, radius))
     found = prints.join(classes, prints["id"] == classes["node"], "left").select("n", "bits", F.coalesce("component", "id").alias("class_id"))
     return made.join(found, ["n", "bits"]).select("doc_id", "class_id")
 
