@@ -230,6 +230,14 @@ def test_main_text_of_a_page(spark):
     assert row["text"] == "\n".join(story).replace("&amp;", "&") and row["n_chars"] == len(row["text"])
 
 
+def test_every_word_of_a_long_block_is_read():
+    w = words(90, 300)
+    one, two = (html_blocks.vectors([(" ".join(t), ("p",), 0)])[0] for t in (w, [*w[:32], *["zebra"] * 236, *w[-32:]]))
+    part = slice(html_blocks.TAG_BITS, html_blocks.TAG_BITS + html_blocks.WORD_BITS)
+    assert abs(one[part].sum() * 300**0.5 - 300) < 0.01 and abs(two[part].sum() * 300**0.5 - 300) < 0.01
+    assert two[part].max() * 300**0.5 >= 236 > one[part].max() * 300**0.5
+
+
 def test_archives_give_pages_back(spark, odd_pages, tmp_path):
     pages = spark.createDataFrame([(r[0], r[1], r[2]) for r in table("pages")], "page_id long, url string, html string")
     path = f"file://{tmp_path}/warc"

@@ -130,8 +130,8 @@ def vectors(found: list[tuple[str, tuple[str, ...], int]]) -> np.ndarray:
         for w in path:
             x[i, _slot(w, TAG_BITS)] = 1
         words = text.split(" ")
-        for w in words if len(words) <= 64 else words[:32] + words[-32:]:
-            x[i, TAG_BITS + _slot(w.lower().strip(".,:;!?"), WORD_BITS)] += 1 / math.sqrt(len(words))
+        slots = np.bincount([_slot(w.lower().strip(".,:;!?"), WORD_BITS) for w in words], minlength=WORD_BITS)
+        x[i, TAG_BITS : TAG_BITS + WORD_BITS] = slots / math.sqrt(len(words))
         k = TAG_BITS + WORD_BITS
         x[i, k : k + MEASURES] = (
             math.log1p(len(text)) / 6, min(1, linked / len(text)), text[-1] in ".!?\"'", math.log1p(len(path)) / 3,
