@@ -189,6 +189,35 @@ def test_repeated_passages_are_found_and_cut(spark):
     assert left[2].split() == words(53, 150) + words(54, 60)
 
 
+def shared_words(docs, least=50, identity=0.8):
+    """By brute force: for each document the words in a run of `least` that agrees with an earlier one on some diagonal."""
+    out = {}
+    for i, text in docs:
+        out[i] = set()
+        for _, other in docs[: [d for d, _ in docs].index(i)]:
+            for gap in range(-len(other), len(text)):
+                at = range(max(0, gap), min(len(text), len(other) + gap))
+                for s in range(at.start, at.stop - least + 1):
+                    if sum(text[k] == other[k - gap] for k in range(s, s + least)) >= identity * least:
+                        out[i] |= set(range(s, s + least))
+    return out
+
+
+def covered(rows, i):
+    return {k for r in rows if r["doc_id"] == i for k in range(r["start_word"], r["end_word"])}
+
+
+def test_exact_copy_of_an_edited_copy_is_found(spark):
+    passage = words(302, 120)
+    edited = [f"new{k}" if k % 33 >= 21 else w for k, w in enumerate(passage)]
+    docs = [(1, words(62, 30) + passage + words(63, 30)), (2, words(64, 40) + edited + words(65, 20)), (3, words(66, 25) + edited + words(67, 25))]
+    expected = shared_words(docs)
+    assert not expected[2] and expected[3] >= set(range(25, 145))
+    found = substrings.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")).collect()
+    assert not covered(found, 2)
+    assert covered(found, 3) == set(range(25, 145)) and [2 in r["owner_ids"] for r in found] == [True]
+
+
 def test_runs_of_one_word_and_equal_seeds_end(spark):
     docs = spark.createDataFrame([(1, "la " * 5000), (2, "la " * 4000), (3, " ".join(words(60, 100)))], "doc_id long, text string")
     assert [r["doc_id"] for r in substrings.repeated_passages(docs).collect()] == [2]

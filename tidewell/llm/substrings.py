@@ -4,7 +4,8 @@ Seeds are hashes of K words, thinned to the least of every WINDOW neighbours, so
 shares a seed.  Each seed belongs to its first occurrence in order of doc_id; every later occurrence is joined to that one
 only, so a passage that many documents share costs a row for each.  Matches of a document with an owner are merged along
 diagonals and chained in both orders with gap costs, by a Fenwick tree of prefix maxima.  Chains are aligned word by word,
-extended at both ends, and the passages of a document that lie in earlier ones are united."""
+extended at both ends, and the passages of a document that lie in earlier ones are united.  A chain is left out only where
+the words that it lies on are in passages that have been found."""
 
 from __future__ import annotations
 
@@ -145,33 +146,18 @@ def chains(found: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]
 
 
 def split_chains(pos: np.ndarray, at: np.ndarray) -> list[list[tuple[int, int, int]]]:
-    """Chains of the matches with one owner, cut at gaps of more than GAP words; single seeds are left out."""
+    """Chains of the matches with one owner, cut at gaps of more than GAP words."""
     out = []
     for chain in chains(fragments(pos, at)):
         part = [chain[0]]
         for x, y in zip(chain, chain[1:] + [None]):
             if y is None or max(y[0] - x[0] - x[2], y[1] - x[1] - x[2]) > GAP:
-                if len(part) > 1 or part[0][2] > K:
-                    out.append(part)
+                out.append(part)
                 part = []
             part.append(y)
     return out
 
 
-def without_contained(found: list[tuple[int, list[tuple[int, int, int]]]]) -> list[tuple[int, list[tuple[int, int, int]]]]:
-    """(owner, chain) of a document without chains that lie in a stretch whose words are matched, nearly all of them, by
-    another owner's chain: such a stretch is found anyway, and later copies add nothing to it."""
-    out, solid = [], -1
-    for owner, chain in sorted(found, key=lambda x: (x[1][0][0], -(x[1][-1][0] + x[1][-1][2]), x[0])):
-        start, end = chain[0][0], chain[-1][0] + chain[-1][2]
-        if end <= solid:
-            continue
-        out.append((owner, chain))
-        if sum(w for _, _, w in chain) >= 0.9 * (end - start):
-            solid = max(solid, end)
-    return out
-
-
 def chained(pairs: DataFrame) -> DataFrame:
     """(doc, owner, parts): the chains of every document with its owners; parts has start, owner's start and words of each
     fragment in turn.
@@ -194,7 +180,7 @@ def chained(pairs: DataFrame) -> DataFrame:
             own = block[s:e]
             cut = np.flatnonzero(np.concatenate(([True], own[1:, 1] != own[:-1, 1], [True])))
             found = [(int(own[i, 1]), c) for i, j in zip(cut[:-1], cut[1:]) for c in split_chains(own[i:j, 2], own[i:j, 3])]
-            out += [(int(own[0, 0]), owner, [v for f in c for v in f]) for owner, c in without_contained(found)]
+            out += [(int(own[0, 0]), owner, [v for f in c for v in f]) for owner, c in found]
         columns = list(zip(*out)) or [[], [], []]
         return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.list_(pa.int32()))], names=["doc", "owner", "parts"])
 
@@ -231,45 +217,62 @@ def _blocks():
     return F.sequence(F.greatest(F.floor((start - REACH) / BLOCK), F.lit(0)).cast("int"), F.floor((end + words + REACH) / BLOCK).cast("int"))
 
 
-def _extension(equal: np.ndarray) -> tuple[int, int]:
-    """Words to extend by along agreeing and differing words, and how many of those agree."""
+def _extension(equal: np.ndarray) -> int:
+    """Words to extend by along agreeing and differing words."""
     if not len(equal):
-        return 0, 0
+        return 0
     total = np.cumsum(np.where(equal, 1, -MISMATCH))
     best = int(total.argmax())
-    return (best + 1, int(equal[: best + 1].sum())) if total[best] > 0 else (0, 0)
+    return best + 1 if total[best] > 0 else 0
 
 
-def _common(a: np.ndarray, b: np.ndarray) -> int:
-    """Length of the longest common subsequence of two short gaps."""
-    row = np.zeros(len(b) + 1, np.int64)
+def _in_common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which words of a are in a longest common subsequence of two short gaps."""
+    out, rows = np.zeros(len(a), bool), [np.zeros(len(b) + 1, np.int64)]
     for x in a:
-        took = np.concatenate(([0], np.maximum(row[1:], row[:-1] + (b == x))))
-        row = np.maximum.accumulate(took)
-    return int(row[-1])
+        row = rows[-1]
+        rows.append(np.maximum.accumulate(np.concatenate(([0], np.maximum(row[1:], row[:-1] + (b == x))))))
+    i, k = len(a), len(b)
+    while i and k:
+        if rows[i][k] == rows[i - 1][k]:
+            i -= 1
+        elif rows[i][k] == rows[i][k - 1]:
+            k -= 1
+        else:
+            i, k = i - 1, k - 1
+            out[i] = True
+    return out
 
 
-def align(words: np.ndarray, owner: np.ndarray, base: int, parts: list[tuple[int, int, int]]) -> tuple[int, int, int, int, int]:
-    """(start, end, owner's start, owner's end, words that agree) of a chain aligned to the owner's words, which begin at
-    its position `base`.  Parts that reach beyond either text are left out."""
+def align(words: np.ndarray, owner: np.ndarray, base: int, parts: list[tuple[int, int, int]]) -> tuple[int, int, np.ndarray, np.ndarray]:
+    """(start, owner's words, equal, skipped) of a chain aligned to the owner's words, which begin at its position `base`:
+    where it starts, over how many words of the owner it goes, which of its words agree, and how many words of the owner
+    that have no counterpart stand right before each.  Parts that reach beyond either text are left out."""
     have = [(b, a - base, w) for b, a, w in parts if a >= base and a - base + w <= len(owner) and b + w <= len(words)]
     if not have:
-        return 0, 0, 0, 0, 0
-    agree, (end, stop) = 0, (have[0][0], have[0][1])
+        return 0, 0, np.zeros(0, bool), np.zeros(0, np.int64)
+    first, (end, stop) = have[0], (have[0][0], have[0][1])
+    n = min(REACH, first[0], first[1])
+    same = words[first[0] - n : first[0]] == owner[first[1] - n : first[1]]
+    left = _extension(same[::-1])
+    equal, skips = [same[n - left :]], []
     for b, a, w in have:
         skip = max(0, end - b, stop - a)
         if skip >= w:
             continue
         b, a, w = b + skip, a + skip, w - skip
-        agree += _common(words[end:b], owner[stop:a]) if b > end and a > stop else 0
-        agree += int((words[b : b + w] == owner[a : a + w]).sum())
+        equal.append(_in_common(words[end:b], owner[stop:a]))
+        skips.append((b, max(0, (a - stop) - (b - end))))
+        equal.append(words[b : b + w] == owner[a : a + w])
         end, stop = b + w, a + w
-    b, a, _ = have[0]
-    n = min(REACH, b, a)
-    left, more = _extension(words[b - n : b][::-1] == owner[a - n : a][::-1])
     n = min(REACH, len(words) - end, len(owner) - stop)
-    right, extra = _extension(words[end : end + n] == owner[stop : stop + n])
-    return b - left, end + right, base + a - left, base + stop + right, agree + more + extra
+    same = words[end : end + n] == owner[stop : stop + n]
+    right = _extension(same)
+    equal = np.concatenate([*equal, same[:right]])
+    start, skipped = first[0] - left, np.zeros(len(equal), np.int64)
+    for b, k in skips:
+        skipped[b - start] += k
+    return start, stop + right - (first[1] - left), equal, skipped
 
 
 def united(spans: list[tuple[int, int, int]], least: int = LEAST) -> list[tuple[int, int, list[int]]]:
@@ -287,14 +290,26 @@ def united(spans: list[tuple[int, int, int]], least: int = LEAST) -> list[tuple[
 def _passages(text: str, chains_: list, least: int, identity: float) -> tuple[list[tuple[int, int, list[int]]], np.ndarray, np.ndarray]:
     h, starts, ends = word_hashes(text.encode())
     words, spans = _equal_words(h), []
-    for c in chains_:
+    done = np.zeros(len(words), bool)
+    for c in sorted(chains_, key=lambda c: (c["parts"][0], -(c["parts"][-3] + c["parts"][-1]), c["owner"], c["parts"][1])):
+        parts = list(zip(*[iter(c["parts"])] * 3))
+        if done[parts[0][0] : parts[-1][0] + parts[-1][2]].all():
+            continue  # later copies add nothing to a passage that is found
         blocks = sorted((b["block"], b["words"]) for b in c["blocks"])
         lead = [w for k, (n, w) in enumerate(blocks) if n == blocks[0][0] + k]
         owner = np.frombuffer(b"".join(lead), np.uint32)
-        parts = list(zip(*[iter(c["parts"])] * 3))
-        b, e, a, z, agree = align(words, owner, blocks[0][0] * BLOCK, parts)
-        if e > b and agree >= identity * max(e - b, z - a):
-            spans.append((b, e, c["owner"]))
+        b, far, equal, skipped = align(words, owner, blocks[0][0] * BLOCK, parts)
+        n = len(equal)
+        if not n:
+            continue
+        if equal.sum() >= identity * max(n, far):
+            # a single seed is a passage only by what it is extended by
+            some = [(0, n)] if len(parts) > 1 or parts[0][2] > K or n >= least else []
+        else:
+            some = []
+        for s, e in some:
+            spans.append((b + s, b + e, c["owner"]))
+            done[b + s : b + e] = True
     return united(spans, least), starts, ends
 
 
