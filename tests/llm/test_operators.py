@@ -6,6 +6,7 @@ import random
 import sys
 
 import duckdb
+import numpy as np
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -218,6 +219,25 @@ def test_exact_copy_of_an_edited_copy_is_found(spark):
     assert covered(found, 3) == set(range(25, 145)) and [2 in r["owner_ids"] for r in found] == [True]
 
 
+def test_exact_passage_before_a_form_with_other_fields_is_found(spark):
+    passage, lines = words(70, 60), [words(80 + k, 12) for k in range(8)]
+    form = lambda seed: [x for k, line in enumerate(lines) for x in words(seed + k, 18) + line]
+    docs = [(1, passage + form(100) + words(71, 50)), (2, words(72, 40) + passage + form(200) + words(73, 40))]
+    found = substrings.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")).collect()
+    assert set(range(40, 100)) <= covered(found, 2) <= set(range(40, 130))
+
+
+def test_parts_of_an_alignment_by_brute_force():
+    r = np.random.RandomState(0)
+    for _ in range(60):
+        n = r.randint(50, 130)
+        equal, skipped = r.rand(n) < r.choice([0.7, 0.75, 0.8]), (r.rand(n) < 0.03) * r.randint(1, 4, n)
+        good = {k for s in range(n) for e in range(s + 50, n + 1) if equal[s:e].sum() >= 0.8 * (e - s + skipped[s + 1 : e].sum()) - 1e-6 for k in range(s, e)}
+        parts = substrings.good_parts(equal, skipped, 50, 0.8)
+        assert {k for s, e in parts for k in range(s, e)} <= good and bool(parts) == bool(good)
+        assert all(e - s >= 50 for s, e in parts)
+
+
 def test_runs_of_one_word_and_equal_seeds_end(spark):
     docs = spark.createDataFrame([(1, "la " * 5000), (2, "la " * 4000), (3, " ".join(words(60, 100)))], "doc_id long, text string")
     assert [r["doc_id"] for r in substrings.repeated_passages(docs).collect()] == [2]

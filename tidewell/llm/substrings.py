@@ -275,6 +275,33 @@ def align(words: np.ndarray, owner: np.ndarray, base: int, parts: list[tuple[int
     return start, stop + right - (first[1] - left), equal, skipped
 
 
+def _trimmed(equal: np.ndarray, start: int, end: int, least: int) -> tuple[int, int]:
+    """start and end without what differs beyond the first and the last run of K agreeing words, as far as `least` words stay."""
+    total = np.concatenate(([0], np.cumsum(equal[start:end])))
+    runs = np.flatnonzero(total[K:] - total[:-K] == K) + start
+    if not len(runs):
+        return start, end
+    a, z = int(runs[0]), int(runs[-1]) + K
+    a, z = a - _extension(equal[start:a][::-1]), z + _extension(equal[z:end])
+    return (a, z) if z - a >= least else (start, end)
+
+
+def good_parts(equal: np.ndarray, skipped: np.ndarray, least: int, identity: float) -> list[tuple[int, int]]:
+    """The parts of an alignment that are made of runs of at least `least` words of which a share of `identity` agrees; a
+    word that either text lacks counts as one that differs."""
+    ends = np.concatenate(([0.0], np.cumsum(equal - identity * (1 + skipped))))
+    starts = ends[:-1] - identity * skipped - 1e-6
+    best = np.maximum.accumulate(ends[::-1])  # the greatest value from a place on, last place first
+    far = len(equal) - np.searchsorted(best, starts)
+    out: list[list[int]] = []
+    for s in np.flatnonzero(far - np.arange(len(equal)) >= least).tolist():
+        if out and s <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], int(far[s]))
+        else:
+            out.append([s, int(far[s])])
+    return [_trimmed(equal, s, e, least) for s, e in out]
+
+
 def united(spans: list[tuple[int, int, int]], least: int = LEAST) -> list[tuple[int, int, list[int]]]:
     """(start, end, owners) of the unions of touching spans (start, end, owner) that have at least `least` words."""
     out: list[list] = []
@@ -306,7 +333,7 @@ def _passages(text: str, chains_: list, least: int, identity: float) -> tuple[li
             # a single seed is a passage only by what it is extended by
             some = [(0, n)] if len(parts) > 1 or parts[0][2] > K or n >= least else []
         else:
-            some = []
+            some = good_parts(equal, skipped, least, identity)
         for s, e in some:
             spans.append((b + s, b + e, c["owner"]))
             done[b + s : b + e] = True
