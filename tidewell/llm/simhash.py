@@ -108,7 +108,9 @@ WIDE = 512
 LIKENESS = 0.8
 #: Differing bits up to which the sets of a proposed pair are compared.  At a likeness of 0.8 the bits that differ are 78 of
 #: 512 with a deviation of 8 (sets of 4 and 5: 96 and 9), in unrelated texts 256 with one of 11.
-RADIUS = 160
+RADIUS = 128
+#: Tables of the stars, and rows of a block of a bucket's members.
+STARS, BUCKET = 32, 1024
 
 
 WORDS, WORD_BITS = 64, 36
@@ -138,10 +140,10 @@ def wide_bits(text: str | None, width: int = 5) -> tuple[int, bytes]:
     return len(h), np.packbits(2 * ones > len(h), bitorder="little").tobytes()
 
 
-def table_keys(bits: np.ndarray) -> np.ndarray:
-    """Rows of signed bucket keys, a column for each table, for rows of 512 bits."""
-    out = np.empty((len(bits), len(TABLES)), np.uint64)
-    for t, at in enumerate(TABLES):
+def table_keys(bits: np.ndarray, tables: int) -> np.ndarray:
+    """Rows of signed bucket keys, a column for each of the first `tables` tables, for rows of 512 bits."""
+    out = np.empty((len(bits), tables), np.uint64)
+    for t, at in enumerate(TABLES[:tables]):
         out[:, t] = (bits[:, at] * _WEIGHTS[: len(at)]).sum(1, dtype=np.uint64) | np.uint64(t << 40)
     return out.view(np.int64)
 
@@ -155,94 +157,184 @@ def likenesses(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     return common / (len(one) + sizes - common)
 
 
-def forest(bits: np.ndarray, sets: list[np.ndarray], radius: int, likeness: float) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the rows, joined where their packed bits differ in at most `radius` places and their
-    sets are alike at `likeness` or more.
+def forest(bits: np.ndarray, sets: list[np.ndarray], classes: list[int], radius: int, likeness: float) -> list[tuple[int, int]]:
+    """Edges between rows of different classes whose packed bits differ in at most `radius` places and whose sets are alike
+    at `likeness` or more; with the classes they join whatever all such pairs join.
 
-    Visited rows are compared with those not yet visited only, so a tight bucket costs one pass."""
-    left, edges = np.arange(len(bits)), []
+    Visited rows are compared with those not yet visited only, and rows of a visited class are visited without a comparison."""
+    left, edges, classes = np.arange(len(bits)), [], np.asarray(classes)
     while len(left):
         frontier, left = [left[0]], left[1:]
         while frontier and len(left):
             at = frontier.pop()
-            near = np.bitwise_count(bits[left] ^ bits[at]).sum(1) <= radius
+            same = classes[left] == classes[at]
+            near = ~same & (np.bitwise_count(bits[left] ^ bits[at]).sum(1) <= radius)
             if near.any():
                 near[near] = likenesses(sets[at], [sets[i] for i in left[near]]) >= likeness
             edges += [(int(at), int(x)) for x in left[near]]
-            frontier += left[near].tolist()
-            left = left[~near]
+            frontier += left[same | near].tolist()
+            left = left[~(same | near)]
     return edges
 
 
+def beside_others(bits: np.ndarray, classes: list[int], radius: int) -> np.ndarray:
+    """Which rows differ in at most `radius` bits from a row of another class."""
+    classes, out = np.asarray(classes), np.zeros(len(bits), bool)
+    for at in range(len(bits) - 1):
+        near = (classes[at + 1 :] != classes[at]) & (np.bitwise_count(bits[at + 1 :] ^ bits[at]).sum(1) <= radius)
+        if near.any():
+            out[at] = True
+            out[at + 1 :] |= near
+    return out
+
+
 def _as_sets(values) -> list[np.ndarray]:
     return [np.frombuffer(x, np.uint64) for x in values]
 
 
-def wide_links(prints: DataFrame, docs: DataFrame, radius: int = RADIUS, likeness: float = LIKENESS) -> DataFrame:
-    """Links (src, dst) between the ids of prints (id, bits as 64 bytes) that share a bucket and whose texts in docs
-    (doc_id, text) have shingle sets alike at `likeness` or more; the links join whatever such pairs join.
+def _packed(values) -> np.ndarray:
+    return np.frombuffer(b"".join(values), np.uint64).reshape(-1, WIDE // 64)
 
-    Each bucket is read once, in order, and yields fewer links than it has members; of buckets with the same members one
-    is read.  Only texts of proposed pairs are made into sets."""
 
-    def keys(ids, bits):
-        rows = np.unpackbits(np.frombuffer(b"".join(bits), np.uint8).reshape(-1, WIDE // 8), axis=1, bitorder="little")
-        return {"id": np.repeat(np.asarray(ids, np.int64), len(TABLES)), "key": table_keys(rows).ravel()}
+def _per_group(rows: DataFrame, by: list[str], made, schema: str) -> DataFrame:
+    """made(columns) for the rows of each group of equal `by`, columns being lists without those of `by`; one group at a
+    time is held.  The groups are cut to a bounded number of rows before."""
+    k = len(by)
 
-    rows = map_arrow(prints.select("id", "bits"), keys, "id long, key long")
-    h = F.xxhash64("id")
-    members = F.struct(F.bit_xor(h), F.sum(F.shiftrightunsigned(h, 32))).alias("members")
-    shared = rows.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("n"), members).where("n > 1")
-    shared = materialize(shared)
-    pairs = shared.where("n = 2").select("a", "b").distinct()
-    one, two = prints.select(F.col("id").alias("a"), F.col("bits").alias("x")), prints.select(F.col("id").alias("b"), F.col("bits").alias("y"))
-    pairs = map_arrow(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y"), lambda a, b, x, y: _within(a, b, x, y, radius), "a long, b long").where("a is not null")
-    pairs = materialize(pairs)
-    read = shared.where("n > 2").groupBy("n", "a", "b", "members").agg(F.min("key").alias("key")).select("key")
-    many = materialize(rows.join(read, "key"))
-    asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(many.select("id")).distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def out():
+            found = made(*zip(*held))
+            return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in found.values()], names=list(found))
+
+        for b in slices(batches):
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                if row[:k] != key:
+                    if len(held) > 1:
+                        yield out()
+                    key, held = row[:k], []
+                held.append(row[k:])
+        if len(held) > 1:
+            yield out()
+
+    return rows.repartition(*by).sortWithinPartitions(*by, "id").mapInArrow(run, schema)
+
+
+def bucket_keys(rows: DataFrame, tables: int) -> DataFrame:
+    """(id, class, key) of rows (id, class, bits as 64 bytes) for the first `tables` tables."""
+
+    def keys(ids, classes, bits):
+        made = table_keys(np.unpackbits(np.frombuffer(b"".join(bits), np.uint8).reshape(-1, WIDE // 8), axis=1, bitorder="little"), tables)
+        return {"id": np.repeat(np.asarray(ids, np.int64), tables), "class": np.repeat(np.asarray(classes, np.int64), tables), "key": made.ravel()}
+
+    return map_arrow(rows.select("id", "class", "bits"), keys, "id long, class long, key long")
+
+
+def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, set): the shingle sets, as sorted 64-bit hashes, of the texts in docs under the distinct ids."""
 
     def made(ids, texts):
         return {"id": ids, "set": [np.unique(shingle_hashes(word_hashes((t or "").encode())[0], 5)).tobytes() for t in texts]}
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(asked, "id", "left_semi")
-    sets = materialize(map_arrow(texts, made, "id long, set binary").where("length(set) > 0").dropDuplicates(["id", "set"]))
-    one, two = sets.select(F.col("id").alias("a"), F.col("set").alias("x")), sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(ids, "id", "left_semi")
+    return materialize(map_arrow(texts, made, "id long, set binary").where("length(set) > 0").dropDuplicates(["id", "set"]))
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+
+
+def _joined(pairs: DataFrame, rows: DataFrame, column: str) -> DataFrame:
+    one, two = rows.select(F.col("id").alias("a"), F.col(column).alias("x")), rows.select(F.col("id").alias("b"), F.col(column).alias("y"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y")
+
+
+def near_pairs(pairs: DataFrame, prints: DataFrame, radius: int) -> DataFrame:
+    """The pairs (a, b) whose wide fingerprints differ in at most `radius` bits."""
+    return materialize(map_arrow(_joined(pairs, prints, "bits"), lambda a, b, x, y: _within(a, b, x, y, radius), "a long, b long").where("a is not null"))
+
+
+def alike_pairs(pairs: DataFrame, sets: DataFrame, likeness: float) -> DataFrame:
+    """Links (src, dst) for the pairs (a, b) whose sets are alike at `likeness` or more."""
 
     def compared(a, b, x, y):
         near = [likenesses(p, [q])[0] >= likeness for p, q in zip(_as_sets(x), _as_sets(y))]
         return {"src": [j if n else None for j, n in zip(b, near)], "dst": [i if n else None for i, n in zip(a, near)]}
 
-    few = map_arrow(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y"), compared, "src long, dst long").where("src is not null")
-    members = many.join(prints.select("id", "bits"), "id").join(sets, "id")
+    return map_arrow(_joined(pairs, sets, "set"), compared, "src long, dst long").where("src is not null")
 
-    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, bits, some = None, [], [], []
 
-        def out():
-            packed = np.frombuffer(b"".join(bits), np.uint64).reshape(-1, WIDE // 64)
-            e = [(max(ids[i], ids[j]), min(ids[i], ids[j])) for i, j in forest(packed, _as_sets(some), radius, likeness)]
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in e], pa.int64()) for i in (0, 1)], names=["src", "dst"])
+def star_links(prints: DataFrame, docs: DataFrame, radius: int, likeness: float) -> DataFrame:
+    """Links between members of the buckets of the first tables and the least id there, where their sets are alike.  A group
+    of near copies costs a pair a member and table at most, and what is linked here need not be compared again."""
+    rows = bucket_keys(prints.withColumn("class", F.col("id")), STARS)
+    least = rows.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
+    pairs = rows.join(materialize(least), "key").where("a < id").select("a", F.col("id").alias("b")).distinct()
+    near = near_pairs(pairs, prints, radius)
+    return materialize(alike_pairs(near, shingle_sets(docs, _ends(near)), likeness))
 
-        for b in slices(batches):
-            for k, i, x, s in zip(*(c.to_pylist() for c in b.columns)):
-                if k != key and ids:
-                    if len(ids) > 1:
-                        yield out()
-                    ids, bits, some = [], [], []
-                key = k
-                ids.append(i)
-                bits.append(x)
-                some.append(s)
-        if len(ids) > 1:
-            yield out()
 
-    more = members.repartition("key").sortWithinPartitions("key", "id").select("key", "id", "bits", "set").mapInArrow(linked, "src long, dst long")
-    return few.union(more).distinct()
+def in_blocks(members: DataFrame, block: int = BUCKET) -> DataFrame:
+    """members (key, id, class, n: rows of the key) dealt to groups (key, i, j) so that two members of different classes meet in
+    a group, of at most two blocks of about `block` rows each; a bucket of no more rows is one group.
+
+    The rows of a bucket's largest class go to their own block only, once for each block of the others, and never meet each
+    other; so a bucket of one huge class and a few other rows costs a row a member."""
+    counts = members.groupBy("key", "class").agg(F.count("*").alias("c"), F.first("n").alias("n"))
+    largest = counts.groupBy("key").agg(F.max(F.struct("c", "class")).alias("top"))
+    largest = largest.select("key", F.col("top.class").alias("main"), F.col("top.c").alias("mains"))
+    both = members.join(largest, "key")
+    a, o = (F.ceil(F.greatest(x, F.lit(1)) / block) for x in (F.col("mains"), F.col("n") - F.col("mains")))
+    own = lambda blocks: F.pmod(F.xxhash64("id"), blocks)
+    whole = F.array(F.struct(F.lit(-1).cast("long").alias("i"), F.lit(-1).cast("long").alias("j")))
+    mains = F.transform(F.sequence(F.lit(0).cast("long"), o - 1), lambda j: F.struct(own(a).alias("i"), j.alias("j")))
+    others = F.transform(F.sequence(F.lit(0).cast("long"), a - 1), lambda i: F.struct(i.alias("i"), own(o).alias("j")))
+    among = F.transform(F.sequence(F.lit(0).cast("long"), o - 1), lambda k: F.struct((-2 - F.least(own(o), k)).alias("i"), F.greatest(own(o), k).alias("j")))
+    groups = F.when(F.col("n") <= block, whole).when(F.col("class") == F.col("main"), mains).otherwise(F.concat(others, among))
+    return both.select("key", "id", "class", F.inline(groups))
+
+
+def wide_links(prints: DataFrame, docs: DataFrame, radius: int = RADIUS, likeness: float = LIKENESS) -> DataFrame:
+    """Links (src, dst) between the ids of prints (id, bits as 64 bytes) that share a bucket and whose texts in docs
+    (doc_id, text) have shingle sets alike at `likeness` or more; the links join whatever such pairs join.
+
+    Stars over the first tables link most near copies.  Then only buckets that hold different classes are read: those of two
+    rows as pairs, each other one in order, one for all with the same members, yielding fewer links than it has members.
+    Rows that no row of another class is near by their bits leave before any text is made into a set."""
+    stars = star_links(prints, docs, radius, likeness)
+    classes = connected_components(stars)
+    named = materialize(prints.join(classes, prints["id"] == classes["node"], "left").select("id", "bits", F.coalesce("component", "id").alias("class")))
+    rows = bucket_keys(named, len(TABLES))
+    ends = (f(c).alias(f.__name__ + "_" + c) for c in ("id", "class") for f in (F.min, F.max))
+    mixed = materialize(rows.groupBy("key").agg(F.count("*").alias("n"), *ends).where("min_class < max_class"))
+    pairs = near_pairs(mixed.where("n = 2").select(F.col("min_id").alias("a"), F.col("max_id").alias("b")).distinct(), prints, radius)
+    members = materialize(rows.join(mixed.where("n > 2").select("key", "n"), "key"))
+    h = F.xxhash64("id")
+    same = members.groupBy("key").agg(F.first("n").alias("n"), F.bit_xor(h).alias("x"), F.sum(F.shiftrightunsigned(h, 32)).alias("y"))
+    members = members.join(same.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
+    groups = materialize(in_blocks(members))
+    by = ["key", "i", "j"]
+
+    def beside(ids, classes, bits):
+        near = beside_others(_packed(bits), classes, radius)
+        return {"id": [x for x, n in zip(ids, near) if n]}
+
+    asked = _per_group(groups.join(prints, "id").select(*by, "id", "class", "bits"), by, beside, "id long").distinct()
+    asked = materialize(asked)
+    sets = shingle_sets(docs, _ends(pairs).union(asked).distinct())
+
+    def linked(ids, classes, bits, some):
+        found = forest(_packed(bits), _as_sets(some), classes, radius, likeness)
+        return {"src": [max(ids[i], ids[j]) for i, j in found], "dst": [min(ids[i], ids[j]) for i, j in found]}
+
+    read = groups.join(asked, "id", "left_semi").join(prints, "id").join(sets, "id").select(*by, "id", "class", "bits", "set")
+    more = _per_group(read, by, linked, "src long, dst long")
+    return stars.union(alike_pairs(pairs, sets, likeness)).union(more).distinct()
 
 
 def _within(a, b, x, y, radius):
-    p, q = (np.frombuffer(b"".join(v), np.uint64).reshape(-1, WIDE // 64) for v in (x, y))
+    p, q = _packed(x), _packed(y)
     near = np.bitwise_count(p ^ q).sum(1) <= radius
     return {"a": [i if n else None for i, n in zip(a, near)], "b": [j if n else None for j, n in zip(b, near)]}
 
@@ -269,7 +361,7 @@ def near_duplicate_classes(docs: DataFrame, radius: int | None = None) -> DataFr
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs without the near duplicates of a document with a smaller id: one row of each class stays.  Rows that repeat
-    that id stay once; rows with a null id all stay."""
+    that id and its text stay once, different texts under that id all stay; so do rows with a null id."""
     first = near_duplicate_classes(docs).where("doc_id = class_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = docs.join(first, docs["doc_id"] == first["kept_id"], "left_semi").dropDuplicates(["doc_id"])
+    kept = docs.join(first, docs["doc_id"] == first["kept_id"], "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.union(docs.where("doc_id is null"))
