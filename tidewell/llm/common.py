@@ -42,6 +42,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(made: DataFrame) -> None:
+    """Delete what materialize wrote for `made`, once all that was made of it is written too."""
+    spark = made.sparkSession
+    for folder in {f.rpartition("/")[0] for f in made.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -17,9 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import map_arrow, materialize, mix64, shingle_hashes, word_hashes
+from tidewell.llm.common import discard, map_arrow, materialize, mix64, shingle_hashes, slices, word_hashes
 
 K, WINDOW = 8, 16
+#: Words between equal seeds of one repeating run, at most: fewer than a passage has.
+NEAR = 32
 #: Most words between matches on one diagonal, cost of a word of gap on either side, and the longest gap within a passage.
 STRIDE, GAP_COST, GAP = 32, 0.25, 16
 #: Words an end is extended by at most, cost of a word that differs there, words of a block of an owner's text.
@@ -48,12 +50,17 @@ def minimizers(h: np.ndarray, window: int = WINDOW) -> np.ndarray:
     return np.flatnonzero(_slide(np.concatenate((pad, low, pad)), window, np.maximum) == h)
 
 
-def numbered(h: np.ndarray) -> np.ndarray:
-    """Hashes that also tell how many equal ones stand right before: in runs of one word, the n-th matches the n-th."""
+def numbered(h: np.ndarray, reach: int = NEAR) -> np.ndarray:
+    """Hashes that also tell how many equal ones came before in steps of at most `reach` words: in runs of a repeated word,
+    word pair or line the n-th matches the n-th, not all of them the first."""
+    order = np.argsort(h, kind="stable")
+    new = np.ones(len(h), bool)
+    new[1:] = (h[order[1:]] != h[order[:-1]]) | (np.diff(order) > reach)
     place = np.arange(len(h))
-    start = np.where(np.concatenate(([True], h[1:] != h[:-1])), place, 0)
-    run = (place - np.maximum.accumulate(start)).astype(np.uint64)
-    return np.where(run > 0, mix64(h + run), h)
+    run = place - np.maximum.accumulate(np.where(new, place, 0))
+    out, again = h.copy(), order[run > 0]
+    out[again] = mix64(h[again] + run[run > 0].astype(np.uint64))
+    return out
 
 
 def seeds(docs: DataFrame) -> DataFrame:
@@ -74,9 +81,8 @@ def seeds(docs: DataFrame) -> DataFrame:
     return map_arrow(docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")), rows, "h long, doc long, pos int")
 
 
-def matches(docs: DataFrame) -> DataFrame:
-    """(doc, pos, owner, at): every seed that occurs in a smaller doc_id too, with its first occurrence there."""
-    found = materialize(seeds(docs))
+def matches(found: DataFrame) -> DataFrame:
+    """(doc, pos, owner, at): every seed (h, doc, pos) that occurs in a smaller doc too, with its first occurrence there."""
     first = found.groupBy("h").agg(F.min(F.struct("doc", "pos")).alias("first"), F.max("doc").alias("last"))
     # Written, so that the join is between plain exchanges, of which Spark can split the large partitions
     first = materialize(first.where("last > first.doc").select("h", F.col("first.doc").alias("owner"), F.col("first.pos").alias("at")))
@@ -208,7 +214,7 @@ def owner_blocks(docs: DataFrame, found: DataFrame) -> DataFrame:
                     out["words"].append(h[k * BLOCK : (k + 1) * BLOCK].tobytes())
         return out
 
-    both = docs.select(F.col("doc_id").cast("long").alias("owner"), F.col("text").cast("string").alias("text")).join(asked, "owner").select("owner", "text", "blocks")
+    both = docs.select(F.col("doc_id").cast("long").alias("owner"), F.col("text").cast("string").alias("text")).join(asked.hint("merge"), "owner").select("owner", "text", "blocks")
     return map_arrow(both, rows, "owner long, block int, words binary").dropDuplicates(["owner", "block"])
 
 
@@ -341,13 +347,16 @@ def _passages(text: str, chains_: list, least: int, identity: float) -> tuple[li
 
 
 def _with_chains(docs: DataFrame) -> DataFrame:
-    """docs with a column chains_: of each document the chains, each with the owner's blocks of words that it needs."""
-    found = materialize(chained(matches(docs)).withColumn("chain", F.monotonically_increasing_id()))
-    blocks = materialize(owner_blocks(docs, found))
-    asked = found.withColumn("block", F.explode(_blocks()))
+    """(doc, chains_): of each document the chains, each with the owner's blocks of words that it needs.
+
+    The joins with whole texts are merge joins at any size, so what is exchanged grows as the input does."""
+    found = materialize(seeds(docs))
+    made = materialize(chained(matches(found)).withColumn("chain", F.monotonically_increasing_id()))
+    discard(found)
+    blocks = materialize(owner_blocks(docs, made))
+    asked = made.withColumn("block", F.explode(_blocks()))
     each = asked.join(blocks, ["owner", "block"]).groupBy("doc", "chain").agg(F.first("owner").alias("owner"), F.first("parts").alias("parts"), F.collect_list(F.struct("block", "words")).alias("blocks"))
-    each = each.groupBy("doc").agg(F.collect_list(F.struct("owner", "parts", "blocks")).alias("chains_"))
-    return docs.join(each, docs["doc_id"].cast("long") == each["doc"], "left").drop("doc")
+    return each.groupBy("doc").agg(F.collect_list(F.struct("owner", "parts", "blocks")).alias("chains_"))
 
 
 def repeated_passages(docs: DataFrame, least: int = LEAST, identity: float = IDENTITY) -> DataFrame:
@@ -370,8 +379,10 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, identity: float = IDE
                     out[k].append(v)
         return out
 
-    both = _with_chains(docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    return map_arrow(both.where("chains_ is not null").select("doc_id", "text", "chains_"), rows, schema)
+    docs = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    each = _with_chains(docs)
+    both = docs.join(each.hint("merge"), docs["doc_id"] == each["doc"]).select("doc_id", "text", "chains_")
+    return map_arrow(both, rows, schema)
 
 
 def without_repeats(docs: DataFrame, least: int = LEAST, identity: float = IDENTITY) -> DataFrame:
@@ -390,19 +401,23 @@ def without_repeats(docs: DataFrame, least: int = LEAST, identity: float = IDENT
         left = b"".join(out).decode()
         return left if left.strip(" \t\n\x0b\x0c\r") else None
 
+    names = docs.columns
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            names = b.schema.names
-            texts = b.column(names.index("text")).to_pylist()
-            new = [t if c is None or t is None else cut(t, c) for t, c in zip(texts, b.column(names.index("chains_")).to_pylist())]
+        for b in slices(batches):
+            columns = dict(zip(names, b.column(0).flatten()))
+            texts = columns["text"].to_pylist()
+            new = [t if c is None or t is None else cut(t, c) for t, c in zip(texts, b.column(1).to_pylist())]
             keep = pa.array([n is not None or t is None for n, t in zip(new, texts)])
-            columns = {n: c for n, c in zip(names, b.columns) if n != "chains_"}
             columns["text"] = pa.array(new, columns["text"].type)
             if "n_chars" in columns:
                 count = pa.array([len(n) if n is not None and n != t else None for n, t in zip(new, texts)], columns["n_chars"].type)
                 columns["n_chars"] = pa.compute.coalesce(count, columns["n_chars"])
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns)).filter(keep)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=names).filter(keep)
 
     import pyarrow.compute  # noqa: F401
 
-    return _with_chains(docs).mapInArrow(run, docs.schema)
+    each = _with_chains(docs)
+    rows = docs.where("doc_id is not null").select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col("doc_id").cast("long").alias("of"))
+    both = rows.join(each.hint("merge"), rows["of"] == each["doc"], "left").select("row", "chains_")
+    return both.mapInArrow(run, docs.schema).union(docs.where("doc_id is null"))
