@@ -130,14 +130,24 @@ _WEIGHTS = (np.uint64(1) << np.arange(max(map(len, TABLES)), dtype=np.uint64)).a
 _LANES = mix64(np.arange(1, WIDE // 64 + 1, dtype=np.uint64))
 
 
-def wide_bits(text: str | None, width: int = 5) -> tuple[int, bytes]:
-    """Number of distinct word shingles of the text, and 512 majority bits over their set; none and zeros without words."""
-    h = np.unique(shingle_hashes(word_hashes((text or "").encode())[0], width))
+def _shingles(text: str | None, width: int = 5) -> np.ndarray:
+    """The sorted hashes of the text's distinct word shingles; none without words."""
+    return np.unique(shingle_hashes(word_hashes((text or "").encode())[0], width))
+
+
+def majority(h: np.ndarray) -> bytes:
+    """512 majority bits over a set of hashes; zeros for an empty one."""
     ones = np.zeros(WIDE, np.int64)
     for at in range(0, len(h), 1 << 13):
         lanes = mix64(h[at : at + (1 << 13), None] ^ _LANES[None, :])
         ones += np.unpackbits(lanes.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int32)
-    return len(h), np.packbits(2 * ones > len(h), bitorder="little").tobytes()
+    return np.packbits(2 * ones > len(h), bitorder="little").tobytes()
+
+
+def wide_bits(text: str | None, width: int = 5) -> tuple[int, bytes]:
+    """Number of distinct word shingles of the text, and 512 majority bits over their set; none and zeros without words."""
+    h = _shingles(text, width)
+    return len(h), majority(h)
 
 
 def table_keys(bits: np.ndarray, tables: int) -> np.ndarray:
@@ -197,15 +207,15 @@ def _packed(values) -> np.ndarray:
 
 
 def _per_group(rows: DataFrame, by: list[str], made, schema: str) -> DataFrame:
-    """made(columns) for the rows of each group of equal `by`, columns being lists without those of `by`; one group at a
-    time is held.  The groups are cut to a bounded number of rows before."""
+    """made(key, columns) for the rows of each group of equal `by`, columns being lists without those of `by`; one group at
+    a time is held.  The groups are cut to a bounded number of rows before."""
     k = len(by)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
 
         def out():
-            found = made(*zip(*held))
+            found = made(key, *zip(*held))
             return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in found.values()], names=list(found))
 
         for b in slices(batches):
@@ -232,27 +242,28 @@ def bucket_keys(rows: DataFrame, tables: int) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, set): the shingle sets, as sorted 64-bit hashes, of the texts in docs under the distinct ids."""
+    """(doc, bits, set): wide fingerprints and the sorted 64-bit hashes of the shingles of the texts under the distinct ids."""
 
     def made(ids, texts):
-        return {"id": ids, "set": [np.unique(shingle_hashes(word_hashes((t or "").encode())[0], 5)).tobytes() for t in texts]}
+        sets = [_shingles(t) for t in texts]
+        return {"doc": ids, "bits": [majority(s) for s in sets], "set": [s.tobytes() for s in sets]}
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(ids, "id", "left_semi")
-    return materialize(map_arrow(texts, made, "id long, set binary").where("length(set) > 0").dropDuplicates(["id", "set"]))
+    return materialize(map_arrow(texts, made, "doc long, bits binary, set binary").where("length(set) > 0").dropDuplicates(["doc", "set"]))
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
 
 
-def _joined(pairs: DataFrame, rows: DataFrame, column: str) -> DataFrame:
-    one, two = rows.select(F.col("id").alias("a"), F.col(column).alias("x")), rows.select(F.col("id").alias("b"), F.col(column).alias("y"))
+def _joined(pairs: DataFrame, rows: DataFrame, id: str, column: str) -> DataFrame:
+    one, two = rows.select(F.col(id).alias("a"), F.col(column).alias("x")), rows.select(F.col(id).alias("b"), F.col(column).alias("y"))
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y")
 
 
 def near_pairs(pairs: DataFrame, prints: DataFrame, radius: int) -> DataFrame:
     """The pairs (a, b) whose wide fingerprints differ in at most `radius` bits."""
-    return materialize(map_arrow(_joined(pairs, prints, "bits"), lambda a, b, x, y: _within(a, b, x, y, radius), "a long, b long").where("a is not null"))
+    return materialize(map_arrow(_joined(pairs, prints, "id", "bits"), lambda a, b, x, y: _within(a, b, x, y, radius), "a long, b long").where("a is not null"))
 
 
 def alike_pairs(pairs: DataFrame, sets: DataFrame, likeness: float) -> DataFrame:
@@ -262,37 +273,40 @@ def alike_pairs(pairs: DataFrame, sets: DataFrame, likeness: float) -> DataFrame
         near = [likenesses(p, [q])[0] >= likeness for p, q in zip(_as_sets(x), _as_sets(y))]
         return {"src": [j if n else None for j, n in zip(b, near)], "dst": [i if n else None for i, n in zip(a, near)]}
 
-    return map_arrow(_joined(pairs, sets, "set"), compared, "src long, dst long").where("src is not null")
+    return map_arrow(_joined(pairs, sets, "doc", "set"), compared, "src long, dst long").where("src is not null")
 
 
 def star_links(prints: DataFrame, docs: DataFrame, radius: int, likeness: float) -> DataFrame:
     """Links between members of the buckets of the first tables and the least id there, where their sets are alike.  A group
     of near copies costs a pair a member and table at most, and what is linked here need not be compared again."""
-    rows = bucket_keys(prints.withColumn("class", F.col("id")), STARS)
-    least = rows.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    pairs = rows.join(materialize(least), "key").where("a < id").select("a", F.col("id").alias("b")).distinct()
+    rows = bucket_keys(prints.withColumn("class", F.col("id")), STARS).withColumnRenamed("key", "bucket")
+    found = materialize(rows.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("n")).where("n > 1"))
+    stars = rows.join(found.where("n > 2").select("bucket", "a"), "bucket").where("a < id").select("a", F.col("id").alias("b"))
+    pairs = found.where("n = 2").select("a", "b").union(stars).distinct()
     near = near_pairs(pairs, prints, radius)
     return materialize(alike_pairs(near, shingle_sets(docs, _ends(near)), likeness))
 
 
 def in_blocks(members: DataFrame, block: int = BUCKET) -> DataFrame:
-    """members (key, id, class, n: rows of the key) dealt to groups (key, i, j) so that two members of different classes meet in
-    a group, of at most two blocks of about `block` rows each; a bucket of no more rows is one group.
-
-    The rows of a bucket's largest class go to their own block only, once for each block of the others, and never meet each
-    other; so a bucket of one huge class and a few other rows costs a row a member."""
-    counts = members.groupBy("key", "class").agg(F.count("*").alias("c"), F.first("n").alias("n"))
+    """members (key, id, class, bits, n: rows of the key) dealt to groups (key, i, j) so that any two members of different
+    classes meet in a group, of at most two blocks of about `block` rows each; a bucket of no more rows is one group.
+
+    The rows of a large bucket's largest class go to their own block only, once for each block of the others, and never meet
+    each other; so a bucket of one huge class and a few other rows costs a row a member."""
+    whole = F.lit(-1).cast("long")
+    few = members.where(F.col("n") <= block).select("key", whole.alias("i"), whole.alias("j"), "id", "class", "bits")
+    many = members.where(F.col("n") > block)
+    counts = many.groupBy("key", "class").agg(F.count("*").alias("c"))
     largest = counts.groupBy("key").agg(F.max(F.struct("c", "class")).alias("top"))
-    largest = largest.select("key", F.col("top.class").alias("main"), F.col("top.c").alias("mains"))
-    both = members.join(largest, "key")
+    both = many.join(largest.select("key", F.col("top.class").alias("main"), F.col("top.c").alias("mains")), "key")
     a, o = (F.ceil(F.greatest(x, F.lit(1)) / block) for x in (F.col("mains"), F.col("n") - F.col("mains")))
     own = lambda blocks: F.pmod(F.xxhash64("id"), blocks)
-    whole = F.array(F.struct(F.lit(-1).cast("long").alias("i"), F.lit(-1).cast("long").alias("j")))
-    mains = F.transform(F.sequence(F.lit(0).cast("long"), o - 1), lambda j: F.struct(own(a).alias("i"), j.alias("j")))
-    others = F.transform(F.sequence(F.lit(0).cast("long"), a - 1), lambda i: F.struct(i.alias("i"), own(o).alias("j")))
-    among = F.transform(F.sequence(F.lit(0).cast("long"), o - 1), lambda k: F.struct((-2 - F.least(own(o), k)).alias("i"), F.greatest(own(o), k).alias("j")))
-    groups = F.when(F.col("n") <= block, whole).when(F.col("class") == F.col("main"), mains).otherwise(F.concat(others, among))
-    return both.select("key", "id", "class", F.inline(groups))
+    upto = lambda blocks: F.sequence(F.lit(0).cast("long"), blocks - 1)
+    mains = F.transform(upto(o), lambda j: F.struct(own(a).alias("i"), j.alias("j")))
+    others = F.transform(upto(a), lambda i: F.struct(i.alias("i"), own(o).alias("j")))
+    among = F.transform(upto(o), lambda k: F.struct((-2 - F.least(own(o), k)).alias("i"), F.greatest(own(o), k).alias("j")))
+    groups = F.when(F.col("class") == F.col("main"), mains).otherwise(F.concat(others, among))
+    return few.union(both.select("key", F.inline(groups), "id", "class", "bits"))
 
 
 def wide_links(prints: DataFrame, docs: DataFrame, radius: int = RADIUS, likeness: float = LIKENESS) -> DataFrame:
@@ -300,8 +314,8 @@ def wide_links(prints: DataFrame, docs: DataFrame, radius: int = RADIUS, likenes
     (doc_id, text) have shingle sets alike at `likeness` or more; the links join whatever such pairs join.
 
     Stars over the first tables link most near copies.  Then only buckets that hold different classes are read: those of two
-    rows as pairs, each other one in order, one for all with the same members, yielding fewer links than it has members.
-    Rows that no row of another class is near by their bits leave before any text is made into a set."""
+    rows as pairs, each other one in order, yielding fewer links than it has members.  Rows that no row of another class is
+    near by their bits leave before any text is made into a set."""
     stars = star_links(prints, docs, radius, likeness)
     classes = connected_components(stars)
     named = materialize(prints.join(classes, prints["id"] == classes["node"], "left").select("id", "bits", F.coalesce("component", "id").alias("class")))
@@ -309,26 +323,21 @@ def wide_links(prints: DataFrame, docs: DataFrame, radius: int = RADIUS, likenes
     ends = (f(c).alias(f.__name__ + "_" + c) for c in ("id", "class") for f in (F.min, F.max))
     mixed = materialize(rows.groupBy("key").agg(F.count("*").alias("n"), *ends).where("min_class < max_class"))
     pairs = near_pairs(mixed.where("n = 2").select(F.col("min_id").alias("a"), F.col("max_id").alias("b")).distinct(), prints, radius)
-    members = materialize(rows.join(mixed.where("n > 2").select("key", "n"), "key"))
-    h = F.xxhash64("id")
-    same = members.groupBy("key").agg(F.first("n").alias("n"), F.bit_xor(h).alias("x"), F.sum(F.shiftrightunsigned(h, 32)).alias("y"))
-    members = members.join(same.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
-    groups = materialize(in_blocks(members))
+    members = materialize(rows.join(mixed.where("n > 2").select("key", "n"), "key").join(prints.select("id", "bits"), "id"))
     by = ["key", "i", "j"]
 
-    def beside(ids, classes, bits):
-        near = beside_others(_packed(bits), classes, radius)
-        return {"id": [x for x, n in zip(ids, near) if n]}
+    def beside(key, ids, classes, bits):
+        near = [(*key, i, c) for i, c, n in zip(ids, classes, beside_others(_packed(bits), classes, radius)) if n]
+        return dict(zip([*by, "id", "class"], list(zip(*near)) or [[]] * 5))
 
-    asked = _per_group(groups.join(prints, "id").select(*by, "id", "class", "bits"), by, beside, "id long").distinct()
-    asked = materialize(asked)
-    sets = shingle_sets(docs, _ends(pairs).union(asked).distinct())
+    near = materialize(_per_group(in_blocks(members), by, beside, "key long, i long, j long, id long, class long"))
+    sets = shingle_sets(docs, _ends(pairs).union(near.select("id")).distinct())
 
-    def linked(ids, classes, bits, some):
+    def linked(_, ids, classes, bits, some):
         found = forest(_packed(bits), _as_sets(some), classes, radius, likeness)
         return {"src": [max(ids[i], ids[j]) for i, j in found], "dst": [min(ids[i], ids[j]) for i, j in found]}
 
-    read = groups.join(asked, "id", "left_semi").join(prints, "id").join(sets, "id").select(*by, "id", "class", "bits", "set")
+    read = near.join(sets, near["id"] == sets["doc"]).select(*by, "id", "class", "bits", "set")
     more = _per_group(read, by, linked, "src long, dst long")
     return stars.union(alike_pairs(pairs, sets, likeness)).union(more).distinct()
 
