@@ -1,8 +1,8 @@
 """Quality rules with adaptive thresholds.
 
 Ratios of each text are compared with bounds of its own language and source.  The bounds come from quantile sketches:
-counts of documents by whole per-mille of a ratio.  Counts add up, so sketches of partitions, sources and languages
-merge exactly, and a sketch has at most 1001 rows a ratio."""
+counts of documents by bins of a ratio that are as fine as a part per million near zero and 1/32 of the ratio elsewhere.
+Counts add up, so sketches of partitions, sources and languages merge exactly, and a sketch has at most BINS rows a ratio."""
 
 from __future__ import annotations
 
@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 from tidewell.llm.common import SPACE_CLASS, materialize
 
 WINDOW = 8
-#: Ratio: least distance from the median at which it can fail, in per mille.  A bound lies at the median plus SPREAD times
-#: the distance from the lower decile to the median, or plus this if that is more; so up to half of a group may be
-#: bad without moving its bound far.
-RATIOS = {"symbols": 50, "dup_lines": 250, "echoes": 100, "shouting": 250, "long_words": 150}
-SPREAD = 4
-#: Groups of fewer documents use the sketch of all sources of their language, merged.
-LEAST_GROUP = 30
+#: Each ratio by what is counted, and of what.
+RATIOS = {"symbols": ("n_symbols", "word_chars"), "dup_lines": ("n_dup_lines", "n_lines"), "echoes": ("n_echoes", "n_words"), "shouting": ("n_upper", "word_chars"), "long_words": ("n_long", "n_words")}
+#: A bound lies SPREAD times the distance from the median to the upper quartile above that quartile, so up to a quarter of
+#: a group may be bad.  A document fails if its count exceeds what the bound allows by more than ALLOWED: in a short text a
+#: few occurrences tell nothing.  A group's sketch is joined by that of its language with a weight of PRIOR documents.
+SPREAD, ALLOWED, PRIOR = 8, 4, 30
+#: Bins of a sketch: 64 of one part per million, then 32 for each doubling up to a million.
+BINS = 64 + 32 * 14
 
 
 def _pairs(h: Column, gap: int) -> Column:
@@ -59,52 +60,59 @@ def measures(docs: DataFrame, *keep: str) -> DataFrame:
     return one.withColumn("n_repeat_words", F.coalesce(F.when(F.col("at_").isNotNull(), total), F.lit(0).cast("long"))).drop("h_", "at_")
 
 
-def _ratios() -> list[Column]:
-    def share(a: str, b: str, times: int = 1) -> Column:
-        value = F.when(F.col(b) > 0, F.floor(1000 * times * F.col(a) / F.col(b))).otherwise(0)
-        return F.least(value, F.lit(1000)).cast("int")
-
-    return [share("n_symbols", "word_chars", 2).alias("symbols"), share("n_dup_lines", "n_lines").alias("dup_lines"), share("n_echoes", "n_words").alias("echoes"), share("n_upper", "word_chars").alias("shouting"), share("n_long", "n_words").alias("long_words")]
+def _bin(ppm: str) -> str:
+    """The lower edge of the bin that a ratio in parts per million falls into: its six leading binary digits."""
+    digits = f"greatest(length(bin({ppm})) - 6, 0)"
+    return f"shiftleft(shiftright({ppm}, {digits}), {digits})"
 
 
 def sketches(rows: DataFrame, *group: str) -> DataFrame:
     """(group, ratio, bin, n): how many documents have a ratio in a bin."""
-    long = rows.select(*group, F.expr("stack(%d, %s) as (ratio, bin)" % (len(RATIOS), ", ".join(f"'{r}', `{r}`" for r in RATIOS))))
-    return long.groupBy(*group, "ratio", "bin").agg(F.count("*").alias("n"))
+    parts = ", ".join(f"'{r}', {a} * 1000000 div greatest({b}, 1)" for r, (a, b) in RATIOS.items())
+    long = rows.select(*group, F.expr(f"stack({len(RATIOS)}, {parts}) as (ratio, ppm)"))
+    return long.groupBy(*group, "ratio", F.expr(_bin("ppm")).alias("bin")).agg(F.count("*").alias("n"))
+
+
+def pooled(fine: DataFrame) -> DataFrame:
+    """The sketches (lang_, source_, ratio, bin, n), each joined by its language's as if that were PRIOR documents more: a small
+    source is judged mostly by its language, a large one by itself, without a jump.  Weights are whole numbers: n times the
+    language's documents, and PRIOR times the language's n."""
+    wide = fine.groupBy("lang_", "ratio", "bin").agg(F.sum("n").alias("wide"))
+    total = wide.groupBy("lang_", "ratio").agg(F.sum("wide").alias("all"))
+    named = lambda df: df.withColumnsRenamed({"lang_": "of_lang", "ratio": "of_ratio"})
+    of = lambda a, b: a["lang_"].eqNullSafe(b["of_lang"]) & (a["ratio"] == b["of_ratio"])
+    total, wide = named(total), named(wide)
+    sources = fine.select("lang_", "source_", "ratio").distinct()
+    more = sources.join(wide, of(sources, wide)).select("lang_", "source_", "ratio", "bin", (F.col("wide").cast("decimal(38,0)") * PRIOR).cast("decimal(38,0)").alias("w"))
+    own = fine.join(total, of(fine, total)).select("lang_", "source_", "ratio", "bin", (F.col("n").cast("decimal(19,0)") * F.col("all").cast("decimal(18,0)")).cast("decimal(38,0)").alias("w"))
+    return own.union(more).groupBy("lang_", "source_", "ratio", "bin").agg(F.sum("w").cast("decimal(38,0)").alias("w"))
 
 
 def bounds(sketch: DataFrame, *group: str) -> DataFrame:
-    """(group, n_docs, and a bound for each ratio) from sketches."""
-    order = Window.partitionBy(*group, "ratio").orderBy("bin")
-    total = F.sum("n").over(Window.partitionBy(*group, "ratio"))
-    ranked = sketch.withColumn("upto", F.sum("n").over(order)).withColumn("total", total)
-    q = lambda p: F.min(F.when(F.col("upto") * 10 >= F.col("total") * p, F.col("bin")))
-    found = ranked.groupBy(*group, "ratio").agg(F.max("total").alias("n_docs"), q(1).alias("low"), q(5).alias("mid"))
-    least = F.lit(0)
-    for name, floor in RATIOS.items():
-        least = F.when(F.col("ratio") == name, floor).otherwise(least)
-    bound = F.col("mid") + F.greatest(SPREAD * (F.col("mid") - F.col("low")), least)
-    return found.withColumn("bound", bound).groupBy(*group).agg(F.max("n_docs").alias("n_docs"), *(F.max(F.when(F.col("ratio") == r, F.col("bound"))).alias(f"{r}_bound") for r in RATIOS))
+    """(group, and a bound in parts per million for each ratio) from sketches of weights w."""
+    part = Window.partitionBy(*group, "ratio")
+    ranked = sketch.withColumn("upto", F.sum("w").over(part.orderBy("bin"))).withColumn("total", F.sum("w").over(part))
+    q = lambda k: F.min(F.when(F.col("upto") * 4 >= F.col("total") * k, F.col("bin")))
+    found = ranked.groupBy(*group, "ratio").agg(q(2).alias("mid"), q(3).alias("high"))
+    found = found.withColumn("bound", F.col("high") + SPREAD * (F.col("high") - F.col("mid")))
+    return found.groupBy(*group).agg(*(F.max(F.when(F.col("ratio") == r, F.col("bound"))).alias(f"{r}_bound") for r in RATIOS))
 
 
 def judge(docs: DataFrame, *keep: str) -> DataFrame:
     """A row for each row of docs: doc_id, `keep`, the five base measures, base_failed and kept.
 
     base_failed: fewer than 20 words, or more than 30 % of the words in repeated windows.  kept: not base_failed, and no
-    ratio above its bound for the language and source (null is a value of its own)."""
+    ratio above its bound for the language and source (null is a value of its own) by more than ALLOWED occurrences.
+    Documents that fail the base rules are left out of the sketches."""
     names = list(dict.fromkeys(["doc_id", *keep]))
-    rows = measures(docs.withColumns({"lang_": F.col("lang").cast("string"), "source_": F.col("source").cast("string")}), *names, "lang_", "source_")
-    rows = materialize(rows.select("*", *_ratios()))
-    fine = materialize(sketches(rows, "lang_", "source_"))
-    coarse = fine.groupBy("lang_", "ratio", "bin").agg(F.sum("n").alias("n"))
-    own = bounds(fine, "lang_", "source_")
-    wide = bounds(coarse, "lang_").select(F.col("lang_").alias("of_lang"), *(F.col(f"{r}_bound").alias(f"{r}_wide") for r in RATIOS))
-    own = own.join(wide, own["lang_"].eqNullSafe(wide["of_lang"]))
-    own = own.select(F.col("lang_").alias("own_lang"), F.col("source_").alias("own_source"), *(F.when(F.col("n_docs") >= LEAST_GROUP, F.col(f"{r}_bound")).otherwise(F.col(f"{r}_wide")).alias(f"{r}_bound") for r in RATIOS))
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row_"), "text", F.col("lang").cast("string").alias("lang_"), F.col("source").cast("string").alias("source_"))
+    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    rows = materialize(measures(held, "row_", "lang_", "source_").withColumn("base_failed", failed))
+    fine = materialize(sketches(rows.where("not base_failed"), "lang_", "source_"))
+    own = bounds(pooled(fine), "lang_", "source_").withColumnsRenamed({"lang_": "own_lang", "source_": "own_source"})
     own = materialize(own)  # its size is known when the join is planned
     both = rows.join(own, rows["lang_"].eqNullSafe(own["own_lang"]) & rows["source_"].eqNullSafe(own["own_source"]), "left")
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    passed = ~failed
-    for r in RATIOS:
-        passed &= F.col(r) <= F.coalesce(F.col(f"{r}_bound"), F.lit(1000))
-    return both.select(*names, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), passed.alias("kept"))
+    passed = ~F.col("base_failed")
+    for r, (a, b) in RATIOS.items():
+        passed &= F.coalesce((F.col(a) - ALLOWED) * 1000000 <= F.col(f"{r}_bound") * F.col(b), F.lit(True))
+    return both.select("row_.*", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", passed.alias("kept"))

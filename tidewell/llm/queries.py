@@ -84,23 +84,8 @@ select doc_id, size, source_size, target,
 from rows join rates on rows.source is not distinct from rates.source
 """
 
-_SHARE = "least(case when {b} > 0 then ({t} * {a}) // {b} else 0 end, 1000)::int"
-_RATIOS = {"symbols": ("n_symbols", "word_chars", 2000), "dup_lines": ("n_dup_lines", "n_lines", 1000), "echoes": ("n_echoes", "n_words", 1000), "shouting": ("n_upper", "word_chars", 1000), "long_words": ("n_long", "n_words", 1000)}
-_LEVELS = "mid + greatest(4 * (mid - low), case ratio " + " ".join(f"when '{r}' then {v}" for r, v in quality_rules.RATIOS.items()) + " end)"
-_WIDE = ", ".join(f"max(bound) filter (where ratio = '{r}') as {r}_bound" for r in _RATIOS)
-
-
-def _sketch_sql(group: str) -> str:
-    return f"""
-  select {group}, max(total) as n_docs, {_WIDE} from (
-    select {group}, ratio, max(total) as total, {_LEVELS} as bound from (
-      select {group}, ratio, max(total) as total, min(bin) filter (where upto * 10 >= total) as low, min(bin) filter (where upto * 10 >= total * 5) as mid from (
-        select *, sum(n) over (partition by {group}, ratio order by bin) as upto, sum(n) over (partition by {group}, ratio) as total from (
-          select {group}, ratio, bin, count(*) as n from long group by all))
-      group by {group}, ratio)
-    group by {group}, ratio, mid, low)
-  group by {group}"""
-
+_RATIOS = {"symbols": ("n_symbols", "word_chars"), "dup_lines": ("n_dup_lines", "n_lines"), "echoes": ("n_echoes", "n_words"), "shouting": ("n_upper", "word_chars"), "long_words": ("n_long", "n_words")}
+_PPM = "({a} * 1000000 // greatest({b}, 1))"
 
 OP7_SQL = rf"""
 with split as (
@@ -123,17 +108,25 @@ base as (
     len(list_filter(words, lambda w: length(w) > 18))::bigint as n_long,
     len(list_filter(list_zip(words[2:], words), lambda p: p[1] = p[2]))::bigint as n_echoes
   from split left join covered using (k)),
-rated as (select *, {", ".join(_SHARE.format(a=a, b=b, t=t) + " as " + r for r, (a, b, t) in _RATIOS.items())} from base),
-long as ({" union all ".join(f"select lang, source, '{r}' as ratio, {r} as bin from rated" for r in _RATIOS)}),
-own as ({_sketch_sql("lang, source")}),
-wide as ({_sketch_sql("lang")}),
-bounds as (
-  select own.lang, own.source, {", ".join(f"case when own.n_docs >= 30 then own.{r}_bound else wide.{r}_bound end as {r}_bound" for r in _RATIOS)}
-  from own join wide on own.lang is not distinct from wide.lang)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-  (n_words < 20 or 100 * n_repeat_words > 30 * n_words) as base_failed,
-  not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and {" and ".join(f"{r} <= {r}_bound" for r in _RATIOS)} as kept
-from rated join bounds on rated.lang is not distinct from bounds.lang and rated.source is not distinct from bounds.source
+rated as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from base),
+long as ({" union all ".join(f"select lang, source, '{r}' as ratio, {_PPM.format(a=a, b=b)} as ppm from rated where not base_failed" for r, (a, b) in _RATIOS.items())}),
+fine as (
+  select lang, source, ratio, (ppm >> greatest(length(bin(ppm)) - 6, 0)) << greatest(length(bin(ppm)) - 6, 0) as bin, count(*)::hugeint as n
+  from long group by all),
+wide as (select lang, ratio, bin, sum(n)::hugeint as n from fine group by all),
+whole as (select lang, ratio, sum(n)::hugeint as n from fine group by all),
+weighed as (
+  select lang, source, ratio, bin, sum(w)::hugeint as w from (
+    select f.lang, f.source, f.ratio, f.bin, f.n * t.n as w from fine f join whole t on f.lang is not distinct from t.lang and f.ratio = t.ratio
+    union all
+    select s.lang, s.source, s.ratio, v.bin, 30 * v.n from (select distinct lang, source, ratio from fine) s join wide v on s.lang is not distinct from v.lang and s.ratio = v.ratio)
+  group by all),
+ranked as (select *, sum(w) over (partition by lang, source, ratio order by bin) as upto, sum(w) over (partition by lang, source, ratio) as total from weighed),
+levels as (select lang, source, ratio, min(bin) filter (where upto * 2 >= total) as mid, min(bin) filter (where upto * 4 >= total * 3) as high from ranked group by all),
+bounds as (select lang, source, {", ".join(f"max(high + 8 * (high - mid)) filter (where ratio = '{r}') as {r}_bound" for r in _RATIOS)} from levels group by all)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not base_failed and {" and ".join(f"coalesce(({a} - 4) * 1000000 <= {r}_bound * {b}, true)" for r, (a, b) in _RATIOS.items())} as kept
+from rated left join bounds on rated.lang is not distinct from bounds.lang and rated.source is not distinct from bounds.source
 """
 
 OP10_SQL = """
