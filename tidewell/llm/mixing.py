@@ -30,10 +30,9 @@ def source_targets(sizes: DataFrame, most: int = MOST) -> DataFrame:
     caps = sums.select("source", "source_size", (((rank - 1) % 3) + 1).cast("long").alias("weight")).withColumn("cap", F.col("source_size") * most)
     order = Window.orderBy((F.col("cap") / F.col("weight")), F.col("source").asc_nulls_last())
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    onward = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     everyone = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     left = F.sum("source_size").over(everyone) - F.coalesce(F.sum("cap").over(before), F.lit(0))
-    poured = caps.select("source", "source_size", "weight", "cap", left.alias("left"), F.sum("weight").over(onward).alias("heavy"))
+    poured = caps.select("source", "source_size", "weight", "cap", left.alias("left"), (F.sum("weight").over(everyone) - F.coalesce(F.sum("weight").over(before), F.lit(0))).alias("heavy"))
     poured = poured.withColumn("level", F.col("left").cast("double") / F.col("heavy")).withColumn("full", F.col("cap") <= F.col("weight") * F.col("level"))
     level = F.max(F.when(~F.col("full"), F.struct(-F.col("cap") / F.col("weight"), "level"))).over(Window.partitionBy(F.lit(0)))
     target = F.when(F.col("full"), F.col("cap").cast("double")).otherwise(F.col("weight") * level["level"])
@@ -73,9 +72,10 @@ def repetitions(docs: DataFrame, seed: int = 0, most: int = MOST) -> DataFrame:
 
 
 def mix(docs: DataFrame, seed: int = 0, most: int = MOST) -> DataFrame:
-    """docs with each row repeated as often as the mix takes it, and dropped where that is never."""
-    sizes = docs.select(F.col("source").cast("string").alias("source"), count_words(F.col("text")).alias("size"))
-    both = _with_targets(docs, source_targets(sizes, most).withColumnRenamed("target", "mix_target").withColumnRenamed("source_size", "mix_size"))
-    both = both.withColumn("mix_copies", _copies(_draw(seed), most, "mix_target", "mix_size"))
-    return both.where("mix_copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), "mix_copies"))).select(*docs.columns)
-
+    """docs with each row repeated as often as the mix takes it, and dropped where that is never.  Any other columns, whatever
+    their names, go with their rows; an empty table stays empty."""
+    source = F.col("source").cast("string").alias("source")
+    sizes = docs.select(source, count_words(F.col("text")).alias("size"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), source, _draw(seed).alias("draw"))
+    both = _with_targets(rows, source_targets(sizes, most)).withColumn("copies", _copies(F.col("draw"), most))
+    return both.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")
