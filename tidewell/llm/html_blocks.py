@@ -29,113 +29,187 @@ CLOSES_P = {"address", "article", "aside", "blockquote", "details", "div", "dl",
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "tfoot": {"table"}}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+QUOTED = re.compile(r"[>\"']")
+ENDS = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
+#: Tags of a page whose quotes may go wrong before its quotes are no longer heeded.
+BROKEN = 8
 LABELS = re.compile(r"""(?:^|\s)(?:class|id|role|aria-label|hidden|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORD = re.compile(r"[a-z]+")
 SPACE = re.compile(r"[\s ]+")
 
 
-def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
-    """(text, path, characters in links) of each leaf block in page order.  The path has the open tags and, after a dot,
-    the words of their class, id and role.  Text of silent elements is left out; broken markup never raises."""
-    out, stack, parts, linked = [], [], [], 0
-    page = page or ""
+TAG_BITS, WORD_BITS, MEASURES = 256, 32, 8
+INPUT = TAG_BITS + WORD_BITS + MEASURES
+HIDDEN = 16
 
-    def flush():
-        nonlocal parts, linked
-        text = SPACE.sub(" ", html.unescape("".join(parts))).strip()
-        if text:
-            path = tuple(x for tag, names in stack if tag not in INLINE for x in (tag, *names))
-            out.append((text, path, linked))
-        parts, linked = [], 0
 
-    def text(s: str):
-        nonlocal linked
-        if s and not any(t in SILENT for t, _ in stack):
-            parts.append(s)
-            if any(t == "a" for t, _ in stack):
-                linked += len(s)
+class _Slots(dict):
+    """Hashed places of words, remembered."""
 
-    def pop(upto: int):
-        if any(t not in INLINE for t, _ in stack[upto:]):
-            flush()
-        del stack[upto:]
+    def __init__(self, size: int, clean):
+        self.size, self.clean = size, clean
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 1 << 18:
+            self.clear()
+        self[word] = found = xxhash.xxh64_intdigest(self.clean(word), 5) % self.size
+        return found
+
+
+_TAG_SLOT, _WORD_SLOT = _Slots(TAG_BITS, str), _Slots(WORD_BITS, lambda w: w.lower().strip(".,:;!?"))
 
-    at, n = 0, len(page)
+
+def tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """("text", text, "") and ("open" or "close", tag, attributes) in page order; comments, declarations and what silent
+    elements hold are left out.  Broken markup never raises, and each character is looked at a bounded number of times."""
+    at, n, broken, cdata = 0, len(page), 0, True
     while at < n:
-        m = TOKEN.search(page, at)
-        if not m:
-            text(page[at:])
-            break
-        text(page[at : m.start()])
-        at = m.end()
-        tag = (m[1] or "").lower()
-        if not tag:
+        start = page.find("<", at)
+        if start < 0 or (close := page.find(">", start)) < 0:
+            yield "text", page[at:] if not page.startswith("<!--", start) or start < 0 else page[at:start], ""
+            return
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4) + 3
+            yield "text", page[at:start], ""
+            at = n if end < 3 else end
             continue
-        if page[m.start() + 1] == "/":
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    pop(k)
-                    break
-                if tag in INLINE and stack[k][0] not in INLINE:
-                    break
+        if cdata and page.startswith("<![CDATA[", start):
+            end = page.find("]]>", start)
+            cdata = end >= 0
+            if cdata:
+                yield "text", page[at:start], ""
+                at = end + 3
+                continue
+        if page[start + 1] in "!?":
+            yield "text", page[at:start], ""
+            at = close + 1
             continue
-        if tag not in INLINE:
-            if tag == "body":
-                pop(next((k for k, x in enumerate(stack) if x[0] == "head"), len(stack)))
-            if tag in CLOSES_P:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == "p":
-                        pop(k)
-                        break
-                    if stack[k][0] in ("td", "th", "button"):
-                        break
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in CLOSES.get(tag, ()):
-                    pop(k)
-                    break
-                if stack[k][0] in SCOPES.get(tag, ()) or tag not in CLOSES:
-                    break
-            flush()
-        elif tag in ("br", "img", "wbr"):
-            parts.append("" if tag == "wbr" else " ")
-        if tag in VOID or m[2].rstrip().endswith("/") and tag not in INLINE and tag not in CLOSES_P:
+        back = page[start + 1] == "/"
+        name = NAME.match(page, start + 1 + back)
+        if not name:
+            yield "text", page[at : start + 1], ""
+            at = start + 1
             continue
-        names = tuple("." + w for x in LABELS.finditer(m[2]) for w in WORD.findall((x[1] or x[2] or x[3] or "").lower())) if "=" in m[2] else ()
-        stack.append((tag, names))
-        if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            if tag in SILENT:
-                at = end.end() if end else n
-                stack.pop()
-    stack, last = stack, None
-    flush()
-    return out
+        yield "text", page[at:start], ""
+        if broken < BROKEN:
+            k = name.end()
+            while (m := QUOTED.search(page, k)) and m[0] != ">":
+                k = page.find(m[0], m.end()) + 1
+                if not k:
+                    break
+            if m and k:
+                close = m.start()
+            else:
+                broken += 1
+        tag, rest = name[0].lower(), page[name.end() : close]
+        at = close + 1
+        yield "close" if back else "open", tag, rest
+        if not back and tag in RAW and tag in SILENT:
+            end = ENDS[tag].search(page, at)
+            yield "close", tag, ""
+            at = end.end() if end else n
+
+
+class _Stack:
+    """The open elements, with what blocks need to know of them kept as counts."""
+
+    def __init__(self):
+        self.open: list[tuple[str, tuple[str, ...]]] = []
+        self.at: dict[str, list[int]] = {}  # of each tag, where it is open
+        self.outer: list[int] = []  # where elements are open that are not inline
+        self.counts = [0] * TAG_BITS
+        self.slots = self.depth = self.silent = 0  # slots: a bit for each place with a count
+
+    def push(self, tag: str, names: tuple[str, ...]) -> None:
+        k = len(self.open)
+        self.open.append((tag, names))
+        self.at.setdefault(tag, []).append(k)
+        self.silent += tag in SILENT
+        if tag not in INLINE:
+            self.outer.append(k)
+            self._count(tag, names, 1)
+
+    def _count(self, tag: str, names: tuple[str, ...], by: int) -> None:
+        self.depth += by * (1 + len(names))
+        for w in (tag, *names):
+            k = _TAG_SLOT[w]
+            self.counts[k] += by
+            if self.counts[k] == (by > 0):  # from or to none
+                self.slots ^= 1 << k
+
+    def pop(self) -> None:
+        tag, names = self.open.pop()
+        self.at[tag].pop()
+        self.silent -= tag in SILENT
+        if tag not in INLINE:
+            self.outer.pop()
+            self._count(tag, names, -1)
 
+    def last(self, tags) -> int:
+        """Where the innermost of some elements is open, or -1."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
 
-TAG_BITS, WORD_BITS, MEASURES = 256, 32, 8
-INPUT = TAG_BITS + WORD_BITS + MEASURES
-HIDDEN = 16
 
+def blocks(page: str | None) -> list[tuple[str, bytes, int, int]]:
+    """(text, places of the path, elements of the path, characters in links) of each leaf block in page order.  The path has
+    the open tags and, after a dot, the words of their class, id and role.  Text of silent elements is left out."""
+    out, stack, parts, linked = [], _Stack(), [], 0
+
+    def flush():
+        nonlocal parts, linked
+        text = SPACE.sub(" ", html.unescape("".join(parts))).strip() if parts else ""
+        if text:
+            out.append((text, stack.slots.to_bytes(TAG_BITS // 8, "little"), stack.depth, linked))
+        parts, linked = [], 0
 
-@lru_cache(1 << 16)
-def _slot(word: str, size: int) -> int:
-    return xxhash.xxh64_intdigest(word, 5) % size
+    def pop(upto: int):
+        if stack.outer and stack.outer[-1] >= upto:
+            flush()
+        while len(stack.open) > upto:
+            stack.pop()
+
+    for kind, what, rest in tokens(page or ""):
+        if kind == "text":
+            if what and not stack.silent:
+                parts.append(what)
+                linked += len(what) if stack.at.get("a") else 0
+        elif kind == "close":
+            k = stack.last((what,))
+            if k >= 0 and not (what in INLINE and stack.outer and stack.outer[-1] > k):
+                pop(k)
+        else:
+            if what not in INLINE:
+                if what == "body" and stack.at.get("head"):
+                    pop(stack.at["head"][0])
+                if what in CLOSES_P and (k := stack.last(("p",))) > stack.last(("td", "th", "button")):
+                    pop(k)
+                if what in CLOSES and (k := stack.last(CLOSES[what])) > stack.last(SCOPES.get(what, ())):
+                    pop(k)
+                flush()
+            elif what in ("br", "img", "wbr"):
+                parts.append("" if what == "wbr" else " ")
+            if what in VOID or rest.rstrip().endswith("/") and what not in INLINE and what not in CLOSES_P:
+                continue
+            names = tuple("." + w for x in LABELS.finditer(rest) for w in WORD.findall((x[1] or x[2] or x[3] or "").lower())) if "=" in rest else ()
+            stack.push(what, names)
+    flush()
+    return out
 
 
-def vectors(found: list[tuple[str, tuple[str, ...], int]]) -> np.ndarray:
-    """A row of features for each block."""
+def vectors(found: list[tuple[str, bytes, int, int]], first: int = 0, last: int | None = None) -> np.ndarray:
+    """A row of features for each block, or for those of a part of a page."""
+    total, found = len(found), found[first:last]
     x = np.zeros((len(found), INPUT), np.float32)
-    for i, (text, path, linked) in enumerate(found):
-        for w in path:
-            x[i, _slot(w, TAG_BITS)] = 1
+    packed = np.frombuffer(b"".join(slots for _, slots, _, _ in found), np.uint8).reshape(-1, TAG_BITS // 8)
+    x[:, :TAG_BITS] = np.unpackbits(packed, axis=1, bitorder="little")
+    slot, k = _WORD_SLOT.__getitem__, TAG_BITS + WORD_BITS
+    for i, (text, _, depth, linked) in enumerate(found):
         words = text.split(" ")
-        slots = np.bincount([_slot(w.lower().strip(".,:;!?"), WORD_BITS) for w in words], minlength=WORD_BITS)
-        x[i, TAG_BITS : TAG_BITS + WORD_BITS] = slots / math.sqrt(len(words))
-        k = TAG_BITS + WORD_BITS
-        x[i, k : k + MEASURES] = (
-            math.log1p(len(text)) / 6, min(1, linked / len(text)), text[-1] in ".!?\"'", math.log1p(len(path)) / 3,
-            i / len(found), sum(map(text.count, ".,")) * 10 / (len(text) + 10), "©" in text or "|" in text, len(words) > 12,
+        x[i, TAG_BITS:k] = np.bincount(list(map(slot, words)), minlength=WORD_BITS) / math.sqrt(len(words))
+        x[i, k:] = (
+            math.log1p(len(text)) / 6, min(1, linked / len(text)), text[-1] in ".!?\"'", math.log1p(depth) / 3,
+            (first + i) / total, sum(map(text.count, ".,")) * 10 / (len(text) + 10), "©" in text or "|" in text, len(words) > 12,
         )
     return x
 
@@ -144,10 +218,11 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _lstm(x, w, u, b):
-    """Hidden states of an LSTM over x (pages, blocks, features), and what the backward pass needs."""
+def _lstm(x, w, u, b, state=None):
+    """Hidden states of an LSTM over x (pages, blocks, features) from a state on, what the backward pass needs, and the last
+    state."""
     p, n, _ = x.shape
-    h, c = np.zeros((p, HIDDEN), np.float32), np.zeros((p, HIDDEN), np.float32)
+    h, c = state or (np.zeros((p, HIDDEN), np.float32), np.zeros((p, HIDDEN), np.float32))
     z, kept, out = x @ w + b, [], np.empty((p, n, HIDDEN), np.float32)
     for t in range(n):
         a = z[:, t] + h @ u
@@ -158,7 +233,7 @@ def _lstm(x, w, u, b):
         h = o * tc
         kept.append((i, f, o, g, tc, *before))
         out[:, t] = h
-    return out, kept
+    return out, kept, (h, c)
 
 
 def _lstm_grad(x, u, kept, dout):
@@ -181,14 +256,22 @@ def _reverse(x, lengths):
     return out
 
 
-def scores(pages: list[np.ndarray], model: dict) -> list[np.ndarray]:
-    """Log-odds of being article text for each block of each page.  Pages of like length are read together."""
+#: Blocks of a page that are held as vectors at a time.
+PART = 4096
+
+
+def scores(pages: list[list[tuple]], model: dict) -> list[np.ndarray]:
+    """Log-odds of being article text for each block of each page.  Pages of like length are read together, long ones alone
+    and in parts, each from the state in which the part before or after it ends."""
     out: list = [np.zeros(0, np.float32)] * len(pages)
     order = sorted((i for i in range(len(pages)) if len(pages[i])), key=lambda i: len(pages[i]))
+    while order and len(pages[order[-1]]) > PART:
+        i = order.pop()
+        out[i] = _long_scores(pages[i], model)
     while order:
         take = max(1, min(128, 40_000 // len(pages[order[-1]])))
         group, order = order[-take:], order[:-take]
-        x, lengths = _padded([pages[i] for i in group])
+        x, lengths = _padded([vectors(pages[i]) for i in group])
         f = _lstm(x, model["wf"], model["uf"], model["bf"])[0]
         r = _reverse(_lstm(_reverse(x, lengths), model["wr"], model["ur"], model["br"])[0], lengths)
         y = f @ model["vf"] + r @ model["vr"] + x @ model["vx"] + model["c"]
@@ -197,6 +280,20 @@ def scores(pages: list[np.ndarray], model: dict) -> list[np.ndarray]:
     return out
 
 
+def _long_scores(page: list[tuple], model: dict) -> np.ndarray:
+    y, starts, state = np.zeros(len(page), np.float32), range(0, len(page), PART), None
+    for at in starts:
+        x = vectors(page, at, at + PART)[None]
+        f, _, state = _lstm(x, model["wf"], model["uf"], model["bf"], state)
+        y[at : at + PART] = (f @ model["vf"] + x @ model["vx"] + model["c"])[0]
+    state = None
+    for at in reversed(starts):
+        x = vectors(page, at, at + PART)[None, ::-1]
+        r, _, state = _lstm(x, model["wr"], model["ur"], model["br"], state)
+        y[at : at + PART] += (r @ model["vr"])[0, ::-1]
+    return y
+
+
 def _padded(pages):
     lengths = [len(p) for p in pages]
     x = np.zeros((len(pages), max(lengths), INPUT), np.float32)
@@ -350,8 +447,8 @@ def train(pages: int = 2400, rounds: int = 24, seed: int = 3) -> dict:
             x = x.copy()
             x[:, :, :TAG_BITS] *= state.rand(len(x), 1, TAG_BITS) > 0.05
             back = _reverse(x, lengths)
-            f, kf = _lstm(x, m["wf"], m["uf"], m["bf"])
-            b, kb = _lstm(back, m["wr"], m["ur"], m["br"])
+            f, kf, _ = _lstm(x, m["wf"], m["uf"], m["bf"])
+            b, kb, _ = _lstm(back, m["wr"], m["ur"], m["br"])
             r_ = _reverse(b, lengths)
             d = (_sigmoid(f @ m["vf"] + r_ @ m["vr"] + x @ m["vx"] + m["c"]) - y) * mask / mask.sum()
             grad = {"vf": np.einsum("pnh,pn->h", f, d), "vr": np.einsum("pnh,pn->h", r_, d), "vx": np.einsum("pni,pn->i", x, d), "c": d.sum(keepdims=True).reshape(1)}
@@ -368,7 +465,7 @@ def train(pages: int = 2400, rounds: int = 24, seed: int = 3) -> dict:
 
 def main_texts(pages: list[str | None], model: dict) -> list[str]:
     found = [blocks(p) for p in pages]
-    told = scores([vectors(b) for b in found], model)
+    told = scores(found, model)
     return ["\n".join(t for (t, _, _), s in zip(b, y) if s > 0) for b, y in zip(found, told)]
 
 
