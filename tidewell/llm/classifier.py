@@ -1,8 +1,8 @@
 """Quality classifier by co-training.
 
 Two logistic models see two views of a document: its text (byte and byte-pair shares, words, lines) and its page's metadata
-(language, source, length class).  Over some rounds each names the unlabelled documents that it is surest of, and the
-other takes them as further examples.  Each view is then calibrated on held-out labels, and the two are combined."""
+(language, source, length class).  In each round both score every unlabelled document on Spark, and each takes examples
+from those that the other is sure of.  Each view is then calibrated on held-out labels, and the two are combined."""
 
 from __future__ import annotations
 
@@ -15,12 +15,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import slices, word_hashes
+from tidewell.llm.common import materialize, slices, word_hashes
 
-#: Bounds of the samples that the models are fitted on; everything else sees all rows.
-LABELLED, UNLABELLED = 4000, 3000
+#: Bounds of the samples of labelled and, a view and label and round, of pseudo-labelled documents that the models are fitted
+#: on.  Everything else sees all rows.
+LABELLED, PSEUDO = 4000, 750
 PAIRS, SCALARS, LANGS, SOURCES, LENGTHS = 512, 8, 16, 64, 24
-ROUNDS, SHARE, SURE = 4, 0.1, 0.9
+ROUNDS, SURE = 2, 0.9
 
 
 def text_view(text: str | None) -> np.ndarray:
@@ -91,67 +92,94 @@ class Model:
         return _sigmoid(a * self.both[0] + b * self.both[1] + self.both[2])
 
 
-def _held(ids: np.ndarray) -> np.ndarray:
-    """Every fourth of the labelled documents is held out, by a hash of its id."""
-    return np.array([xxhash.xxh64_intdigest(str(i), 9) % 4 == 0 for i in ids], bool)
+def _fold(ids: np.ndarray) -> np.ndarray:
+    """0 or 1 for every fourth of the labelled documents each, which calibrate and combine; more for those to fit on."""
+    return np.array([xxhash.xxh64_intdigest(str(i), 9) % 8 for i in ids], np.int64)
 
 
-def co_train(ids, text: np.ndarray, page: np.ndarray, y: np.ndarray) -> Model | None:
-    """A model from rows with labels y (1, 0, or nan where there is none); None unless both labels occur on both sides of
-    the held-out split."""
-    known = ~np.isnan(y)
-    held = known & _held(ids)
-    if any(len(np.unique(y[part])) < 2 for part in (held, known & ~held)):
-        return None
-    seen = {v: np.where(known & ~held, y, np.nan) for v in ("text", "page")}
-    views = {"text": text, "page": page}
+VIEWS = ("text", "page")
+#: Examples to fit on: of each view its features and their labels.
+Examples = dict[str, tuple[np.ndarray, np.ndarray]]
 
-    def models():
-        return {v: fit(views[v][~np.isnan(s)], s[~np.isnan(s)]) for v, s in seen.items()}
 
-    w = models()
-    for _ in range(ROUNDS):
-        for v, other in (("text", "page"), ("page", "text")):
-            free = np.flatnonzero(~known & np.isnan(seen[other]))
-            p = _sigmoid(logit(views[v][free], w[v]))
-            for label, sure in ((1, p), (0, 1 - p)):
-                top = np.argsort(-sure, kind="stable")[: max(1, int(SHARE * len(free) * (p > 0.5 if label else p <= 0.5).mean()))]
-                seen[other][free[top[sure[top] >= SURE]]] = label
-        w = models()
-    scale = {v: fit(logit(views[v][held], w[v])[:, None].astype(np.float32), y[held]) for v in views}
+def fit_views(examples: Examples) -> dict[str, np.ndarray]:
+    return {v: fit(*examples[v]) for v in VIEWS}
+
+
+def combined(weights: dict[str, np.ndarray], views: dict[str, np.ndarray], y: np.ndarray, fold: np.ndarray) -> Model:
+    """Calibrate each view on fold 0 of the held-out documents, and combine the calibrated views on fold 1."""
+    scale = {v: fit(logit(views[v][fold == 0], weights[v])[:, None].astype(np.float32), y[fold == 0]) for v in VIEWS}
     for s in scale.values():
         s[0] = max(s[0], 0.0)
-    a, b = (logit(views[v][held], w[v]) * scale[v][0] + scale[v][1] for v in views)
-    both = fit(np.stack((a, b), 1).astype(np.float32), y[held], 1e-2)
-    return Model(w["text"], w["page"], scale["text"], scale["page"], np.append(np.maximum(both[:2], 0), both[2]))
+    a, b = (logit(views[v][fold == 1], weights[v]) * scale[v][0] + scale[v][1] for v in VIEWS)
+    both = fit(np.stack((a, b), 1).astype(np.float32), y[fold == 1], 1e-2)
+    return Model(weights["text"], weights["page"], scale["text"], scale["page"], np.append(np.maximum(both[:2], 0), both[2]))
 
 
 def _views(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("long"))
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> Model | None:
-    """Fit on at most `labelled` documents with a label (the mean of repeated ones, rounded) and `unlabelled` others, those
-    with the least hashes of their ids.  The driver gets their features: bounded numbers of rows of some 900 values."""
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).dropna().distinct()
-    known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg("quality").alias("q"))
-    order = [F.xxhash64("doc_id"), "doc_id"]
-    both = ids.join(known, "doc_id", "left")
-    some = both.where("q is not null").orderBy(*order).limit(labelled).union(both.where("q is null").orderBy(*order).limit(unlabelled))
-    some = docs.sparkSession.createDataFrame(some.collect(), "doc_id long, q double")
-    picked = _views(docs).join(F.broadcast(some), "doc_id").select("doc_id", "text", "lang", "source", "n_chars", "q")
+def _features(docs: DataFrame, ids: DataFrame) -> list:
+    """(doc_id, label, text and page features) of the documents under a bounded number of ids (doc_id, label), in order."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            i, t, lang, source, n, y = (c.to_pylist() for c in b.columns)
+            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(y, pa.float64()), pa.array([text_view(x).tobytes() for x in t], pa.binary()), pa.array([metadata_view(*x).tobytes() for x in zip(lang, source, n)], pa.binary())], names=["doc_id", "label", "text", "page"])
+
+    picked = _views(docs).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "lang", "source", "n_chars", "label")
+    return sorted(picked.mapInArrow(rows, "doc_id long, label double, text binary, page binary").collect(), key=lambda r: (r["doc_id"], bytes(r["text"])))
+
+
+def _array(rows: list, view: str) -> np.ndarray:
+    width = {"text": 256 + PAIRS + SCALARS, "page": LANGS + SOURCES + LENGTHS}[view]
+    return np.frombuffer(b"".join(bytes(r[view]) for r in rows), np.float32).reshape(-1, width)
+
+
+def sure(docs: DataFrame, weights: dict[str, np.ndarray]) -> DataFrame:
+    """(doc_id, text_label, page_label): of every document that a view is sure of, the label that it gives, null if it is not."""
+
+    def labels(p):
+        return pa.array(np.where(p >= SURE, 1.0, 0.0), pa.float64(), mask=(p < SURE) & (p > 1 - SURE))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            i, t, lang, source, n, q = (c.to_pylist() for c in b.columns)
-            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(q, pa.float64()), pa.array([text_view(x).tobytes() for x in t], pa.binary()), pa.array([metadata_view(*x).tobytes() for x in zip(lang, source, n)], pa.binary())], names=["doc_id", "q", "text", "page"])
+            i, t, lang, source, n = (c.to_pylist() for c in b.columns)
+            text, page = np.stack([text_view(x) for x in t]), np.stack([metadata_view(*x) for x in zip(lang, source, n)])
+            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), labels(_sigmoid(logit(text, weights["text"]))), labels(_sigmoid(logit(page, weights["page"])))], names=["doc_id", "text_label", "page_label"])
+
+    found = _views(docs).where("doc_id is not null").mapInArrow(rows, "doc_id long, text_label double, page_label double")
+    return found.where("text_label is not null or page_label is not null")
 
-    made = sorted(picked.mapInArrow(rows, "doc_id long, q double, text binary, page binary").collect(), key=lambda r: (r["doc_id"], bytes(r["text"])))
-    if not made:
+
+def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pseudo: int = PSEUDO, rounds: int = ROUNDS) -> Model | None:
+    """Fit on at most `labelled` documents with a label (the mean of repeated ones, rounded).  In each round every document
+    without a label is scored by both views; of those that one is sure of, `pseudo` a label are fitted on by the other, those
+    with the least hashes of their ids.  The driver gets features of these bounded samples: rows of some 900 values.
+
+    None unless both labels occur in each fold."""
+    known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg("quality").alias("q"))
+    known = materialize(known.select("doc_id", (F.col("q") >= 0.5).cast("double").alias("label")))
+    order, spark = [F.xxhash64("doc_id"), "doc_id"], docs.sparkSession
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).dropna().distinct()
+    some = ids.join(known, "doc_id").orderBy(*order).limit(labelled).collect()
+    made = _features(docs, spark.createDataFrame(some, "doc_id long, label double"))
+    fold, y = _fold([r["doc_id"] for r in made]), np.array([r["label"] for r in made])
+    if any(len(np.unique(y[part])) < 2 for part in (fold == 0, fold == 1, fold > 1)):
         return None
-    text, page = (np.frombuffer(b"".join(bytes(r[c]) for r in made), np.float32).reshape(len(made), -1) for c in ("text", "page"))
-    y = np.array([np.nan if r["q"] is None else float(r["q"] >= 0.5) for r in made])
-    return co_train(np.array([r["doc_id"] for r in made]), text, page, y)
+    views = {v: _array(made, v) for v in VIEWS}
+    examples = {v: (views[v][fold > 1], y[fold > 1]) for v in VIEWS}
+    weights = fit_views(examples)
+    for _ in range(rounds):
+        free = materialize(sure(docs, weights).join(known, "doc_id", "left_anti").distinct())
+        more = {}
+        for v, other in (("text", "page"), ("page", "text")):
+            found = [x for k in (0.0, 1.0) for x in free.where(F.col(f"{v}_label") == k).select("doc_id", F.col(f"{v}_label").alias("label")).dropDuplicates(["doc_id"]).orderBy(*order).limit(pseudo).collect()]
+            got = _features(docs, spark.createDataFrame(found, "doc_id long, label double"))
+            more[other] = (np.concatenate((views[other][fold > 1], _array(got, other))), np.concatenate((y[fold > 1], [r["label"] for r in got])))
+        weights = fit_views(more)
+    return combined(weights, views, y, fold)
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
