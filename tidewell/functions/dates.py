@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SEOUL = "Asia/Seoul"
@@ -20,7 +20,7 @@ def parse_mixed_date(c: Column) -> Column:
 
 def parse_review_date(c: Column, as_of: Column) -> Column:
     """DAT-03: a review's date: an instant (then the day in Seoul), a date with two or four digits of the year, month and
-    day only (last year's if that lies ahead), or words for today, yesterday and so many days or weeks ago."""
+    day only (last year's if that lies more than a day ahead), or words for today, yesterday and so many days or weeks ago."""
     text = F.trim(c)
     number = lambda pattern: F.regexp_extract(text, pattern, 1).try_cast("int")
     instant = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}T"), seoul_date(F.try_to_timestamp(text)))
@@ -28,10 +28,10 @@ def parse_review_date(c: Column, as_of: Column) -> Column:
     full = F.when(dotted.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), dotted.try_cast("date"))
     short = F.when(dotted.rlike(r"^\d{2}-\d{1,2}-\d{1,2}$"), F.concat(F.lit("20"), dotted).try_cast("date"))
     day = F.when(dotted.rlike(r"^\d{1,2}-\d{1,2}$"), F.concat_ws("-", F.year(as_of).cast("string"), dotted).try_cast("date"))
-    day = F.when(day > as_of, F.add_months(day, -12)).otherwise(day)
+    day = F.when(day > F.date_add(as_of, 1), F.add_months(day, -12)).otherwise(day)
     # Words for today, yesterday and the day before
-    words = F.when(text == "오늘", as_of).when(text == "어제", F.date_sub(as_of, 1)).when(text == "그제", F.date_sub(as_of, 2))
-    ago = F.coalesce(F.date_sub(as_of, number(r"^(\d+)일 전$")), F.date_sub(as_of, number(r"^(\d+)주 전$") * 7))
+    words = F.when(text.contains("오늘"), as_of).when(text.contains("어제"), F.date_sub(as_of, 1)).when(text.contains("그제") | text.contains("그저께"), F.date_sub(as_of, 2))
+    ago = F.coalesce(F.date_sub(as_of, number(r"^(\d+)\s*일\s*전")), F.date_sub(as_of, number(r"^(\d+)\s*주\s*전") * 7))
     return F.coalesce(instant, full, short, day, words, ago)
 
 
@@ -104,3 +104,8 @@ def is_due(hour: Column, weekday: Column, last_run: Column, now: Column) -> Colu
     slot = lambda t: F.floor(F.unix_timestamp(t) / 3600)
     on_day = weekday.isNull() | (weekday == F.dayofweek(now) - 1)
     return (hour == F.hour(now)) & on_day & (last_run.isNull() | (slot(last_run) < slot(now)))
+
+
+def changed(rows: DataFrame, old: str, new: Column, name: str) -> DataFrame:
+    """DAT-19: the rows whose value would change, null being a value, with the new one."""
+    return rows.withColumn(name, new).where(~F.col(name).eqNullSafe(F.col(old)))

@@ -76,3 +76,20 @@ def nice_axis(highest: Column) -> Column:
     options = [F.struct((power * m * n - highest).alias("over"), F.lit(n).alias("ticks"), (power * m).alias("step")) for n in (4, 5, 6) for m in (1.0, 2.0, 2.5, 5.0, 10.0)]
     best = F.array_min(F.filter(F.array(*options), lambda o: o["over"] >= 0))
     return F.when(highest > 0, F.struct(best["step"].alias("step"), best["ticks"].alias("ticks")))
+
+
+def price_of(model: Column, prices: dict[str, tuple[str, str, str]]) -> tuple[Column, Column, Column]:
+    """MTH-05: prices of a million input, cached and output tokens of the longest name that a model's name begins with; null
+    for unknown models."""
+    found = [F.lit(None).cast("decimal(12,6)")] * 3
+    for name in sorted(prices, key=len):
+        found = [F.when(model.startswith(name), F.lit(p).cast("decimal(12,6)")).otherwise(f) for p, f in zip(prices[name], found)]
+    return tuple(found)
+
+
+def unit_cost(unit: Column, prices: dict[str, str], units: Column) -> Column:
+    """MTH-06: the price of a unit times their number; 0 for an unknown unit."""
+    price = F.lit("0").cast("decimal(12,6)")
+    for name, p in prices.items():
+        price = F.when(unit == name, F.lit(p).cast("decimal(12,6)")).otherwise(price)
+    return price * F.coalesce(units, F.lit(0))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 # Sentinels that stand for an unknown customer and an unknown patient
 UNKNOWN_CUSTOMER = "(고객명 미상)"
 UNKNOWN_PATIENT = "(환자명 미상)"
+# Fixed value: what stands in place of an owner for sales over the counter
+RETAIL = "[RETAIL SALES]"
 
 #: White space as a browser understands it, not only that of ASCII.
 SPACE = r"(?U)[\s﻿]+"
@@ -35,13 +37,17 @@ def patient_names(c: Column) -> Column:
 
 
 def split_owner_patients(c: Column) -> Column:
-    """STR-05: a struct of owner and patients from "owner(patient, patient)", split at the last parenthesis."""
-    text = normalize_text(c)
-    inside = F.regexp_extract(text, r"^(.*)\(([^()]*)\)$", 2)
-    owner = F.regexp_extract(text, r"^(.*)\(([^()]*)\)$", 1)
-    tidy = F.regexp_replace(F.regexp_replace(inside, r"\s*,\s*", ", "), r",\s*$", "")
-    split = text.rlike(r"\([^()]*\)$")
-    return F.struct(F.when(split, F.trim(owner)).otherwise(text).alias("owner"), F.when(split, F.trim(tidy)).otherwise("").alias("patients"))
+    """STR-05: a struct of owner and patients from "owner, (patient, patient)": what lies between the last opening and the last
+    closing parenthesis are the patients.  Commas of the owner are tidied, those of the patients stay."""
+    text = normalize_text(F.coalesce(c, F.lit("")))
+    opened = F.length(text) - F.locate("(", F.reverse(text))  # before the last opening parenthesis
+    closed = F.length(text) - F.locate(")", F.reverse(text))
+    split = text.contains("(") & text.contains(")") & (opened < closed)
+    tidy = lambda x: F.regexp_replace(F.regexp_replace(normalize_text(x), r"\s*,\s*$", ""), r"\s*,\s*", ", ")
+    owner = F.when(split, tidy(F.substring(text, F.lit(1), opened))).otherwise(tidy(text))
+    patients = F.when(split, normalize_text(F.substring(text, opened + 2, closed - opened - 1))).otherwise(F.lit(""))
+    retail = text == RETAIL
+    return F.struct(F.when(retail, text).otherwise(owner).alias("owner"), F.when(retail, F.lit("")).otherwise(patients).alias("patients"))
 
 
 def occurrences(text: Column, term: Column) -> Column:
@@ -86,15 +92,30 @@ def place_id(c: Column) -> Column:
 
 
 def store_name(c: Column) -> Column:
-    """STR-15: a store's name without white space and punctuation, in lower case."""
-    return F.lower(F.regexp_replace(c, r"(?U)[\s\p{Punct}·]+", ""))
+    """STR-15: a store's name with single spaces, an ampersand (written out or not) being one too; null becomes empty."""
+    plain = F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&amp;"), F.lit("&")), F.lit("&"), F.lit(" "))
+    return normalize_text(plain)
+
+
+def is_store(target: Column, seen: Column) -> Column:
+    """JN-25: whether a name seen in a list is a store's: either holds the other, white space aside; a name that is part of the
+    store's needs four characters."""
+    bare = lambda c: F.regexp_replace(store_name(c), " ", "")
+    t, s = bare(target), bare(seen)
+    return (t != "") & (s != "") & (F.contains(s, t) | ((F.length(s) >= 4) & F.contains(t, s)))
+
+
+def matches_literally(c: Column, term: str) -> Column:
+    """FLT-09: whether a text contains a term in any case; per cent signs and underscores of the term stand for themselves."""
+    escaped = term.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")
+    return c.ilike(f"%{escaped}%")
 
 
 def fold_lookalikes(c: Column) -> Column:
     """STR-16: Greek and Cyrillic capitals and small letters that look Latin become Latin."""
     # Look-alike letters and what they stand for, in the same order
-    seen = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαορνАВЕКМНОРСТХасеорху"
-    meant = "ABEZHIKMNOPTYXaopvABEKMHOPCTXaceopxy"
+    seen = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ" + "αβειηκμνορτυχ" + "АВЕКМНОРСТУХ" + "авекмнорстух"
+    meant = "ABEZHIKMNOPTYX" + "abeinkmnoptux" + "ABEKMHOPCTYX" + "abekmhopctyx"
     return F.translate(c, seen, meant)
 
 
@@ -111,14 +132,33 @@ def with_particle(c: Column, after_consonant: str, after_vowel: str) -> Column:
 
 
 def redact(c: Column) -> Column:
-    """STR-18: values that look like mail addresses, resident or phone numbers, cards or tokens replaced; at most 500
-    characters stay, as the sink's field allows."""
-    c = F.regexp_replace(c, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[email]")
-    c = F.regexp_replace(c, r"\b\d{6}-[1-4]\d{6}\b", "[id-number]")
-    c = F.regexp_replace(c, r"\b\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}\b", "[card]")
-    c = F.regexp_replace(c, r"\b0\d{1,2}-?\d{3,4}-?\d{4}\b", "[phone]")
-    c = F.regexp_replace(c, r"\b(?:sk|pk|ghp|xox[bp])[-_][A-Za-z0-9_-]{8,}", "[token]")
-    return F.when(F.length(c) > 500, F.concat(F.substring(c, 1, 500), F.lit("…"))).otherwise(c)
+    """STR-18: a text of at most 500 characters, with its length where it was cut, in which resident numbers, phone numbers and
+    mail addresses are replaced."""
+    c = F.when(F.length(c) > 500, F.concat(F.substring(c, 1, 500), F.lit("…("), F.length(c).cast("string"), F.lit("자)"))).otherwise(c)
+    # Patterns of what is replaced, in this order, and by what
+    patterns = [
+        (r"\d{6}\s*-\s*[1-4]\d{6}", "[redacted:rrn]"),
+        (r"01[016-9][-\s]?\d{3,4}[-\s]?\d{4}", "[redacted:phone]"),
+        (r"0\d{1,2}[-\s]\d{3,4}[-\s]\d{4}", "[redacted:phone]"),
+        (r"[\w.+-]+@[\w-]+\.[\w.-]+", "[redacted:email]"),
+    ]
+    for pattern, shown in patterns:
+        c = F.regexp_replace(c, pattern, shown)
+    return c
+
+
+def is_private_key(c: Column) -> Column:
+    """STR-18: whether a field's name, letters and digits only, tells that its value must not be kept."""
+    # Names of private fields, and what other private names contain
+    names = ["email", "address", "addressdetail", "zipcode", "postcode", "rrn", "ssn", "birth", "birthdate", "birthday", "dob", "cardnumber", "account", "accountnumber", "cvc", "memo", "note", "notes", "symptom", "symptoms", "diagnosis", "soap", "chiefcomplaint", "history", "content", "answer", "answers"]
+    parts = ["password", "passwd", "secret", "token", "apikey", "accesskey", "authorization", "cookie", "credential"]
+    key = F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
+    return key.isin(*names) | key.rlike("|".join(parts))
+
+
+def redact_fields(fields: Column) -> Column:
+    """STR-18: a map of texts in which private fields are replaced whole, and the others by what they contain."""
+    return F.transform_values(fields, lambda k, v: F.when(is_private_key(k), F.lit("[redacted]")).otherwise(redact(v)))
 
 
 def error_fingerprint(route: Column, message: Column) -> Column:
@@ -136,3 +176,32 @@ def digest_key(*parts: Column) -> Column:
 def keyword_key(c: Column) -> Column:
     """STR-21 and JN-22: a keyword without white space, for joins in lower case."""
     return F.lower(F.regexp_replace(c, SPACE, ""))
+
+
+def order_number(day: Column, n: Column) -> Column:
+    """STR-07: the year and a number of at least four digits; longer ones are cut as the database does."""
+    return F.concat(F.year(day).cast("string"), F.lit("-"), F.lpad(n.cast("string"), 4, "0"))
+
+
+def species_profile(raw: Column) -> Column:
+    """STR-12: canine, feline or null, by the words that an entry begins with."""
+    # How the two species are written
+    words = {"canine": ["canine", "dog", "개", "강아지", "견"], "feline": ["feline", "cat", "고양이", "묘"]}
+    key = normalize_owner_name(raw)
+    found = F.lit(None).cast("string")
+    for profile, listed in words.items():
+        found = F.when(key.rlike("^(" + "|".join(listed) + ")"), profile).otherwise(found)
+    return found
+
+
+def species_word(raw: Column) -> Column:
+    """STR-12: the word for a species in a post."""
+    profile = species_profile(raw)
+    return F.when(profile == "canine", "강아지").when(profile == "feline", "고양이").otherwise("반려동물")
+
+
+def keyword_density(body: Column, keyword: Column) -> Column:
+    """MTH-04: share of a body's characters, white space aside, that lie in a keyword's occurrences, in percent with one digit."""
+    body = F.coalesce(body, F.lit(""))
+    n = F.length(F.regexp_replace(body, r"\s+", ""))
+    return F.when(n > 0, F.round(occurrences(body, keyword) * F.length(keyword) * 100 / n, 1)).otherwise(F.lit(0.0))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.functions.numbers import parse_number
+
 
 def preferring(rows: DataFrame, preferred: Column) -> DataFrame:
     """FLT-13: only the preferred rows if there are any, else all; the test is one row, so it goes to every task."""
@@ -14,10 +16,18 @@ def preferring(rows: DataFrame, preferred: Column) -> DataFrame:
 
 def scoped(rows: DataFrame, users: DataFrame, user: str) -> DataFrame:
     """FLT-16: the rows of the user's hospital; all of them for an administrator.  users has user_id, hospital_id and is_admin."""
-    me = users.where(F.col("user_id") == user)
-    own = rows.join(me.select("hospital_id"), "hospital_id", "left_semi")
-    rest = rows.join(F.broadcast(me.where("is_admin").select(F.lit(True).alias("all_")).limit(1))).drop("all_")
-    return own.where(F.lit(True)).unionByName(rest.join(me.select("hospital_id"), "hospital_id", "left_anti"))
+    me = users.where(F.col("user_id") == user).select(F.col("hospital_id").alias("of_"), "is_admin")
+    return rows.join(F.broadcast(me), (rows["hospital_id"] == me["of_"]) | me["is_admin"], "left_semi")  # one user's rows
+
+
+def first_number(rows: DataFrame, names: list[str]) -> Column:
+    """PRJ-02: the first of some columns, those of them that rows has, that holds a number."""
+    return F.coalesce(*(parse_number(F.col(n).cast("string")) for n in names if n in rows.columns), F.lit(None).cast("decimal(18,2)"))
+
+
+def since(rows: DataFrame, day: str, first: str, everything: bool = False) -> DataFrame:
+    """FLT-06: rows from a day on, or all of them."""
+    return rows if everything else rows.where(F.col(day) >= F.lit(first).cast("date"))
 
 
 def kept_added_removed(before: Column, after: Column) -> tuple[Column, Column, Column]:

@@ -57,15 +57,21 @@ def nearest(left: DataFrame, right: DataFrame, key: str, left_time: str, right_t
     """JN-18: left with the id of the row of right with the same key that is nearest in time, within so many seconds; of
     equally near ones the earlier, then the smaller id.
 
-    Both are merged in order of time; the last row of right before and the first one after are all that can be nearest."""
+    Both are merged in order of time; the last row of right before and the first one after are all that can be nearest.  A
+    key is cut into spans of time no shorter than `seconds`, and right's rows are read in the spans beside their own too, so
+    a task holds a few spans of a key, however many rows the key has."""
+    span = max(seconds, 3600) * 1_000_000
     t = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    points = right.select(F.col(key), t(right_time).alias("t_"), F.struct(t(right_time).alias("t"), F.col(right_id).alias("id")).alias("r_"), F.lit(None).cast(left.select(F.struct("*")).schema[0].dataType).alias("l_"))
-    asked = left.select(F.col(key), t(left_time).alias("t_"), F.lit(None).cast(points.schema["r_"].dataType).alias("r_"), F.struct("*").alias("l_"))
-    order = Window.partitionBy(key).orderBy("t_")
-    back = order.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    ahead = order.rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    own = F.floor(F.col("t_") / span)
+    l_type = left.select(F.struct("*")).schema[0].dataType
+    points = right.select(F.col(key), t(right_time).alias("t_"), F.struct(t(right_time).alias("t"), F.col(right_id).alias("id")).alias("r_"))
     # of points at one instant the smallest id counts
-    points = points.groupBy(key, "t_").agg(F.min("r_").alias("r_"), F.first("l_").alias("l_"))
+    points = points.groupBy(key, "t_").agg(F.min("r_").alias("r_"))
+    points = points.select(key, "t_", "r_", F.lit(None).cast(l_type).alias("l_"), F.explode(F.array(own - 1, own, own + 1)).alias("span_"))
+    asked = left.select(F.col(key), t(left_time).alias("t_"), F.lit(None).cast(points.schema["r_"].dataType).alias("r_"), F.struct("*").alias("l_")).withColumn("span_", own)
+    part = Window.partitionBy(key, "span_")
+    back = part.orderBy("t_").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    ahead = part.orderBy(F.col("t_").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     both = points.unionByName(asked).select("*", F.max("r_").over(back).alias("a_"), F.min("r_").over(ahead).alias("b_")).where("l_ is not null")
     far = lambda c: F.abs(F.col(f"{c}.t") - F.col("t_"))
     best = F.when(F.col("b_").isNull() | (far("a_") <= far("b_")), F.col("a_")).otherwise(F.col("b_"))

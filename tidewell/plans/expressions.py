@@ -20,12 +20,6 @@ def names(spark, sf):
     return table(spark, sf, "part").select("p_partkey", text.patient_names(F.concat(F.lit(" "), "p_brand", F.lit(" , "), F.lower("p_type"), F.lit(",,"), "p_type")).alias("names"))
 
 
-@query("STR-05", "select c_custkey, c_name as owner, 'a' || c_custkey % 5 || ', b' as patients from customer")
-def owner_patients(spark, sf):
-    made = text.split_owner_patients(F.concat("c_name", F.lit("(a"), F.col("c_custkey") % 5, F.lit(" ,b,)")))
-    return table(spark, sf, "customer").select("c_custkey", made.alias("s")).select("c_custkey", "s.owner", "s.patients")
-
-
 @query("STR-08", "select doc_id, ((length(text) - length(replace(text, 'th', ''))) // 2)::bigint as n from documents")
 def occurrences(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.coalesce(text.occurrences(F.col("text"), F.lit("th"))).alias("n"))
@@ -67,12 +61,6 @@ def labels(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", dates.bucket_label(day, "month").alias("month"), dates.bucket_label(dates.bucket(day, "week"), "week").alias("week"))
 
 
-@query("DAT-13", "select o_orderkey, ceil((date '2001-01-01' - o_orderdate::date) / 365.25::double)::int as age from orders where o_orderdate <= date '2001-01-01'")
-def ages(spark, sf):
-    rows = table(spark, sf, "orders").where("o_orderdate <= date'2001-01-01'")
-    return rows.select("o_orderkey", dates.age_years(F.to_date("o_orderdate"), F.lit("2001-01-01").cast("date")).alias("age"))
-
-
 @query("MTH-01", "select o_orderkey, o_totalprice::decimal(18,2) as amount from orders")
 def amounts(spark, sf):
     written = F.concat(F.lit("₩ "), F.format_number(F.col("o_totalprice").cast("decimal(18,2)"), 2))
@@ -108,7 +96,9 @@ def six_months(spark, sf):
     return table(spark, sf, "orders").where(F.col("o_orderdate") >= first).select("o_orderkey", "o_orderdate")
 
 
-@query("QLT-01", """with m as (select doc_id, length(regexp_replace(text, '\\s+', '', 'g')) as n from documents where text is not null) select doc_id, case when n >= 1500 then 'good' when n >= 700 then 'warn' else 'poor' end as status from m""")
-def post_length(spark, sf):
-    plain = F.length(F.regexp_replace("text", r"\s+", ""))
-    return table(spark, sf, "documents").where("text is not null").select("doc_id", rubric.status(plain, 1500, 700).alias("status"))
+@query("QLT-01", r"""with m as (select doc_id, length(regexp_replace(coalesce(text, ''), '\s+', '', 'g')) as n, len(string_split(coalesce(text, ''), chr(10))) - 1 as k from documents)
+  select doc_id, case when n >= 1500 then 'good' when n >= 700 then 'warn' else 'poor' end as length_status, n < 700 as critical, case when k >= 3 then 'good' when k >= 1 then 'warn' else 'poor' end as line_status from m""")
+def post_measures(spark, sf):
+    text_ = F.coalesce("text", F.lit(""))
+    n, k = F.length(F.regexp_replace(text_, r"\s+", "")), F.size(F.split(text_, "\n")) - 1
+    return table(spark, sf, "documents").select("doc_id", rubric.status(n, 1500, 700).alias("length_status"), (n < 700).alias("critical"), rubric.status(k, 3, 1).alias("line_status"))

@@ -107,40 +107,73 @@ def gap_filled(spark, sf):
     return periods.filled(sums, "service_date", ["hospital_id"], ["amount"])
 
 
-@query("WIN-12", f"""with {LEDGER}, {MONTHS} select a.hospital_id, a.month, a.value, b.value as previous, case when b.value > 0 then (a.value - b.value)::double * 100 / b.value::double end as change_pct
-  from months a left join months b on a.hospital_id = b.hospital_id and b.month = (a.month - interval 12 month)::date""")
+DAYS = "days as (select hospital_id, service_date, sum(amount)::decimal(18,2) as amount from ledger group by all)"
+
+
+def _days(spark, sf):
+    return ledger(spark, sf).groupBy("hospital_id", "service_date").agg(F.sum("amount").cast(L.MONEY).alias("amount"))
+
+
+@query("WIN-12", f"""with {LEDGER}, {DAYS}, last as (select hospital_id, date_trunc('month', max(service_date)) as m from days group by all),
+  spine as (select hospital_id, (m - to_months(k::int))::date as month from last, range(1, 13) as r(k)),
+  sums as (select hospital_id, date_trunc('month', service_date)::date as month, sum(amount)::decimal(18,2) as v from days group by all)
+  select s.hospital_id, s.month, a.v as recent, b.v as previous from spine s left join sums a on a.hospital_id = s.hospital_id and a.month = s.month
+  left join sums b on b.hospital_id = s.hospital_id and b.month = (s.month - interval 12 month)::date""")
 def year_over_year(spark, sf):
-    return periods.against_earlier(_months(spark, sf), "month", ["hospital_id"], "value")
+    return periods.year_over_year(_days(spark, sf), "service_date", ["hospital_id"], "amount")
 
 
-@query("WIN-13", f"""with {LEDGER}, newest as (select max(service_date) as newest from ledger), slots as (select distinct hospital_id, unnest(range(0, 7))::int as slot from ledger),
-  near as (select hospital_id, (newest - service_date)::int as back, amount from ledger, newest where newest - service_date < 14)
-  select s.hospital_id, s.slot, coalesce(sum(amount) filter (where back < 7), 0)::decimal(18,2) as current, coalesce(sum(amount) filter (where back >= 7), 0)::decimal(18,2) as previous
-  from slots s left join near n on s.hospital_id = n.hospital_id and n.back % 7 = s.slot group by all""")
+@query("WIN-13", f"""with {LEDGER}, {DAYS}, last as (select hospital_id, max(service_date) as z from days group by all), slots as (select hospital_id, z, k::int as slot from last, range(0, 7) as r(k))
+  select s.hospital_id, slot, coalesce(a.amount, 0)::decimal(18,2) as current, coalesce(b.amount, 0)::decimal(18,2) as previous from slots s
+  left join days a on a.hospital_id = s.hospital_id and a.service_date = z - slot left join days b on b.hospital_id = s.hospital_id and b.service_date = z - slot - 7""")
 def week_over_week(spark, sf):
     return periods.week_over_week(ledger(spark, sf), "service_date", ["hospital_id"], "amount")
 
 
-@query("AGG-42", f"with {LEDGER} select chart_type, isodow(service_date)::int - 1 as weekday, sum(amount)::decimal(18,2) as total, count(*) as n_days from ledger group by all")
+@query("AGG-42", f"""with {LEDGER}, {DAYS}, last as (select hospital_id, max(service_date) as z from days group by all),
+  seven as (select hospital_id, z, z - k::int as recent_day, isodow(z - k::int)::int - 1 as weekday from last, range(0, 7) as r(k)),
+  means as (select d.hospital_id, isodow(service_date)::int - 1 as weekday, avg(amount::double) as average from days d join last using (hospital_id)
+    where service_date >= date_trunc('month', z) - interval 11 month group by all)
+  select s.hospital_id, s.weekday, average, d.amount as last_value, recent_day from seven s left join means m on m.hospital_id = s.hospital_id and m.weekday = s.weekday
+  left join days d on d.hospital_id = s.hospital_id and d.service_date = recent_day""")
 def weekday_profile(spark, sf):
-    return periods.weekday_profile(ledger(spark, sf), "service_date", ["chart_type"], "amount")
+    return periods.weekday_profile(_days(spark, sf), "service_date", ["hospital_id"], "amount")
 
 
-@query("AGG-51", f"""with {LEDGER}, {MONTHS}, points as (select hospital_id, max(value) filter (where month = date '2000-06-01') as current, max(value) filter (where month = date '2000-05-01') as before,
-  max(value) filter (where month = date '1999-06-01') as year_before, sum(value) filter (where year(month) = 2000 and month <= date '2000-06-01')::decimal(18,2) as year_to_date from months group by all)
-  select hospital_id, current, case when before > 0 then (current - before)::double * 100 / before::double end as mom_pct,
-  case when year_before > 0 then (current - year_before)::double * 100 / year_before::double end as yoy_pct, year_to_date from points""")
+@query("AGG-51", f"""with {LEDGER}, {MONTHS}, done as (select * from months where month < date '2000-07-01'), last as (select hospital_id, max(month) as z from done group by all)
+  select l.hospital_id, z as month, a.value as current, case when b.value > 0 then (a.value - b.value)::double * 100 / b.value::double end as mom_pct,
+    case when c.value > 0 then (a.value - c.value)::double * 100 / c.value::double end as yoy_pct,
+    (select sum(value) from done d where d.hospital_id = l.hospital_id and year(d.month) = year(z))::decimal(18,2) as year_to_date
+  from last l join done a on a.hospital_id = l.hospital_id and a.month = z left join done b on b.hospital_id = l.hospital_id and b.month = (z - interval 1 month)::date
+  left join done c on c.hospital_id = l.hospital_id and c.month = (z - interval 12 month)::date""")
 def header(spark, sf):
-    return periods.kpi_header(_months(spark, sf), "month", ["hospital_id"], "value", F.lit(date(2000, 6, 1)))
+    return periods.kpi_header(_months(spark, sf), "month", ["hospital_id"], "value", F.lit(date(2000, 7, 15)))
 
 
-@query("AGG-52", f"""with {LEDGER}, {MONTHS}, days as (select hospital_id, service_date, sum(amount)::decimal(18,2) as v from ledger group by all),
-  d as (select hospital_id, count(*) filter (where v > 0) as operating_days from days group by all)
-  select hospital_id, sum(value)::decimal(18,2) as total, count(*) as n_months, operating_days, sum(value)::double / count(*) as month_average from months join d using (hospital_id) group by hospital_id, operating_days""")
+@query("AGG-52", f"""with {LEDGER}, {DAYS}, sums as (select hospital_id, date_trunc('month', service_date)::date as month, sum(amount) as v from days group by all),
+  m as (select hospital_id, sum(v)::decimal(18,2) as total, avg(v::double) as month_average from sums where month between date '1998-01-01' and date '1999-12-31' group by all),
+  d as (select hospital_id, avg(amount::double) as day_average from days where service_date between date '1998-01-01' and date '1999-12-31' and amount > 0 group by all)
+  select hospital_id, total, month_average, day_average, month_average / 3 as vet_average from m full join d using (hospital_id)""")
 def period_kpis(spark, sf):
-    days = ledger(spark, sf).groupBy("hospital_id", "service_date").agg(F.sum("amount").alias("v")).groupBy("hospital_id").agg(F.count_if(F.col("v") > 0).alias("operating_days"))
-    months = _months(spark, sf).groupBy("hospital_id").agg(F.sum("value").cast(L.MONEY).alias("total"), F.count("*").alias("n_months"))
-    return months.join(days, "hospital_id").withColumn("month_average", F.col("total").cast("double") / F.col("n_months"))
+    return periods.period_kpis(_days(spark, sf), "service_date", ["hospital_id"], "amount", F.lit(date(1998, 1, 1)), F.lit(date(1999, 12, 31)), 3)
+
+
+@query("AGG-44", f"""with {LEDGER}, {DAYS}, b as (select hospital_id, max(service_date) as newest, coalesce(sum(amount) filter (where date '1998-09-01' - service_date between 1 and 28), 0)::decimal(18,2) as amount_now,
+    coalesce(sum(amount) filter (where date '1998-09-01' - service_date between 29 and 56), 0)::decimal(18,2) as amount_before from days where service_date < date '1998-09-01' group by all)
+  select hospital_id, amount_now, amount_before, case when amount_before > 0 then (amount_now - amount_before)::double * 100 / amount_before::double end as amount_change,
+    (date '1998-09-01' - newest)::int as age_days, date '1998-09-01' - newest > 3 as is_stale from b""")
+def change_board(spark, sf):
+    return periods.change_board(_days(spark, sf), "service_date", ["hospital_id"], ["amount"], F.lit(date(1998, 9, 1)))
+
+
+@query("AGG-43", f"with {LEDGER}, {DAYS} select hospital_id, min(service_date) as first, max(service_date) as last from days group by all")
+def bounds(spark, sf):
+    return _days(spark, sf).groupBy("hospital_id").agg(F.min("service_date").alias("first"), F.max("service_date").alias("last"))
+
+
+@query("AGG-05", f"with {LEDGER} select hospital_id, 'year' as period_type, date_trunc('year', service_date)::date as period_start, sum(amount)::decimal(18,2) as amount from ledger group by all")
+def yearly(spark, sf):
+    return periods.rollup(ledger(spark, sf), "service_date", ["hospital_id"], ["amount"], ("year",))
 
 
 @query("WIN-02", f"""with {LEDGER} select * from (select *, row_number() over (partition by hospital_id, customer, patient order by service_date desc, run_id desc, line_no desc, amount desc, chart_type, receipt) as n from ledger)

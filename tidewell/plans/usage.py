@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewell.operators import billing as B
-from tidewell.plans.fixtures import USAGE, table, usage
+from tidewell.plans.fixtures import RANKS, USAGE, ranks, table, usage
 from tidewell.plans.registry import query
 from tidewell.streaming import alerts
 
@@ -170,8 +170,7 @@ def next_ranges(spark, sf):
     return made.select("user_id", "r.start", F.col("r.end").alias("stop"))
 
 
-@query("SRT-08", "select * from (select l_returnflag as part, l_orderkey, l_linenumber, l_quantity, row_number() over (partition by l_returnflag order by l_quantity desc, l_orderkey, l_linenumber, l_extendedprice)::int as place from lineitem where l_quantity > 49)")
+@query("SRT-08", f"with {RANKS} select section, metric_date, keyword, rank_value, row_number() over (partition by section, metric_date order by rank_value, keyword)::int as place from (select section, metric_date, keyword, min(rank_value) as rank_value from ranks where rank_value is not null group by all)")
 def ranked_parts(spark, sf):
-    order = Window.partitionBy("part").orderBy(F.desc("l_quantity"), "l_orderkey", "l_linenumber", "l_extendedprice")
-    rows = table(spark, sf, "lineitem").where("l_quantity > 49").select(F.col("l_returnflag").alias("part"), "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
-    return rows.withColumn("place", F.row_number().over(order)).drop("l_extendedprice")
+    rows = ranks(spark, sf).where("rank_value is not null").groupBy("section", "metric_date", "keyword").agg(F.min("rank_value").alias("rank_value"))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("section", "metric_date").orderBy("rank_value", "keyword")))

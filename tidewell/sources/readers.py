@@ -12,10 +12,10 @@ POSITIONS = {"woorien": {"service_date": 0, "customer_no": 1, "customer_name": 2
 
 
 def raw_rows(spark: SparkSession, path: str, columns: int, encoding: str = "UTF-8") -> DataFrame:
-    """SRC-05 and SRC-06: a CSV file's rows as c0, c1, ... with file and row_no (an order within the file; not gapless)."""
+    """SRC-05 and SRC-06: a CSV file's rows as c0, c1, ... with file and row_no (ascends within the file, as Spark numbers the parts of a file in order; not gapless)."""
     schema = ", ".join(f"c{i} string" for i in range(columns))
     rows = spark.read.csv(path, schema=schema, encoding=encoding, quote='"', escape='"')
-    return rows.select("*", F.col("_metadata.file_path").alias("file"), (F.col("_metadata.file_block_start") * 0 + F.monotonically_increasing_id()).alias("row_no"))
+    return rows.select("*", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row_no"))
 
 
 def positional(rows: DataFrame, positions: dict[str, int]) -> DataFrame:
