@@ -90,3 +90,8 @@ def usage_by(usage: DataFrame, dim: DataFrame, key: str) -> DataFrame:
     """AGG-15 and JN-14: cost, calls and last use of each row of a dimension; 0 and null where it was not used."""
     made = usage.groupBy(key).agg(F.sum("cost_usd").cast("decimal(18,6)").alias("cost_usd"), F.count("*").alias("n_calls"), F.max("ts").alias("last_used"))
     return dim.join(made, key, "left").fillna(0, ["n_calls"]).withColumn("cost_usd", F.coalesce("cost_usd", F.lit(0).cast("decimal(18,6)")))
+
+
+def run_status(done: Column, last: Column, stale_before: Column) -> Column:
+    """STM-06: a run that is not done and has not been heard of for long has failed."""
+    return F.when(done, "succeeded").when(last < stale_before, "failed").otherwise("running")

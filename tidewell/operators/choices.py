@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.numbers import parse_number
@@ -42,3 +42,11 @@ def field_changes(before: DataFrame, after: DataFrame, key: list[str]) -> DataFr
     now = after.select(*key, F.coalesce("value", F.lit("")).alias("final"))
     both = before.select(*key, F.coalesce("value", F.lit("")).alias("draft")).join(now, key, "left").withColumn("final", F.coalesce("final", F.lit("")))
     return both.where("draft <> final")
+
+
+def by_phone(asked: DataFrame, phone: str, done: DataFrame, other: str, key: list[str], order: list[str], most: int) -> DataFrame:
+    """JN-27: the rows of done whose phone number has the same digits, in order, the first `most` of each row asked for."""
+    digits = lambda c: F.regexp_replace(c, r"\D", "")
+    both = asked.withColumn("digits_", digits(phone)).join(done.withColumn("digits_", digits(other)), "digits_").where("digits_ <> ''")
+    place = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
+    return both.withColumn("place", place).where(F.col("place") <= most).drop("digits_")

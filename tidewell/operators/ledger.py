@@ -123,3 +123,10 @@ def resolved_owners(owners: DataFrame, identities: DataFrame, least: float = 0.3
     both = owners.join(known_as, "owner").withColumn("similarity", jaccard(F.col("patients"), F.col("known_patients")))
     best = both.where(F.col("similarity") >= least).groupBy("owner", "patients").agg(F.min(F.struct((-F.col("similarity")).alias("far"), "customer")).alias("best"))
     return best.select("owner", "patients", F.col("best.customer").alias("customer"), (-F.col("best.far")).alias("similarity"))
+
+
+def updated_from(rows: DataFrame, changes: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
+    """JN-15: rows with the columns' values of the row of changes with their key, where there is one with a value."""
+    new = changes.select(*key, *(F.col(c).alias(f"new_{c}") for c in columns))
+    both = rows.join(new, key, "left")
+    return both.select(*(F.coalesce(f"new_{c}", c).alias(c) if c in columns else c for c in rows.columns))

@@ -108,3 +108,10 @@ def balance(rows: DataFrame, keys: list[str], order: list[str], delta: str) -> D
     """WIN-14: the running sum of a ledger's deltas."""
     frame = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return rows.withColumn("balance_after", F.sum(delta).over(frame).cast("decimal(18,2)"))
+
+
+def rebuilt_months(rows: DataFrame, changed: DataFrame, day: str, keys: list[str], value: str) -> DataFrame:
+    """STM-07: the sums, anew, of the months in which changed rows lie."""
+    month = F.trunc(day, "month").alias("month")
+    touched = changed.select(*keys, month).distinct()
+    return rows.select(*keys, month, value).join(touched, [*keys, "month"], "left_semi").groupBy(*keys, "month").agg(F.sum(value).cast("decimal(18,2)").alias(value))

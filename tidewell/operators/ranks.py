@@ -98,3 +98,12 @@ def importance_order() -> list[Column]:
     """SRT-01: important keywords first (unknown counts as medium), then the best ranked."""
     place = F.when(F.col("importance") == "high", 0).when(F.col("importance") == "low", 2).otherwise(1)
     return [place, F.col("rank_value").asc_nulls_last(), F.col("keyword")]
+
+
+def presets(board: DataFrame) -> DataFrame:
+    """FLT-15: which of a keyword board's presets each row of drops falls under."""
+    now, before = F.col("rank_value"), F.col("previous")
+    return board.withColumns({
+        "dropped": F.coalesce(now > before, F.lit(False)), "fell_off": before.isNotNull() & now.isNull(),
+        "near": F.coalesce(now.between(11, 15), F.lit(False)), "entered": before.isNull() & now.isNotNull(),
+    })
