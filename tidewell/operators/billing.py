@@ -95,3 +95,30 @@ def usage_by(usage: DataFrame, dim: DataFrame, key: str) -> DataFrame:
 def run_status(done: Column, last: Column, stale_before: Column) -> Column:
     """STM-06: a run that is not done and has not been heard of for long has failed."""
     return F.when(done, "succeeded").when(last < stale_before, "failed").otherwise("running")
+
+
+def message_charges(sent: DataFrame, refunded: DataFrame, krw_a_token: int) -> DataFrame:
+    """BIL-03: the tokens that messages (hospital_id, operation_id, krw) cost, and what is to be given back: nothing where the
+    operation has been refunded before."""
+    cost = F.ceil(F.col("krw") / krw_a_token).cast("long")
+    known = refunded.select("operation_id", F.lit(True).alias("done_")).distinct()
+    both = sent.where("krw > 0").join(known, "operation_id", "left")
+    return both.select("hospital_id", "operation_id", (-cost).alias("tokens"), F.when(F.col("done_").isNull(), cost).otherwise(0).alias("refund"))
+
+
+def confirmed_orders(orders: DataFrame, packages: DataFrame) -> DataFrame:
+    """BIL-06: orders (package_id, status) with the outcome of confirming them, and the tokens that are granted: only pending
+    orders of a known package get any."""
+    both = orders.join(packages, "package_id", "left")
+    outcome = F.when(F.col("base_tokens").isNull(), "invalid_package").when(F.col("status") != "pending", "not_pending").otherwise("ok")
+    return both.withColumn("outcome", outcome).withColumn("granted", F.when(F.col("outcome") == "ok", F.col("base_tokens") + F.col("bonus_tokens")))
+
+
+def backfilled_products(entries: DataFrame, runs: DataFrame) -> DataFrame:
+    """BIL-10: entries (run_id, feature, product_code) whose missing product is told by the feature or else by what their run
+    holds (has_blog, has_report)."""
+    of_run = F.when(F.col("has_blog"), "case_blog").when(F.col("has_report"), "health_report")
+    feature = F.col("feature")
+    told = F.when(feature.like("blog%"), "case_blog").when(feature == "health_report", "health_report").when(feature == "admin_extract", of_run)
+    told = told.when(feature.like("%alimtalk%"), F.when(F.col("run_id").isNotNull(), "health_report").otherwise("survey"))
+    return entries.join(runs, "run_id", "left").withColumn("product_code", F.coalesce("product_code", told))

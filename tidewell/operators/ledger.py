@@ -130,3 +130,8 @@ def updated_from(rows: DataFrame, changes: DataFrame, key: list[str], columns: l
     new = changes.select(*key, *(F.col(c).alias(f"new_{c}") for c in columns))
     both = rows.join(new, key, "left")
     return both.select(*(F.coalesce(f"new_{c}", c).alias(c) if c in columns else c for c in rows.columns))
+
+
+def without_failed_run(rows: DataFrame, run_id: int) -> DataFrame:
+    """SNK-06: rows without those of a failed run that have no key to be found by again."""
+    return rows.where(~((F.col("run_id") == run_id) & F.col("dedupe_key").isNull()))

@@ -34,7 +34,10 @@ def balances(spark, sf):
     return B.ledger(B.charges(rows), grants)
 
 
-@query("BIL-05")
+@query("BIL-05", f"""with recursive {SUBS}, due as (select *, row_number() over (partition by hospital_id order by ends_at, product_code) as n from subs where ends_at <= date '2024-02-01'),
+  f as (select hospital_id, product_code, n, auto_renew and balance >= price_tokens as paid, (balance - case when auto_renew and balance >= price_tokens then price_tokens else 0 end)::bigint as left_ from due where n = 1
+    union all select d.hospital_id, d.product_code, d.n, d.auto_renew and f.left_ >= d.price_tokens, (f.left_ - case when d.auto_renew and f.left_ >= d.price_tokens then d.price_tokens else 0 end)::bigint from f join due d on d.hospital_id = f.hospital_id and d.n = f.n + 1)
+  select hospital_id, product_code, case when paid then 'renewed' else 'lapsed' end as outcome, left_ as balance_after from f""")
 def renewals(spark, sf):
     return B.renewals(subscriptions(spark, sf), "2024-02-01")
 

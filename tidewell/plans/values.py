@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewell.functions import dates, numbers, text
+from tidewell.operators import labs, rubric
 from tidewell.plans.fixtures import table
 from tidewell.plans.registry import query
 
@@ -65,6 +66,43 @@ _query("MTH-05", {"gpt-x-mini-2024": 0.0011, "gpt-x-2024": 0.011, "other": 0.0},
 _query("MTH-06", {"sms": 0.008, "alimtalk": 0.0, "none": 0.0}, lambda c: numbers.unit_cost(c, {"sms": "0.004"}, F.lit(2)).cast("double"), "double")
 
 
+shown = lambda *cs: F.concat_ws("|", *(F.coalesce(c.cast("string"), F.lit("")) for c in cs))
+_query("LAB-05-gas", {"Na+": "Na-BG", "hct": "HCT-BG", "iCa": "Ca-BG", "pH": None, "": None}, labs.blood_gas_name)
+_query("LAB-07", {"<5": "|5.0", ">100": "100.0|", "1,5 - 2,5": "1.5|2.5", "x": "|"}, lambda c: shown(*labs.open_range(c)))
+_query("LAB-08", {"L": "low", "result High": "high", "Negative": "normal", "Positive": "high", "12.3": "unknown"}, labs.flag_of_text)
+_query("TXT-04", {"- Amoxicillin 2 tab x 7 days": "Amoxicillin|2.0|7", "rest": "rest||", "혈액검사 1개": "혈액검사|1.0|", " ": None}, lambda c: (lambda p: F.when(p.isNotNull(), shown(p["item"], p["quantity"], p["days"])))(labs.plan_line(c)))
+_query(
+    "TXT-05", {"ALT 120 H U/L 10 - 100": "ALT|120|U/L|10 - 100|high", "Glucose 95 mg/dL 70-110": "Glucose|95|mg/dL|70-110|", "WBC <0.5 L 10^9/L 5.0 ~ 16.0": "WBC|<0.5|10^9/L|5.0 ~ 16.0|low", "Page 1 of": None, "": None},
+    lambda c: (lambda p: F.when(p.isNotNull(), shown(p["item"], p["value"], p["unit"], p["reference"], p["told"])))(labs.lab_line(c)),
+)
+_query("TXT-07", {"2024.3.9 DHPPL 2차": "2024-03-09|DHPPL|2", "2024-03-09 Rabies": "2024-03-09|Rabies|", "no date": None}, lambda c: (lambda p: F.when(p.isNotNull(), shown(p["given_on"], p["name"], p["dose"])))(labs.vaccination_line(c)))
+_query("TXT-08", {"BW: 4.2 kg, HR 120": "4.2|120.0", "체온 38.5": "|", "AHR 9": "|"}, lambda c: shown(F.try_element_at(labs.vital_line(c), F.lit("weight")), F.try_element_at(labs.vital_line(c), F.lit("heart_rate"))))
+_query("TXT-11", {"-|1|": "NEG|normal", "-|0|1-2": "|unknown", "norm|0|1-2": "정상|high", "5|0|": "5|unknown", "|0|1-2": "|high"}, lambda c: (lambda p: shown(*labs.finished(p[0], p[2], p[1] == "1", F.when((p[0] == "-") & (p[1] == "0"), "unknown").otherwise("high"))))(F.split(c, "[|]")))
+_query("QLT-02", {"1|0|1": "red|red", "0|1|1": "yellow|yellow", "0|0|1": "yellow|green", "0|0|0": "green|green"}, lambda c: (lambda p: shown(rubric.medical_light(p[0], p[1], p[2]), rubric.seo_light(p[0], p[1], F.lit(0), F.lit(0))))(F.transform(F.split(c, "[|]"), lambda x: x.cast("int"))))
+
+
+@query("LAB-05", "select p_partkey % 40 as panel, bool_or(p_partkey % 2 = 0 and p_size > 10) and bool_or(p_size > 25) as is_urine from part group by all")
+def urine_panels(spark, sf):
+    line = F.when(F.col("p_size") > 25, "nitrite neg").when(F.lit(False), "x").otherwise("ALT 10")
+    both = F.concat(line, F.when((F.col("p_partkey") % 2 == 0) & (F.col("p_size") > 10), F.lit(" Leu/uL 3")).otherwise(F.lit("")))
+    return labs.looks_like_urine(table(spark, sf, "part").select((F.col("p_partkey") % 40).alias("panel"), both.alias("text")), ["panel"])
+
+
+@query("LAB-01", "select p_partkey, case when p_partkey % 3 = 2 then 'Other' else 'ALT' end as canonical, p_partkey % 3 <> 2 as recognized from part")
+def canonical_items(spark, sf):
+    name = F.element_at(F.array(F.lit("ΑLΤ"), F.lit("s.g.p.t"), F.lit("Other")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    aliases = spark.createDataFrame([("ALT", "ALT"), ("SGPT", "ALT")], "alias string, canonical string")
+    return labs.canonical(table(spark, sf, "part").select("p_partkey", name.alias("item_name")), aliases).select("p_partkey", "canonical", "recognized")
+
+
+@query("TXT-12", "select o_orderkey % 10 as run_id, o_orderkey, case when o_orderkey % 10 = 3 then 'new' else 'old' end as load from orders where o_orderkey % 10 <> 3 or o_orderkey % 20 = 3")
+def replaced_results(spark, sf):
+    from tidewell.operators.ledger import upserted
+
+    rows = table(spark, sf, "orders").select((F.col("o_orderkey") % 10).alias("run_id"), "o_orderkey", F.lit("old").alias("load"))
+    return upserted(rows, rows.where("o_orderkey % 20 = 3").withColumn("load", F.lit("new")), ["run_id"])
+
+
 @query("STR-06", "select c_custkey, concat_ws('|', case when c_custkey % 3 = 0 then null else c_name end, c_mktsegment) as v from customer")
 def joined_texts(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", F.concat_ws("|", F.when(F.col("c_custkey") % 3 != 0, F.col("c_name")), "c_mktsegment").alias("v"))

@@ -88,3 +88,23 @@ def wide_ranks(ranks: DataFrame, sections: list[str]) -> DataFrame:
 def replace_range(rows: DataFrame, path: str, partition: str) -> None:
     """SNK-04: write rows over the partitions that they have; the others stay."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+
+
+def amount_column(header: list[list[str]], fallback: list[int], group: str = "청구금액", name: str = "합계") -> int | None:
+    """SRC-02: where the amount stands in an export with two header rows: under the group's name, which holds to its right until
+    the next one, the column with the given name; else the first of the fallbacks that the export has."""
+    upper, lower = header
+    held = ""
+    for i, below in enumerate(lower):
+        held = (upper[i].strip() if i < len(upper) else "") or held
+        if held == group and below.strip() == name:
+            return i
+    return next((i for i in fallback if i < max(len(upper), len(lower))), None)
+
+
+def write_marked_csv(rows: DataFrame, path: str) -> None:
+    """SNK-10: one CSV file with a byte order mark before its header, for spreadsheets; for tables of a sheet's size."""
+    quoted = lambda c: F.when(c.rlike('[",\\n\\r]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.coalesce(c, F.lit("")))
+    lines = rows.select(F.lit(1).alias("o"), F.concat_ws(",", *(quoted(F.col(c).cast("string")) for c in rows.columns)).alias("value"))
+    head = rows.sparkSession.createDataFrame([(0, "\ufeff" + ",".join(rows.columns))], "o int, value string")
+    head.union(lines).coalesce(1).sortWithinPartitions("o").select("value").write.text(path)
