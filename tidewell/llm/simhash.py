@@ -348,29 +348,34 @@ def _within(a, b, x, y, radius):
     return {"a": [i if n else None for i, n in zip(a, near)], "b": [j if n else None for j, n in zip(b, near)]}
 
 
-def near_duplicate_classes(docs: DataFrame, radius: int | None = None) -> DataFrame:
-    """(doc_id, class_id): the classes of documents joined by pairs whose five-word shingle sets are alike at 0.8 or more,
-    copies (equal fingerprints and numbers of shingles) included; class_id is the least doc_id.  No other pair is linked;
-    a pair near 0.8 may be passed over where its wide fingerprints share no bucket.
+def _classes(docs: DataFrame, radius: int) -> DataFrame:
+    """(doc_id, mark: a hash of the text, class_id) for each row with an id."""
 
-    Wordless and null texts form one class.  Null ids give no row."""
-    radius = RADIUS if radius is None else radius
-
-    def rows(ids, texts):
+    def rows(ids, texts, marks):
         found = [wide_bits(t) for t in texts]
-        made = {"doc_id": ids, "n": [n for n, _ in found], "bits": [b for _, b in found]}
-        return made
+        return {"doc_id": ids, "mark": marks, "n": [n for n, _ in found], "bits": [b for _, b in found]}
 
-    made = materialize(map_arrow(docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")), rows, "doc_id long, n int, bits binary"))
+    text = F.col("text").cast("string")
+    read = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("mark"))
+    made = materialize(map_arrow(read, rows, "doc_id long, mark long, n int, bits binary"))
     prints = materialize(made.groupBy("n", "bits").agg(F.min("doc_id").alias("id")))
     classes = connected_components(wide_links(prints.where("n > 0"), docs, radius))
     found = prints.join(classes, prints["id"] == classes["node"], "left").select("n", "bits", F.coalesce("component", "id").alias("class_id"))
-    return made.join(found, ["n", "bits"]).select("doc_id", "class_id")
+    return made.join(found, ["n", "bits"]).select("doc_id", "mark", "class_id")
+
+
+def near_duplicate_classes(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(doc_id, class_id): the classes of documents joined by pairs whose five-word shingle sets are alike at 0.8 or more,
+    copies (equal fingerprints and numbers of shingles) included; class_id is the least doc_id.  No other pair is linked;
+    a pair near 0.8 may be passed over where its wide fingerprints share no bucket.
+
+    Wordless and null texts form one class.  Null ids give no row; repeated ids give a row each."""
+    return _classes(docs, radius).select("doc_id", "class_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without the near duplicates of a document with a smaller id: one row of each class stays.  Rows that repeat
-    that id and its text stay once, different texts under that id all stay; so do rows with a null id."""
-    first = near_duplicate_classes(docs).where("doc_id = class_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = docs.join(first, docs["doc_id"] == first["kept_id"], "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.union(docs.where("doc_id is null"))
+    """docs without the near duplicates of a document with a smaller id: one row of each class stays.  Rows that repeat id and
+    text stay once; of different texts under one id each is judged for itself; rows with a null id all stay."""
+    first = _classes(docs, RADIUS).where("doc_id = class_id").select(F.col("doc_id").alias("kept_id"), F.col("mark").alias("kept_mark")).distinct()
+    same = (docs["doc_id"].cast("long") == first["kept_id"]) & (F.xxhash64(docs["text"].cast("string")) == first["kept_mark"])
+    return docs.join(first, same, "left_semi").dropDuplicates(["doc_id", "text"]).union(docs.where("doc_id is null"))

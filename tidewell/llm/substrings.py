@@ -59,7 +59,7 @@ def numbered(h: np.ndarray, reach: int = NEAR) -> np.ndarray:
     place = np.arange(len(h))
     run = place - np.maximum.accumulate(np.where(new, place, 0))
     out, again = h.copy(), order[run > 0]
-    out[again] = mix64(h[again] + run[run > 0].astype(np.uint64))
+    out[again] = mix64(mix64(h[again]) + run[run > 0].astype(np.uint64))
     return out
 
 
