@@ -135,7 +135,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Alternates large-star and small-star steps, each a grouped minimum and a join, until no edge changes. A round
     is written to the shared folder, so lineage stays short; nothing but two numbers a round reaches the driver.
     Self-loops keep their node; null ends are dropped. An empty input gives an empty result."""
-    edges = edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).dropna()
+    edges = materialize(edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).dropna())  # read twice
     nodes = edges.select("src").union(edges.select("dst")).distinct().withColumnRenamed("src", "node")
     now = materialize(edges.where("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
     seen = None
