@@ -466,7 +466,7 @@ def train(pages: int = 2400, rounds: int = 24, seed: int = 3) -> dict:
 def main_texts(pages: list[str | None], model: dict) -> list[str]:
     found = [blocks(p) for p in pages]
     told = scores(found, model)
-    return ["\n".join(t for (t, _, _), s in zip(b, y) if s > 0) for b, y in zip(found, told)]
+    return ["\n".join(t for (t, *_), s in zip(b, y) if s > 0) for b, y in zip(found, told)]
 
 
 def extract(pages: DataFrame, model: dict | None = None) -> DataFrame:
