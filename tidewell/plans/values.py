@@ -30,7 +30,10 @@ def _query(name: str, cases: dict, f, kind: str = "varchar") -> None:
         return _cases(spark, sf, list(cases)).select("c_custkey", f(F.col("c")).alias("v"))
 
 
-TODAY = F.lit("2024-03-10").cast("date")
+def today():
+    return F.lit("2024-03-10").cast("date")
+
+
 _query("STR-01", {" a \t b  c　": "a b c", "": "", None: None, "x": "x"}, text.normalize_text)
 _query("STR-03", {"  Kim 　 LEE ": "kim lee", None: "", "A\tb": "a b"}, text.normalize_owner_name)
 _query("STR-09", {"# Title\nSome **bold** ![x](y.png) text": 17, "<p>ab c</p>": 3, "": 0, "## 가 나": 2}, text.visible_chars, "bigint")
@@ -49,16 +52,16 @@ _query("DAT-02", {"2024-3-9": "2024-03-09", "2024-02-30": None, "x": None, "2024
 _query(
     "DAT-03",
     {"2024-03-09T16:00:00Z": "2024-03-10", "2024.3.9": "2024-03-09", "24.3.9.토": "2024-03-09", "3.11": "2024-03-11", "3.12.화": "2023-03-12", "오늘 방문": "2024-03-10", "어제": "2024-03-09", "그저께": "2024-03-08", "3일전": "2024-03-07", "2 주 전": "2024-02-25", "soon": None, None: None},
-    lambda c: dates.parse_review_date(c, TODAY), "date",
+    lambda c: dates.parse_review_date(c, today()), "date",
 )
 _query("DAT-11", {"2024-02-29 x": "2024-02-29", "2023-02-29": None, "20240131": "2024-01-31", "abc": None}, dates.leading_iso_date, "date")
-_query("DAT-12", {"7Y 2M": "2017-01-01", "1OY": "2014-01-01", "5M": "2023-01-01", "old": None}, lambda c: dates.birth_from_age(c, TODAY), "date")
+_query("DAT-12", {"7Y 2M": "2017-01-01", "1OY": "2014-01-01", "5M": "2023-01-01", "old": None}, lambda c: dates.birth_from_age(c, today()), "date")
 _query("DAT-14", {"2024-03-09": "2024년 3월 9일", "2023-12-31": "2023년 12월 31일"}, lambda c: dates.korean_date(c.cast("date")))
 _query("DAT-15", {"2024-01-31 20:00:00": "2024-02", "2024-01-31 10:00:00": "2024-01"}, lambda c: F.date_format(F.from_utc_timestamp(c, dates.SEOUL), "yyyy-MM"))
-_query("DAT-16", {"2024-03-01": 9, "2024-03-10": 0, "2024-03-12": 0}, lambda c: dates.stale_days(c.cast("date"), TODAY), "int")
+_query("DAT-16", {"2024-03-01": 9, "2024-03-10": 0, "2024-03-12": 0}, lambda c: dates.stale_days(c.cast("date"), today()), "int")
 _query("DAT-16-left", {"2024-03-11 00:00:01": 2, "2024-03-10 00:00:00": 0, "2024-03-09 23:00:00": 0}, lambda c: dates.days_left(c.cast("timestamp"), F.lit("2024-03-10 00:00:00").cast("timestamp")), "int")
 _query("DAT-17", {"10|0|": True, "10|1|": False, "9||": False, "10||2024-03-10 10:05:00": False, "10||2024-03-10 09:59:00": True}, lambda c: dates.is_due(F.split(c, "[|]")[0].try_cast("int"), F.split(c, "[|]")[1].try_cast("int"), F.split(c, "[|]")[2].try_cast("timestamp"), F.lit("2024-03-10 10:30:00").cast("timestamp")), "boolean")
-_query("DAT-10", {"2024-03-08": "2024-03-09|2024-03-10", "2024-03-10": None, None: "2024-03-04|2024-03-10"}, lambda c: (lambda r: F.when(r.isNotNull(), F.concat_ws("|", r["start"], r["end"])))(dates.next_range(c.cast("date"), TODAY, 7)))
+_query("DAT-10", {"2024-03-08": "2024-03-09|2024-03-10", "2024-03-10": None, None: "2024-03-04|2024-03-10"}, lambda c: (lambda r: F.when(r.isNotNull(), F.concat_ws("|", r["start"], r["end"])))(dates.next_range(c.cast("date"), today(), 7)))
 _query("MTH-02", {"< 10": "10|true", "1,234": "1234|false", "x": "|false"}, lambda c: F.concat(F.coalesce(numbers.parse_count(c)["value"].cast("string"), F.lit("")), F.lit("|"), numbers.parse_count(c)["under10"].cast("string")))
 _query("MTH-09", {"0": None, "7": "2|4", "9": "2.5|4", "100": "25|4", "110": "20|6"}, lambda c: (lambda a: F.when(a["step"].isNotNull(), F.concat_ws("|", F.format_string("%s", F.regexp_replace(a["step"].cast("string"), r"\.0$", "")), a["ticks"].cast("string"))))(numbers.nice_axis(c.cast("int"))))
 _query("MTH-10", {"5": 5, "-3": 1, "900": 200}, lambda c: numbers.clamp(c.cast("double"), 1.0, 200.0), "double")
