@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewell.operators import billing, ledger as L
@@ -45,6 +46,82 @@ def exported(spark, sf):
     return readers.positional(rows, readers.POSITIONS["woorien"]).select("service_date", "customer_no", "customer_name", "treatment", "amount")
 
 
+@query("SRC-01", "select o_orderdate::date as service_date, o_orderkey::varchar as customer_no, 'n' || o_custkey as customer_name, 'p' as patient_name, o_totalprice::decimal(18,2) as amount from orders where o_orderkey % 6 = 0")
+def export_with_two_headers(spark, sf):
+    path = folder(spark)
+    head = [(["날짜", "번호", "고객", "환자", "비고", "청구금액", ""], -2), (["", "", "", "", "", "할인", "합계"], -1), (["", "", "", "", "", "", "9,999.00"], 2**62)]
+    extra = spark.createDataFrame([(*c, n) for c, n in head], ", ".join(f"c{i} string" for i in range(7)) + ", n long")
+    made = table(spark, sf, "orders").where("o_orderkey % 6 = 0").select(
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("c0"), F.col("o_orderkey").cast("string").alias("c1"), F.concat(F.lit("n"), F.col("o_custkey").cast("string")).alias("c2"),
+        F.lit("p").alias("c3"), F.lit("").alias("c4"), F.lit("1").alias("c5"), F.format_number(F.col("o_totalprice").cast(MONEY), 2).alias("c6"), F.col("o_orderkey").alias("n"))
+    made.union(extra).coalesce(1).sortWithinPartitions("n").drop("n").write.csv(path, quote='"', escape='"', emptyValue="")
+    rows = readers.raw_rows(spark, path, 7)
+    header = [[v or "" for v in r[:7]] for r in rows.orderBy("row_no").limit(2).collect()]  # two rows of a sheet
+    at = readers.amount_column(header, [6])
+    data = readers.without_totals(readers.without_headers(rows, 2), ["c1", "c2", "c3"], [f"c{at}"])
+    return readers.positional(data, {"service_date": 0, "customer_no": 1, "customer_name": 2, "patient_name": 3, "amount": at}).drop("file", "row_no")
+
+
+@query("SRC-03", "select (o_orderkey % 4)::int as part, count(*) as n, sum(o_totalprice::decimal(18,2))::decimal(18,2) as amount from orders group by all")
+def files_with_totals(spark, sf):
+    """Four files, each ended by a row of its totals; a row without names within a file stays out of it by having no amount."""
+    path = folder(spark)
+    rows = table(spark, sf, "orders").select((F.col("o_orderkey") % 4).cast("int").alias("part"), F.col("o_orderkey").alias("n"), F.concat(F.lit("n"), F.col("o_custkey").cast("string")).alias("c0"), F.col("o_totalprice").cast(MONEY).cast("string").alias("c1"))
+    totals = rows.groupBy("part").agg(F.sum(F.col("c1").cast(MONEY)).cast("string").alias("c1")).select("part", F.lit(2**62).alias("n"), F.lit(" ").alias("c0"), "c1")
+    rows.union(totals).repartition("part").sortWithinPartitions("part", "n").drop("n").write.partitionBy("part").csv(path)
+    read = readers.without_totals(readers.raw_rows(spark, f"{path}/part=*", 2), ["c0"], ["c1"])
+    part = F.regexp_extract("file", "part=([0-9]+)", 1).cast("int").alias("part")
+    return read.groupBy(part).agg(F.count("*").alias("n"), F.sum(F.col("c1").cast(MONEY)).cast(MONEY).alias("amount"))
+
+
+@query("SRC-05", "select o_orderdate::date as service_date, '고객' || o_custkey as customer_name, '진료' as treatment, o_orderkey::varchar as receipt, o_totalprice::decimal(18,2) as amount from orders where o_orderkey % 7 < 3")
+def exports_of_two_encodings(spark, sf):
+    """One file in the older encoding, one in UTF-8, one in UTF-8 that begins with a byte order mark."""
+    path = folder(spark)
+    rows = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("n"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("c0"), *(F.lit("x").alias(f"c{i}") for i in range(1, 5)),
+        F.concat(F.lit("고객"), F.col("o_custkey").cast("string")).alias("c5"), F.lit("진료").alias("c6"), F.col("o_orderkey").cast("string").alias("c7"),
+        F.lit("").alias("c8"), F.lit("").alias("c9"), F.format_number(F.col("o_totalprice").cast(MONEY), 2).alias("c10"))
+    first = F.row_number().over(Window.orderBy("n")) == 1
+    marked = rows.where("n % 7 = 2").withColumn("c0", F.concat(F.when(first, "\ufeff").otherwise(""), "c0"))
+
+    @F.pandas_udf("binary")
+    def encoded(values: pd.Series) -> pd.Series:
+        return values.map(lambda t: t.encode("euc_kr"))
+
+    for k, part in enumerate([rows.where("n % 7 = 0"), rows.where("n % 7 = 1"), marked]):
+        quoted = [F.concat(F.lit('"'), F.col(f"c{i}"), F.lit('"')) if i == 10 else F.col(f"c{i}") for i in range(11)]
+        lines = part.select("n", F.concat_ws(",", *quoted).alias("value"))
+        if k == 0:
+            lines = lines.withColumn("value", encoded("value").cast("string"))
+        lines.coalesce(1).sortWithinPartitions("n").select("value").write.text(f"{path}/{k}")
+    return readers.positional(readers.export_rows(spark, f"{path}/*", 11), readers.POSITIONS["efriends"]).select("service_date", "customer_name", "treatment", "receipt", "amount")
+
+
+@query("SRC-06", """select o_orderkey, 'a,"' || o_custkey || '"' as name, case when o_orderkey % 2 = 0 then 'say "hi"' end as note from orders""")
+def quoted_lines(spark, sf):
+    path = folder(spark)
+    note = F.when(F.col("o_orderkey") % 2 == 0, F.lit('"say ""hi"""')).otherwise(F.lit(""))
+    line = F.concat_ws(",", F.col("o_orderkey").cast("string"), F.concat(F.lit('"a,""'), F.col("o_custkey").cast("string"), F.lit('"""')), note)
+    table(spark, sf, "orders").select(line.alias("value")).write.text(path)
+    rows = readers.raw_rows(spark, path, 3)
+    return rows.select(F.col("c0").cast("long").alias("o_orderkey"), F.col("c1").alias("name"), F.col("c2").alias("note"))
+
+
+@query("SRC-17", "select count(*) as n, count(distinct event_id) as ids, max(event_id) as last from events")
+def whole_scan(spark, sf):
+    """All rows of a table of any size; there are no pages and no cap."""
+    return table(spark, sf, "events").agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("ids"), F.max("event_id").alias("last"))
+
+
+@query("STM-02", "with f as (select user_id, min(ts)::date as day from events group by all) select day, count(*) as first_visits from f group by all")
+def late_visits(spark, sf):
+    """First days known from half of the rows, corrected by the other half, which comes late and out of order."""
+    visits = table(spark, sf, "events").select("event_id", "user_id", F.to_date("ts").alias("day"))
+    known = L.first_visits(visits.where("event_id % 2 = 0"), "user_id", "day")
+    return L.recounted(known, visits.where("event_id % 2 = 1"), "user_id", "day").groupBy("day").agg(F.count("*").alias("first_visits"))
+
+
 @query("SRC-02", "select o_orderkey, o_totalprice::decimal(18,2) as amount from orders where o_orderkey % 9 = 0")
 def detected_amount(spark, sf):
     header = [["번호", "진료", "", "청구금액", "", ""], ["", "합계", "날짜", "공급가", "부가세", "합계"]]

@@ -98,6 +98,14 @@ def canonical_items(spark, sf):
     return labs.canonical(table(spark, sf, "part").select("p_partkey", name.alias("item_name")), aliases).select("p_partkey", "canonical", "recognized")
 
 
+@query("LAB-02", "select p_partkey % 3 as kind, count(*) as n from part where p_partkey % 3 <> 2 group by all")
+def recognized_items(spark, sf):
+    name = F.element_at(F.array(F.lit("alt"), F.lit("s.g.p.t"), F.lit("unheard of")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    aliases = spark.createDataFrame([("ALT", "ALT"), ("SGPT", "ALT")], "alias string, canonical string")
+    named = labs.canonical(table(spark, sf, "part").select("p_partkey", name.alias("item_name")), aliases)
+    return named.where("recognized").groupBy((F.col("p_partkey") % 3).alias("kind")).agg(F.count("*").alias("n"))
+
+
 @query("TXT-12", "select o_orderkey % 10 as run_id, o_orderkey, case when o_orderkey % 10 = 3 then 'new' else 'old' end as load from orders where o_orderkey % 10 <> 3 or o_orderkey % 20 = 3")
 def replaced_results(spark, sf):
     from tidewell.operators.ledger import upserted

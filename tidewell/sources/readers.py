@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +19,31 @@ def raw_rows(spark: SparkSession, path: str, columns: int, encoding: str = "UTF-
     return rows.select("*", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row_no"))
 
 
+def export_rows(spark: SparkSession, path: str, columns: int, other: str = "euc_kr") -> DataFrame:
+    """SRC-05: raw_rows of files of which each is UTF-8, with or without a byte order mark, or in the other encoding where its bytes
+    are not valid UTF-8.  Spark's readers lack that encoding, so lines of such files, and only those, are decoded in Arrow batches.
+    Only these files' names reach the driver, which lists all files anyway."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row_no"))
+    odd = [r["file"] for r in lines.where("not is_valid_utf8(value)").select("file").distinct().collect()]
+
+    @F.pandas_udf("string")
+    def decoded(values: pd.Series) -> pd.Series:
+        return values.map(lambda b: bytes(b).decode(other, "replace"))
+
+    if odd:
+        theirs = F.col("file").isin(odd)
+        lines = lines.where(~theirs).union(lines.where(theirs).withColumn("value", decoded(F.col("value").cast("binary"))))
+    schema = ", ".join(f"c{i} string" for i in range(columns))
+    cells = F.from_csv(F.regexp_replace("value", "^\ufeff", ""), schema, {"quote": '"', "escape": '"'})
+    return lines.where("trim(value) <> ''").select(cells.alias("r"), "file", "row_no").select("r.*", "file", "row_no")
+
+
+def without_headers(rows: DataFrame, count: int) -> DataFrame:
+    """SRC-01: rows of each file without its first `count` ones; these lie in the file's first part, where row_no has no gaps."""
+    first = rows.groupBy("file").agg(F.min("row_no").alias("first_"))
+    return rows.join(first, "file").where(F.col("row_no") - F.col("first_") >= count).drop("first_")
+
+
 def positional(rows: DataFrame, positions: dict[str, int]) -> DataFrame:
     """SRC-01, SRC-04 and SRC-05: named and typed columns of a sales export."""
     named = {n: F.col(f"c{i}") for n, i in positions.items()}
