@@ -1,6 +1,8 @@
 """The corpus operators against SQL, brute force, round trips and held-out labels; and on awkward tables."""
 
+import gzip
 import hashlib
+import io
 import os
 import random
 import sys
@@ -382,7 +384,13 @@ def test_archives_give_pages_back(spark, odd_pages, tmp_path):
 
 
 def test_missing_segments_raise():
-    parts = list(warc.parse(b"".join(r + b"\r\n" for r in warc.records(1, "u", "x" * 3000, None, hashlib.sha1(b"x" * 3000).hexdigest(), segment=700))))
+    made = [r + b"\r\n" for r in warc.records(1, "u", "x" * 3000, None, hashlib.sha1(b"x" * 3000).hexdigest(), segment=700)]
+    parts = list(warc.parse(io.BytesIO(b"".join(made))))
+    members = gzip.GzipFile(fileobj=io.BytesIO(b"".join(map(gzip.compress, made))))
+    assert list(warc.parse(members)) == parts
+    for cut in (5, len(made[0]) - 3, len(made[0]) + 20):
+        with pytest.raises(ValueError):
+            list(warc.parse(io.BytesIO(b"".join(made)[:cut])))
     assert warc._page(parts)[2] == b"x" * 3000
     with pytest.raises(ValueError):
         warc._page(parts[:2] + parts[3:])

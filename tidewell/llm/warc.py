@@ -8,8 +8,11 @@ the separator; so any file system that Spark knows will do, and a lost executor'
 
 from __future__ import annotations
 
+import gzip
 import hashlib
+import io
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +23,8 @@ from tidewell.llm.common import materialize, scratch
 VERSION = b"WARC/1.1"
 #: Bytes of a record's block, of an HTTP chunk, and of the payloads that later equal ones revisit.
 SEGMENT, CHUNK, REVISIT = 4096, 1500, 1000
+#: Bytes of records that are read before they are handed on.
+GROUP = 4_000_000
 DATE = "2024-01-01T00:00:00Z"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 #: A row of an archive file read back.
@@ -78,24 +83,26 @@ def records(page_id, url: str | None, html: str | None, refers_to, digest: str,
         yield _record([("WARC-Type", "response" if k == 1 else "continuation"), ("WARC-Record-ID", record_id(page_id, k)), *common, *more], part)
 
 
-def parse(data: bytes) -> Iterator[tuple]:
-    """The records of an archive, in the order of RECORD."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode().split("\r\n")
-        if lines[0].encode() != VERSION:
-            raise ValueError(f"no record begins at byte {at}")
-        h = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines[1:])
+def parse(archive: BinaryIO) -> Iterator[tuple]:
+    """The records of an archive, in the order of RECORD, read one after the other.  Head lines that continue on the next
+    line are not read; ValueError where a record is cut off or does not have the length told."""
+    while version := archive.readline():
+        if version.rstrip(b"\r\n") != VERSION:
+            raise ValueError(f"no record begins with {version[:40]!r}")
+        h = {}
+        while (line := archive.readline()) != b"\r\n":
+            if not line.endswith(b"\r\n"):
+                raise ValueError("an archive ends within the head of a record")
+            name, _, value = line.decode().partition(":")
+            h[name] = value.strip()
         n = int(h["Content-Length"])
-        block = data[end + 4 : end + 4 + n]
-        if len(block) != n or data[end + 4 + n : end + 8 + n] != b"\r\n\r\n":
-            raise ValueError(f"the record at byte {at} does not end where its length says")
+        block = archive.read(n)
+        if len(block) != n or archive.read(4) != b"\r\n\r\n":
+            raise ValueError(f"the record {h['WARC-Record-ID']} does not end where its length says")
         refers = h.get("WARC-Refers-To")
-        number = lambda k: int(h[k]) if k in h else None
+        number = lambda k: int(h[k]) if h.get(k) else None
         yield (h["WARC-Record-ID"], h.get("WARC-Segment-Origin-ID"), number("WARC-Segment-Number"), number("WARC-Segment-Total-Length"), h["WARC-Type"],
                number("WARC-Page-ID"), h.get("WARC-Target-URI"), int(refers.split(":")[3]) if refers else None, h.get("WARC-Payload-Digest"), number("WARC-Payload-Length"), block, number("WARC-Page-Row"))
-        at = end + 8 + n
 
 
 def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT) -> None:
@@ -121,8 +128,10 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT) -> None:
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all archive files below path, parsed by their own lengths."""
-    import gzip
+    """The records of all archive files below path, parsed by their own lengths.
+
+    A task holds one archive as it is stored and a group of records of up to GROUP bytes; what is compressed is unpacked as
+    it is read, also where an archive has one gzip member a record."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -130,12 +139,14 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         schema = to_arrow_schema(target)
         for b in batches:
             for name, content in zip(*(c.to_pylist() for c in b.columns)):
-                found = []
-                for r in parse(gzip.decompress(content) if name.endswith(".gz") else content):
+                raw = io.BytesIO(content)
+                found, held = [], 0
+                for r in parse(gzip.GzipFile(fileobj=raw) if name.endswith(".gz") else raw):
                     found.append(r)
-                    if len(found) == 2000:
+                    held += len(r[10]) + 500
+                    if held > GROUP:
                         yield _batch(found, schema)
-                        found = []
+                        found, held = [], 0
                 yield _batch(found, schema)
 
     target = spark.createDataFrame([], RECORD).schema
