@@ -137,11 +137,11 @@ def without_failed_run(rows: DataFrame, run_id: int) -> DataFrame:
     return rows.where(~((F.col("run_id") == run_id) & F.col("dedupe_key").isNull()))
 
 
-def first_visits(visits: DataFrame, key: str, day: str) -> DataFrame:
+def first_days(visits: DataFrame, key: str, day: str) -> DataFrame:
     """STM-02: each customer's first day."""
     return visits.groupBy(key).agg(F.min(day).alias(day))
 
 
-def recounted(known: DataFrame, late: DataFrame, key: str, day: str) -> DataFrame:
+def recounted_days(known: DataFrame, late: DataFrame, key: str, day: str) -> DataFrame:
     """STM-02: first days after late rows came, from the first days known so far and the late rows alone."""
-    return first_visits(known.select(key, day).unionByName(late.select(key, day)), key, day)
+    return first_days(known.select(key, day).unionByName(late.select(key, day)), key, day)

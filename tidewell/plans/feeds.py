@@ -118,8 +118,8 @@ def whole_scan(spark, sf):
 def late_visits(spark, sf):
     """First days known from half of the rows, corrected by the other half, which comes late and out of order."""
     visits = table(spark, sf, "events").select("event_id", "user_id", F.to_date("ts").alias("day"))
-    known = L.first_visits(visits.where("event_id % 2 = 0"), "user_id", "day")
-    return L.recounted(known, visits.where("event_id % 2 = 1"), "user_id", "day").groupBy("day").agg(F.count("*").alias("first_visits"))
+    known = L.first_days(visits.where("event_id % 2 = 0"), "user_id", "day")
+    return L.recounted_days(known, visits.where("event_id % 2 = 1"), "user_id", "day").groupBy("day").agg(F.count("*").alias("first_visits"))
 
 
 @query("SRC-02", "select o_orderkey, o_totalprice::decimal(18,2) as amount from orders where o_orderkey % 9 = 0")
