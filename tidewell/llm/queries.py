@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import classifier, fingerprints, html_blocks, mixing, pieces, quality_rules, sharding, simhash, substrings, warc
+from tidewell.llm import classifier, exact_dedup, filter_audit, fingerprints, html_blocks, mixing, pieces, quality_rules, resampling, sharding, simhash, substrings, warc
 from tidewell.llm.common import table
 
 
@@ -53,8 +53,22 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.copies(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_document_fingerprints, op2_simhash_near_dedup, op3_mixing, op4_sharding, op5_substring_dedup, op6_quality_classifier, op7_quality_rules, op8_sentencepiece, op9_html_extraction, op10_warc)}
+    made = (op1_document_fingerprints, op2_simhash_near_dedup, op3_mixing, op4_sharding, op5_substring_dedup, op6_quality_classifier, op7_quality_rules, op8_sentencepiece, op9_html_extraction,
+            op10_warc, op11_filter_audit, op12_importance_resampling, op13_exact_dedup)
+    return {f.__name__: f for f in made}
 
 
 _WORDS = r"len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> ''))"
@@ -139,5 +153,76 @@ from p left join g using (d)
 """
 
 
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'"
+_LOWER_AZ = f"translate(coalesce(text, ''), {_AZ}, 'abcdefghijklmnopqrstuvwxyz')"
+
+OP11_SQL = rf"""
+with recursive split as (
+  select d.doc_id, coalesce(d.source, '') as part, coalesce(d.text, '') as t, coalesce(l.quality = 1, false) as good, coalesce(l.toxic = 1, false) as toxic,
+    list_filter(regexp_split_to_array(coalesce(d.text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') as words,
+    d.doc_id > min(d.doc_id) over (partition by coalesce(d.text, '')) as later
+  from documents d left join (select doc_id, max(quality) as quality, max(toxic) as toxic from labels group by doc_id) l using (doc_id)),
+failed as (
+  select doc_id, part, good, toxic,
+    case when len(words) < 200 then 'A' else '' end || case when 100 * len(list_distinct(words)) < 50 * len(words) then 'B' else '' end
+    || case when 100 * (length(t) - length(translate(t, {_AZ}, ''))) > 2 * length(t) then 'C' else '' end
+    || case when length(t) <> length(translate(t, '#$%&*|', '')) then 'D' else '' end || case when later then 'E' else '' end as fails
+  from split),
+orders as (
+  select '' as o
+  union all
+  select o || f from orders, (values ('A'), ('B'), ('C'), ('D'), ('E')) v(f) where not contains(o, f)),
+steps as (select o as filter_order, k::int as step, o[k] as f, o[1:k - 1] as before from orders, range(1, 6) r(k) where length(o) = 5),
+seen as (
+  select part, filter_order, step, f, good, toxic, contains(fails, f) as here, fails = f as alone,
+    length(fails) <> length(translate(fails, before, '')) as gone
+  from failed, steps),
+made as (
+  select part, filter_order, step, f, count(*) filter (not here and not gone) as kept, count(*) filter (here and not gone) as removed,
+    count(*) filter (here and gone) as redundant, count(*) filter (alone) as unique_fails, count(*) filter (here and not gone and good) as good_lost,
+    count(*) filter (here and not gone and toxic) as toxic_lost
+  from seen group by all)
+select * exclude (f), (sum(removed) over (partition by part, f))::bigint as shapley from made
+"""
+
+#: The crc32 of a feature, a byte at a time, by the table of its polynomial.
+OP12_SQL = rf"""
+with crc_table as (
+  select list(list_reduce(range(9), lambda c, i: case when i = 0 then c when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end, n) order by n) as crcs
+  from range(256) r(n)),
+split as (
+  select 0 as kind, doc_id, list_filter(regexp_extract_all({_LOWER_AZ}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') as words from documents
+  union all
+  select 1, item_id, list_filter(regexp_extract_all({_LOWER_AZ}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') from benchmark),
+features as (
+  select kind, doc_id, unnest(words) as feature from split
+  union all
+  select kind, doc_id, unnest(list_transform(list_zip(words[:-2], words[2:]), lambda p: p[1] || ' ' || p[2])) from split where len(words) > 1),
+tallied as (select kind, doc_id, feature, count(*) as n from features group by all),
+coded as (select feature, hex(encode(feature)) as h from (select distinct feature from tallied)),
+placed as (
+  select feature, xor(4294967295, list_reduce(list_transform(range(length(h) // 2), lambda i: ('0x' || h[2 * i + 1:2 * i + 2])::bigint),
+    lambda c, b: xor(c >> 8, crcs[(xor(c, b) & 255) + 1]), 4294967295)) % 10000 as bucket
+  from coded, crc_table),
+held as (select kind, doc_id, bucket, n from tallied join placed using (feature)),
+counts as (select bucket, coalesce(sum(n) filter (kind = 0), 0)::bigint as s, coalesce(sum(n) filter (kind = 1), 0)::bigint as t from held group by bucket),
+totals as (select sum(s)::bigint as all_s, sum(t)::bigint as all_t from counts),
+gains as (select bucket, floor(1000 * ln(((t + 1)::double * (all_s + 10000)::double) / ((s + 1)::double * (all_t + 10000)::double)))::bigint as gain from counts, totals),
+weights as (select doc_id, sum(n)::bigint as n_features, floor(sum(n * gain)::double / sum(n)::double)::bigint as weight from held join gains using (bucket) where kind = 0 group by doc_id),
+scored as (
+  select s.doc_id, len(words) as n_words, coalesce(n_features, 0)::bigint as n_features, coalesce(weight, 0)::bigint as weight,
+    coalesce(weight, 0)::bigint + floor(-1000 * ln(-ln((('0x' || sha256('7:' || s.doc_id)[1:8])::bigint + 0.5::double) / 4294967296.0::double)))::bigint as score
+  from split s left join weights using (doc_id) where kind = 0),
+placed_rows as (select *, row_number() over (partition by n_words >= 20 order by score desc, doc_id) as place, count(*) over (partition by n_words >= 20) as able from scored)
+select doc_id, n_features, weight, score, case when n_words >= 20 and place <= 25 * able // 100 then place::bigint end as rank from placed_rows
+"""
+
+OP13_SQL = f"""
+with rows as (select doc_id, {_LOWER_AZ} as t from documents)
+select doc_id, max(doc_id) over w as keep_id, (count(*) over w)::bigint as group_size, doc_id = max(doc_id) over w as kept, sha256(t) as text_sha256
+from rows window w as (partition by t)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": OP3_SQL, "op7_quality_rules": OP7_SQL, "op10_warc": OP10_SQL}
+    return {"op3_mixing": OP3_SQL, "op7_quality_rules": OP7_SQL, "op10_warc": OP10_SQL, "op11_filter_audit": OP11_SQL, "op12_importance_resampling": OP12_SQL, "op13_exact_dedup": OP13_SQL}
