@@ -56,6 +56,12 @@ def llm_cost(prices: tuple[Column, Column, Column], used: tuple[Column, Column,
     return ((n_in - n_cached) * price_in + n_cached * price_cached + (n_out + n_thought) * price_out) / F.lit(1_000_000)
 
 
+def set_key(members: Column | str) -> Column:
+    """A set as jaccard() takes it: without blanks and repeats, in order; an empty one for null."""
+    c = F.col(members) if isinstance(members, str) else members
+    return F.array_sort(F.array_distinct(F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda v: F.trim(v) != "")))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """ARR-01: shared members over all members of two arrays, blanks and repeats aside; 0 for two empty ones."""
     clean = lambda x: F.array_distinct(F.filter(F.coalesce(x, F.array().cast("array<string>")), lambda v: F.trim(v) != ""))

@@ -97,11 +97,15 @@ def store_name(c: Column) -> Column:
     return normalize_text(plain)
 
 
+def bare_store_name(c: Column) -> Column:
+    """JN-25: a store's name as names are compared: without white space and ampersands."""
+    return F.regexp_replace(store_name(c), " ", "")
+
+
 def is_store(target: Column, seen: Column) -> Column:
     """JN-25: whether a name seen in a list is a store's: either holds the other, white space aside; a name that is part of the
     store's needs four characters."""
-    bare = lambda c: F.regexp_replace(store_name(c), " ", "")
-    t, s = bare(target), bare(seen)
+    t, s = bare_store_name(target), bare_store_name(seen)
     return (t != "") & (s != "") & (F.contains(s, t) | ((F.length(s) >= 4) & F.contains(t, s)))
 
 
@@ -150,7 +154,7 @@ def redact(c: Column) -> Column:
 def is_private_key(c: Column) -> Column:
     """STR-18: whether a field's name, letters and digits only, tells that its value must not be kept."""
     # Names of private fields, and what other private names contain
-    names = ["email", "address", "addressdetail", "zipcode", "postcode", "rrn", "ssn", "birth", "birthdate", "birthday", "dob", "cardnumber", "account", "accountnumber", "cvc", "memo", "note", "notes", "symptom", "symptoms", "diagnosis", "soap", "chiefcomplaint", "history", "content", "answer", "answers"]
+    names = ["name", "patientname", "guardianname", "ownername", "username", "fullname", "phone", "phonenumber", "tel", "telephone", "mobile", "contact", "email", "address", "addressdetail", "zipcode", "postcode", "rrn", "ssn", "birth", "birthdate", "birthday", "dob", "cardnumber", "account", "accountnumber", "cvc", "memo", "note", "notes", "symptom", "symptoms", "diagnosis", "soap", "chiefcomplaint", "history", "content", "answer", "answers"]
     parts = ["password", "passwd", "secret", "token", "apikey", "accesskey", "authorization", "cookie", "credential"]
     key = F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
     return key.isin(*names) | key.rlike("|".join(parts))

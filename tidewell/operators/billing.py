@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.operators.periods import balance
+from tidewell.operators.scans import running
+from tidewell.operators.storage import written
 
 TOKEN_USD = "0.01"
 # Features whose price is a multiple, or a part, of their cost
@@ -43,47 +45,60 @@ def ledger(charged: DataFrame, grants: DataFrame) -> DataFrame:
     return balance(rows, ["hospital_id"], ["created_at", "operation_id"], "tokens")
 
 
-def renewals(subscriptions: DataFrame, as_of: str) -> DataFrame:
-    """BIL-05: which subscriptions that are due by as_of can be paid, in order of their ends and products; each one paid
-    lowers its hospital's balance, and one that cannot be paid lapses.
+def covered(requests: DataFrame, key: str, seq: str, amount: str) -> DataFrame:
+    """Grants (above zero) and deductions in the order of seq, which numbers a key's requests: accepted and balance_after for
+    each. Balances start at zero; a deduction that the balance does not cover is refused, and so is a request of zero.
 
-    Takes hospital_id, product_code, price_tokens, ends_at, auto_renew and balance; gives hospital_id, product_code, outcome
-    (renewed, lapsed) and balance_after.  A hospital has at most one subscription a product, so a group is as small as the
-    list of products."""
+    If nothing were refused, balances would be running sums. What is refused only adds to them, so a balance is never below the
+    running sum, nor below what is left if a deduction takes only what is there; by that, a deduction can be refused only where
+    the running sum sinks to a new low below zero. Sums and lows come from spans of rows, whatever a key's size. Those few rows
+    are read in order, with what was refused before as the only state; all others take the refused total of the last one."""
+    rows = written(running(requests.select(key, seq, amount), [key], [seq], sums={"plain_": amount}, lows={"low_": "plain_"}))
+    doubtful = rows.where((F.col(amount) < 0) & (F.col("plain_") < 0) & (F.col("plain_") == F.col("low_"))).select(key, seq, amount, "plain_")
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        left, out = int(rows["balance"].iloc[0]), []
-        for r in rows.sort_values(["ends_at", "product_code"]).itertuples():
-            paid = bool(r.auto_renew) and left >= r.price_tokens
-            left -= int(r.price_tokens) if paid else 0
-            out.append((r.hospital_id, r.product_code, "renewed" if paid else "lapsed", left))
-        return pd.DataFrame(out, columns=["hospital_id", "product_code", "outcome", "balance_after"])
-
-    due = subscriptions.where(F.col("ends_at") <= F.lit(as_of).cast("date"))
-    return due.groupBy("hospital_id").applyInPandas(fold, "hospital_id string, product_code string, outcome string, balance_after long")
+    def replay(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, refused = None, 0
+        for part in parts:
+            out = []
+            for k, a, plain in zip(part[key], part[amount], part["plain_"]):
+                if k != now:
+                    now, refused = k, 0
+                no = plain + refused < 0
+                refused -= int(a) if no else 0
+                out.append((no, refused))
+            yield part[[key, seq]].assign(no_=[n for n, _ in out], refused_=[r for _, r in out])
+
+    kinds = dict(requests.dtypes)
+    told = written(doubtful.repartition(key).sortWithinPartitions(key, seq).mapInPandas(replay, f"{key} {kinds[key]}, {seq} {kinds[seq]}, no_ boolean, refused_ long"))
+    refusing = told.where("no_").select(key).distinct()
+    plain = rows.join(refusing, key, "left_anti").select(key, seq, (F.col(amount) != 0).alias("accepted"), F.col("plain_").cast("long").alias("balance_after"))
+    some = rows.join(refusing, key, "left_semi").join(told, [key, seq], "left")
+    some = running(some, [key], [seq], lasts={"before_": "refused_"})
+    accepted = (F.col(amount) != 0) & ~F.coalesce("no_", F.lit(False))
+    after = (F.col("plain_") + F.coalesce("before_", F.lit(0))).cast("long")
+    return plain.unionByName(some.select(key, seq, accepted.alias("accepted"), after.alias("balance_after")))
 
 
 def deducted(requests: DataFrame) -> DataFrame:
-    """BIL-08: grants (above zero) and deductions of each user in order; a deduction that the balance does not cover is refused.
+    """BIL-08: grants and deductions of each user in order (user_id, seq, amount), with accepted and balance_after."""
+    return covered(requests, "user_id", "seq", "amount")
 
-    Takes user_id, seq and amount; gives user_id, seq, accepted and balance_after.  A user's requests are read as a sorted
-    stream, so a task holds one balance."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        user, left = None, 0
-        for part in parts:
-            accepted, after = [], []
-            for u, amount in zip(part["user_id"], part["amount"]):
-                if u != user:
-                    user, left = u, 0
-                ok = amount != 0 and left + amount >= 0
-                left += int(amount) if ok else 0
-                accepted.append(ok)
-                after.append(left)
-            yield part[["user_id", "seq"]].assign(accepted=accepted, balance_after=after)
-
-    rows = requests.select("user_id", "seq", "amount").repartition("user_id").sortWithinPartitions("user_id", "seq")
-    return rows.mapInPandas(run, "user_id long, seq long, accepted boolean, balance_after long")
+def renewals(subscriptions: DataFrame, as_of: str) -> DataFrame:
+    """BIL-05: which subscriptions that are due by as_of can be paid, in order of their ends and products; each one paid
+    lowers its hospital's balance, and one that cannot be paid lapses.
+
+    Takes hospital_id, product_code, price_tokens, ends_at, auto_renew and balance; gives hospital_id, product_code, outcome
+    (renewed, lapsed) and balance_after.  A balance below zero pays nothing, not even what is free."""
+    due = subscriptions.where(F.col("ends_at") <= F.lit(as_of).cast("date"))
+    place = F.row_number().over(Window.partitionBy("hospital_id").orderBy("ends_at", "product_code")).cast("long")
+    due = written(due.withColumn("place_", place).withColumn("asked_", F.col("auto_renew") & (F.col("balance") >= 0)))
+    opening = due.groupBy("hospital_id").agg(F.greatest(F.min("balance"), F.lit(0)).cast("long").alias("amount_")).select("hospital_id", F.lit(0).cast("long").alias("place_"), "amount_")
+    asked = due.select("hospital_id", "place_", F.when(F.col("asked_"), -F.col("price_tokens")).otherwise(0).cast("long").alias("amount_"))
+    found = covered(opening.unionByName(asked), "hospital_id", "place_", "amount_")
+    paid = F.col("asked_") & (F.col("accepted") | (F.col("price_tokens") == 0))
+    left = (F.col("balance_after") + F.least("balance", F.lit(0))).cast("long").alias("balance_after")
+    return due.join(found, ["hospital_id", "place_"]).select("hospital_id", "product_code", F.when(paid, "renewed").otherwise("lapsed").alias("outcome"), left)
 
 
 def usage_by(usage: DataFrame, dim: DataFrame, key: str) -> DataFrame:

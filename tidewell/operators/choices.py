@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.numbers import parse_number
+from tidewell.functions.text import bare_store_name
+from tidewell.operators.similarity import containments
 
 
 def preferring(rows: DataFrame, preferred: Column) -> DataFrame:
@@ -44,9 +46,21 @@ def field_changes(before: DataFrame, after: DataFrame, key: list[str]) -> DataFr
     return both.where("draft <> final")
 
 
-def by_phone(asked: DataFrame, phone: str, done: DataFrame, other: str, key: list[str], order: list[str], most: int) -> DataFrame:
-    """JN-27: the rows of done whose phone number has the same digits, in order, the first `most` of each row asked for."""
+def by_phone(asked: DataFrame, phone: str, done: DataFrame, other: str, order: list[str], most: int) -> DataFrame:
+    """JN-27: the rows of done whose phone number has the same digits, in order, the first `most` of each row asked for.  Rows
+    of done are numbered within their own number before they are joined, so no more than `most` of a number meet anybody."""
     digits = lambda c: F.regexp_replace(c, r"\D", "")
-    both = asked.withColumn("digits_", digits(phone)).join(done.withColumn("digits_", digits(other)), "digits_").where("digits_ <> ''")
-    place = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
-    return both.withColumn("place", place).where(F.col("place") <= most).drop("digits_")
+    place = F.row_number().over(Window.partitionBy("digits_").orderBy(*order))
+    first = done.withColumn("digits_", digits(other)).where("digits_ <> ''").withColumn("place", place).where(F.col("place") <= most)
+    return asked.withColumn("digits_", digits(phone)).join(first, "digits_").drop("digits_")
+
+
+def same_stores(targets: DataFrame, target: str, seen: DataFrame, shown: str, by: list[str]) -> DataFrame:
+    """JN-25: rows of targets and of seen (which share no columns but `by`) whose names are one store's, by text.is_store: either
+    contains the other, white space aside; a name that is part of the store's needs four characters."""
+    t, s = (df.withColumn(f"{k}_", bare_store_name(F.col(c))) for df, c, k in ((targets, target, "t"), (seen, shown, "s")))
+    named = lambda df, c: df.select(*by, F.col(c).alias("name"))
+    wide = containments(named(s, "s_"), named(t, "t_"), by).select(*by, F.col("name").alias("t_"), F.col("holder").alias("s_"))
+    narrow = containments(named(t, "t_"), named(s, "s_").where(F.length("name") >= 4), by).select(*by, F.col("holder").alias("t_"), F.col("name").alias("s_"))
+    pairs = wide.unionByName(narrow).distinct()
+    return t.join(pairs, [*by, "t_"]).join(s, [*by, "s_"]).drop("t_", "s_")

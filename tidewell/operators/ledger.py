@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.functions.numbers import jaccard
+from tidewell.functions.numbers import set_key
 from tidewell.functions.text import UNKNOWN_CUSTOMER, UNKNOWN_PATIENT
+from tidewell.operators.similarity import similar_sets
 
 MONEY = "decimal(18,2)"
 RECEIPT = ("hospital_id", "service_date", "customer")
@@ -118,11 +119,14 @@ def numbered_keys(rows: DataFrame, key: str, row_no: str) -> DataFrame:
 
 def resolved_owners(owners: DataFrame, identities: DataFrame, least: float = 0.3) -> DataFrame:
     """WIN-01 and JN-26: the customer with the most alike set of patients among those of the same owner's name, if they are
-    alike enough; of equals the one with the smaller key.  owners and identities have owner and patients (an array)."""
-    known_as = identities.select("owner", "customer", F.col("patients").alias("known_patients"))
-    both = owners.join(known_as, "owner").withColumn("similarity", jaccard(F.col("patients"), F.col("known_patients")))
-    best = both.where(F.col("similarity") >= least).groupBy("owner", "patients").agg(F.min(F.struct((-F.col("similarity")).alias("far"), "customer")).alias("best"))
-    return best.select("owner", "patients", F.col("best.customer").alias("customer"), (-F.col("best.far")).alias("similarity"))
+    alike enough; of equals the one with the smaller key.  owners and identities have owner and patients (an array).
+
+    Sets are compared once each, whoever has them, and only those that share a rare patient."""
+    first = identities.groupBy("owner", set_key("patients").alias("r_set")).agg(F.min("customer").alias("customer"))
+    pairs = similar_sets(owners, identities, "patients", ["owner"], least).join(first, ["owner", "r_set"])
+    best = pairs.groupBy("owner", "l_set").agg(F.min(F.struct((-F.col("similarity")).alias("far"), "customer")).alias("best"))
+    asked = owners.select("owner", "patients", set_key("patients").alias("l_set")).distinct()
+    return asked.join(best, ["owner", "l_set"]).select("owner", "patients", F.col("best.customer").alias("customer"), (-F.col("best.far")).alias("similarity"))
 
 
 def updated_from(rows: DataFrame, changes: DataFrame, key: list[str], columns: list[str]) -> DataFrame:

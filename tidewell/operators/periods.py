@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.dates import bucket
 from tidewell.functions.numbers import change_percent
+from tidewell.operators.scans import running
 
 
 def rollup(rows: DataFrame, day: str, keys: list[str], sums: list[str], periods: tuple[str, ...] = ("year", "month", "week", "day")) -> DataFrame:
@@ -105,9 +106,9 @@ def worst_first(board: DataFrame, leading: str, changes: list[str]) -> list[Colu
 
 
 def balance(rows: DataFrame, keys: list[str], order: list[str], delta: str) -> DataFrame:
-    """WIN-14: the running sum of a ledger's deltas."""
-    frame = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn("balance_after", F.sum(delta).over(frame).cast("decimal(18,2)"))
+    """WIN-14: the running sum of a ledger's deltas; a key of any size is cut into spans."""
+    made = running(rows, keys, order, sums={"balance_after": delta})
+    return made.withColumn("balance_after", F.col("balance_after").cast("decimal(18,2)"))
 
 
 def rebuilt_months(rows: DataFrame, changed: DataFrame, day: str, keys: list[str], value: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.operators.scans import running
+
 # Days back at which a baseline is looked for, in order of preference
 OFFSETS = (14, 15, 13, 16, 12, 17, 11, 18, 10, 19, 20)
 
@@ -46,11 +48,11 @@ def against_baseline(ranks: DataFrame) -> DataFrame:
 def as_of(days: DataFrame, least_back: int) -> DataFrame:
     """JN-20: for each hospital's day, the latest one with data that lies at least so many days back.
 
-    Wanted days and days with data are merged and read in order, so there is no join of ranges."""
+    Wanted days and days with data are merged and read in order, so there is no join of ranges; a hospital of any size is cut
+    into spans of days."""
     have = days.select("hospital_id", F.col("metric_date").alias("at"), F.col("metric_date").alias("have"), F.lit(None).cast("date").alias("metric_date"), F.lit(0).alias("o"))
     want = days.select("hospital_id", F.date_sub("metric_date", least_back).alias("at"), F.lit(None).cast("date").alias("have"), "metric_date", F.lit(1).alias("o"))
-    frame = Window.partitionBy("hospital_id").orderBy("at", "o").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return have.union(want).withColumn("baseline", F.last("have", ignorenulls=True).over(frame)).where("o = 1").select("hospital_id", "metric_date", "baseline")
+    return running(have.union(want), ["hospital_id"], ["at", "o"], lasts={"baseline": "have"}).where("o = 1").select("hospital_id", "metric_date", "baseline")
 
 
 def nearest(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, right_id: str, seconds: int) -> DataFrame:

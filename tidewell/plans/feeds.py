@@ -2,31 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewell.operators import billing, ledger as L
+from tidewell.operators.storage import folder
 from tidewell.plans.fixtures import LEDGER, RANKS, USAGE, ledger, ranks, table, usage
 from tidewell.plans.registry import query
-from tidewell.sources import payloads, readers
+from tidewell.sources import payloads, readers, workbooks
+from tidewell.streaming.months import MonthSums
+from tidewell.streaming.tables import KeyedTable
 
 MONEY = "decimal(18,2)"
 
 
-def folder(spark: SparkSession) -> str:
-    """A fresh path in the shared folder that spark.checkpoint.dir names; a local session may lack one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="feeds-")
-    return f"{base.rstrip('/')}/feeds/{uuid.uuid4().hex}"
-
-
 def _export(spark: SparkSession, sf: str) -> DataFrame:
     """A sales export with positions as columns, quotes within names, and a last row of totals."""
     rows = table(spark, sf, "orders").where("o_orderkey % 5 = 0").select(
@@ -305,3 +295,134 @@ def backfilled(spark, sf):
     runs = rows.groupBy("run_id").agg(F.bool_or(F.col("event_type") == "view").alias("has_blog"), F.bool_or(F.col("event_type") == "error").alias("has_report"))
     entries = rows.select("event_id", "run_id", "feature", F.when(F.col("event_id") % 5 == 0, "kept").alias("product_code"))
     return billing.backfilled_products(entries, runs).select("event_id", "product_code")
+
+
+BOOK_ROWS = 1000
+
+
+def _in_books(rows: DataFrame, n: str) -> DataFrame:
+    """rows with file (a workbook for each BOOK_ROWS of n), and row_no from 1 within it; n is gapless, from 0."""
+    return rows.withColumns({"file": F.format_string("book%06d.xlsx", (F.col(n) / BOOK_ROWS).cast("long")), "row_no": (F.col(n) % BOOK_ROWS + 1).cast("int")})
+
+
+def _sheet(rows: DataFrame, name: str, row_no, cells: list, sheet: int = 0) -> DataFrame:
+    return rows.select("file", F.lit(sheet).alias("sheet"), F.lit(name).alias("sheet_name"), row_no.cast("int").alias("row_no"), F.array(*cells).alias("cells"))
+
+
+@query("SRC-01-workbook", "select o_orderdate::date as service_date, o_orderkey::varchar as customer_no, 'n ' || o_custkey as customer_name, 'p' || o_orderkey % 3 as patient_name, 'R-' || o_orderkey as receipt_no, o_totalprice::decimal(18,2) as amount from orders")
+def intovet_workbooks(spark, sf):
+    """All orders as workbooks with two header rows, of which the upper is merged, dates as dates, and a row of totals at the end;
+    in every other one the amount stands a column further right."""
+    rows = _in_books(table(spark, sf, "orders"), "o_orderkey")
+    cell, empty = workbooks.cell, workbooks.cell(F.lit(""))
+    odd = F.crc32("file") % 2 == 1
+    amount = cell(F.col("o_totalprice").cast(MONEY), "number")
+    of = lambda c: workbooks.cell(c)
+    data = _sheet(rows, "매출", F.col("row_no") + 2, [
+        cell(F.col("o_orderdate"), "date"), cell(F.col("o_orderkey"), "number"), of(F.concat(F.lit(" n  "), "o_custkey")), of(F.concat(F.lit("p"), F.col("o_orderkey") % 3)), empty, of(F.concat(F.lit("R-"), "o_orderkey")),
+        cell(F.lit("1"), "number"), F.when(odd, cell(F.lit("3"), "number")).otherwise(amount), F.when(odd, amount).otherwise(empty)])
+    books = rows.groupBy("file").agg(F.sum("o_totalprice").cast(MONEY).alias("total"), F.max("row_no").alias("last"))
+    texts = lambda *names: [of(F.lit(n)) if isinstance(n, str) else of(n) for n in names]
+    upper = _sheet(books, "매출", F.lit(1), texts("날짜", "번호", "고객", "환자", "", "영수증", "청구금액", "", ""))
+    lower = _sheet(books, "매출", F.lit(2), texts("", "", "", "", "", "", "수량", F.when(odd, "할인").otherwise("합계"), F.when(odd, "합계").otherwise("")))
+    totals = _sheet(books, "매출", F.col("last") + 3, [*[empty] * 7, *[cell(F.col("total"), "number")] * 2])
+    other = _sheet(books, "비고", F.lit(1), texts("다른 시트"), 1)
+    files = workbooks.packed(upper.union(lower).union(data).union(totals).union(other))
+    return workbooks.intovet(workbooks.rows(files)).drop("file", "row_no")
+
+
+@query("SRC-04-workbook", "select o_orderdate::date as service_date, o_orderkey::varchar as customer_no, 'Kim \"' || o_custkey || '\" & <A>' as customer_name, '진료' as treatment, o_totalprice::decimal(18,2) as amount from orders")
+def woorien_workbooks(spark, sf):
+    rows = _in_books(table(spark, sf, "orders"), "o_orderkey")
+    of, empty = workbooks.cell, workbooks.cell(F.lit(""))
+    cells = [of(F.date_format("o_orderdate", "yyyy/M/d")), of(F.col("o_orderkey"), "number"), of(F.concat(F.lit('Kim "'), F.col("o_custkey").cast("string"), F.lit('" & <A>'))), of(F.lit("p")), empty, of(F.lit("진료")), *[empty] * 5, of(F.format_number(F.col("o_totalprice").cast(MONEY), 2))]
+    books = rows.groupBy("file").agg(F.max("row_no").alias("last"))
+    head = _sheet(books, "s", F.lit(1), [of(F.lit(f"c{i}")) for i in range(12)])
+    totals = _sheet(books, "s", F.col("last") + 2, [*[empty] * 11, of(F.lit("9,999.00"))])
+    files = workbooks.packed(head.union(_sheet(rows, "s", F.col("row_no") + 1, cells)).union(totals))
+    return workbooks.woorien(workbooks.rows(files)).select("service_date", "customer_no", "customer_name", "treatment", "amount")
+
+
+@query("SRC-08", """with d as (select l_shipdate::date as day, count(*) as n, count(distinct l_partkey) as m from lineitem group by all),
+  a as (select l_shipdate::date as day, 'camp' || l_partkey % 20 as campaign, case when l_linenumber % 3 = 0 then '' else 'group' || l_suppkey % 5 end as adgroup, sum(l_quantity)::bigint as shown, count(*) as clicked, sum(l_extendedprice)::decimal(18,2) as cost from lineitem group by all)
+  select 'blog' as part, day, null as campaign, null as adgroup, n as one, m as two, null::double as cost from d union all select 'place', day, null, null, m, null, null from d
+  union all select 'powerlink', day, campaign, adgroup, shown, clicked, cost::double from a union all select 'placead', day, campaign, adgroup, clicked, 0, 0.0 from a""")
+def dashboard_workbooks(spark, sf):
+    """A dashboard's four sheets from all lines, a workbook a year of days, with rows of no date, no campaign and no number."""
+    lines = table(spark, sf, "lineitem").withColumn("day", F.col("l_shipdate").cast("date"))
+    of, file = workbooks.cell, F.concat(F.lit("board"), F.year("day")).alias("file")
+    place = lambda *by: F.row_number().over(Window.partitionBy("file").orderBy(*by)) + 1
+    days = lines.groupBy("day").agg(F.count("*").alias("n"), F.countDistinct("l_partkey").alias("m")).select("*", file).withColumn("k", place("day"))
+    ads = lines.groupBy("day", F.concat(F.lit("camp"), F.col("l_partkey") % 20).alias("campaign"), F.when(F.col("l_linenumber") % 3 == 0, "").otherwise(F.concat(F.lit("group"), F.col("l_suppkey") % 5)).alias("adgroup")).agg(
+        F.sum("l_quantity").cast("long").alias("shown"), F.count("*").alias("clicked"), F.sum("l_extendedprice").cast(MONEY).alias("cost")).select("*", file).withColumn("k", place("day", "campaign", "adgroup"))
+    ends = ads.groupBy("file").agg(F.max("k").alias("last"))
+    dots, number = of(F.concat(F.date_format("day", "yyyy.MM.dd"), F.lit("."))), lambda c: of(F.col(c), "number")
+    names = [of(F.lit("")), of(F.col("campaign")), of(F.col("adgroup"))]
+    sheets = [
+        _sheet(days, "블로그", F.col("k"), [dots, number("n"), number("m")], 0), _sheet(days, "플레이스", F.col("k"), [of(F.col("day"), "date"), number("m")], 1),
+        _sheet(ads, "파워링크광고", F.col("k"), [*names, of(F.col("day"), "date"), number("shown"), number("clicked"), of(F.lit("1.5")), of(F.lit("-")), number("cost")], 2),
+        _sheet(ads, "플레이스광고", F.col("k"), [*names, dots, number("clicked"), of(F.lit("없음"))], 3),
+        *(_sheet(ends, n, F.lit(1), [of(F.lit("머리글"))] * 4, i) for i, n in enumerate(["블로그", "플레이스", "파워링크광고", "플레이스광고"])),
+        _sheet(ends, "파워링크광고", F.col("last") + 1, [of(F.lit("합계")), of(F.lit("x")), of(F.lit("y")), of(F.lit("합계"))], 2), _sheet(ends, "플레이스광고", F.col("last") + 5, [of(F.lit("")), of(F.lit(" ")), of(F.lit("")), of(F.lit("2024-01-01"))], 3),
+    ]
+    whole = sheets[0]
+    for s in sheets[1:]:
+        whole = whole.union(s)
+    found = workbooks.dashboard(workbooks.rows(workbooks.packed(whole)), "h", "a", "c")
+    null = lambda kind: F.lit(None).cast(kind)
+    daily = lambda n, one, two: found[n].select(F.lit(n).alias("part"), F.col("metric_date").alias("day"), null("string").alias("campaign"), null("string").alias("adgroup"), F.col(one).alias("one"), two.alias("two"), null("double").alias("cost"))
+    ad = lambda n: found[n].select(F.lit(n).alias("part"), F.col("metric_date").alias("day"), F.col("campaign_name").alias("campaign"), F.col("adgroup_name").alias("adgroup"), F.col("impressions").alias("one"), F.col("clicks").alias("two"), "cost")
+    return daily("blog", "blog_views", F.col("blog_unique_visitors")).union(daily("place", "smartplace_inflow", null("long"))).union(ad("powerlink")).union(ad("placead"))
+
+
+@query("SNK-09-workbook", f"with {RANKS} select metric_date, keyword, coalesce(min(rank_value) filter (where section = 'blog') || '위', '—') as blog, coalesce(min(rank_value) filter (where section = 'place') || '위', '—') as place from ranks group by all")
+def wide_rank_workbooks(spark, sf):
+    """The export as workbooks, one a month, read back."""
+    rows = readers.wide_ranks(ranks(spark, sf), ["blog", "place"]).withColumn("file", F.date_format("metric_date", "yyyy-MM"))
+    k = F.row_number().over(Window.partitionBy("file").orderBy("metric_date", "keyword"))
+    of = workbooks.cell
+    files = workbooks.packed(_sheet(rows, "순위", k, [of(F.col("metric_date"), "date"), of(F.col("keyword")), of(F.col("blog")), of(F.col("place"))]))
+    return workbooks.rows(files).select(F.get("cells", F.lit(0)).cast("date").alias("metric_date"), *(F.get("cells", F.lit(i)).alias(n) for i, n in ((1, "keyword"), (2, "blog"), (3, "place"))))
+
+
+@query("SNK-01-buckets", """with old as (select o_orderkey as k, o_totalprice as v from orders), new as (select o_orderkey as k, o_totalprice + 1 as v from orders where o_orderkey % 2 = 0)
+  select k, v from new where k % 7 <> 0 union all select k, v from old where k % 2 = 1 and k % 7 <> 0""")
+def upserted_table(spark, sf):
+    """A stored table after four batches: all orders, new versions of half of them, old versions that come late, and deletions."""
+    kept = KeyedTable(folder(spark), ("k",), "version", deleted="gone", buckets=8, generations=2)
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v"))
+    batch = lambda rows, version, gone=False: kept.apply(rows.select("k", "v", F.lit(version).alias("version"), F.lit(gone).alias("gone")))
+    batch(orders, 1)
+    batch(orders.where("k % 2 = 0").withColumn("v", F.col("v") + 1), 2)
+    batch(orders.where("k % 3 = 0").withColumn("v", F.col("v") - 1), 0)
+    batch(orders.where("k % 7 = 0"), 3, True)
+    return kept.read(spark).select("k", "v")
+
+
+@query("STM-02-stream", "with f as (select user_id, min(ts)::date as day from events group by all) select day, count(*) as first_visits from f group by all")
+def late_visits_of_a_stream(spark, sf):
+    """First days of customers kept by a stream of three uploads, of which the earliest visits come last."""
+    path = folder(spark)
+    visits = table(spark, sf, "events").select("user_id", F.to_date("ts").alias("day"), F.datediff(F.lit("2100-01-01").cast("date"), F.to_date("ts")).alias("age"))
+    for third in (2, 1, 0):
+        visits.where(F.dayofmonth("day") % 3 == third).write.mode("append").parquet(f"{path}/in")
+    kept = KeyedTable(f"{path}/table", ("user_id",), "age", buckets=8)
+    kept.start(spark.readStream.schema(visits.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/in"), f"{path}/checkpoint").awaitTermination()
+    return kept.read(spark).groupBy("day").agg(F.count("*").alias("first_visits"))
+
+
+@query("STM-07-deltas", f"""with {LEDGER}, now as (select * replace (case when run_id % 7 = 3 then amount + 1 else amount end as amount) from ledger where run_id % 5 <> 2)
+  select hospital_id, date_trunc('month', service_date)::date as month, sum(amount)::decimal(18,2) as value, count(*) as n_rows, count(distinct customer || '|' || patient) as visits from now group by all""")
+def months_of_changes(spark, sf):
+    """Months after three batches: all lines but some that are late, deletions, and changed amounts with the late lines."""
+    rows = ledger(spark, sf).select("hospital_id", "service_date", "amount", F.concat_ws("|", "customer", "patient").alias("visit"), "run_id")
+    sums = MonthSums(folder(spark), ("hospital_id",), "service_date", "amount", "visit", buckets=8)
+    signed = lambda df, sign: df.select("hospital_id", "service_date", "amount", "visit", F.lit(sign).alias("change"))
+    late, gone, changed = (F.col("run_id") % n == k for n, k in ((11, 4), (5, 2), (7, 3)))
+    sums.apply(signed(rows.where(~late), 1))
+    sums.apply(signed(rows.where(gone & ~late), -1))
+    changes = rows.where(~gone & ~late & changed)
+    more = rows.where(~gone & late)
+    new = lambda df: df.withColumn("amount", F.when(changed, F.col("amount") + 1).otherwise(F.col("amount")).cast(MONEY))
+    sums.apply(signed(changes, -1).unionByName(signed(new(changes), 1)).unionByName(signed(new(more), 1)))
+    return sums.read(spark)

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidewell.functions import text
-from tidewell.functions.numbers import change_percent, jaccard, merged_set
-from tidewell.operators import billing, choices, ledger as L, periods, ranks as K
+
+from tidewell.functions.numbers import change_percent, merged_set
+from tidewell.operators import billing, choices, ledger as L, periods, ranks as K, scans, similarity
 from tidewell.plans.fixtures import ADS, LEDGER, RANKS, REVIEWS, USAGE, ads, ledger, ranks, reviews, table, usage
 from tidewell.plans.registry import query
 
@@ -174,7 +174,18 @@ def store_matches(spark, sf):
     n, k = (F.col("p_partkey") % 90).cast("string"), F.col("p_partkey") % 3
     shown = F.when(k == 0, F.concat(F.lit("Best store"), n, F.lit(" 24h"))).when(k == 1, "sto").otherwise(F.concat(F.lit(" store &amp; "), n))
     seen = table(spark, sf, "part").select((F.col("p_partkey") % 50).alias("place"), "p_partkey", shown.alias("seen"))
-    return targets.join(seen, "place").where(text.is_store(F.col("target"), F.col("seen"))).select("c_custkey", "p_partkey")
+    return choices.same_stores(targets, "target", seen, "seen", ["place"]).select("c_custkey", "p_partkey")
+
+
+@query("JN-25-anywhere", """with t as (select c_custkey, 'store ' || c_custkey as target from customer), s as (select p_partkey, case p_partkey % 3 when 0 then 'Best store' || p_partkey || ' 24h' when 1 then 'ore' || p_partkey else ' store &amp; ' || p_partkey end as seen from part),
+  bare as (select c_custkey, 'store' || c_custkey as t, p_partkey, replace(replace(replace(seen, '&amp;', '&'), '&', ''), ' ', '') as s from t, s)
+  select c_custkey, p_partkey from bare where contains(s, t) or (length(s) >= 4 and contains(t, s))""")
+def store_matches_anywhere(spark, sf):
+    """Without a place to narrow the names down."""
+    targets = table(spark, sf, "customer").select("c_custkey", F.concat(F.lit("store "), "c_custkey").alias("target"))
+    n, k = F.col("p_partkey").cast("string"), F.col("p_partkey") % 3
+    shown = F.when(k == 0, F.concat(F.lit("Best store"), n, F.lit(" 24h"))).when(k == 1, F.concat(F.lit("ore"), n)).otherwise(F.concat(F.lit(" store &amp; "), n))
+    return choices.same_stores(targets, "target", table(spark, sf, "part").select("p_partkey", shown.alias("seen")), "seen", []).select("c_custkey", "p_partkey")
 
 
 @query("JN-26", """with a as (select c_custkey, 'o' || c_custkey % 400 as owner, ['p' || c_custkey % 3, 'p' || c_custkey % 5, 'x'] as n from customer), b as (select s_suppkey, 'o' || s_suppkey % 400 as owner, ['p' || s_suppkey % 3, 'y'] as n from supplier)
@@ -183,7 +194,17 @@ def alike_sets(spark, sf):
     p = lambda c, m: F.concat(F.lit("p"), F.col(c) % m)
     a = table(spark, sf, "customer").select("c_custkey", F.concat(F.lit("o"), F.col("c_custkey") % 400).alias("owner"), F.array(p("c_custkey", 3), p("c_custkey", 5), F.lit("x")).alias("m"))
     b = table(spark, sf, "supplier").select("s_suppkey", F.concat(F.lit("o"), F.col("s_suppkey") % 400).alias("owner"), F.array(p("s_suppkey", 3), F.lit("y")).alias("n"))
-    return a.join(b, "owner").select("c_custkey", "s_suppkey", jaccard(F.col("m"), F.col("n")).alias("likeness")).where("likeness >= 0.3")
+    found = similarity.similar_rows(a.withColumnRenamed("m", "members"), b.withColumnRenamed("n", "members"), "members", ["owner"], 0.3)
+    return found.select("c_custkey", "s_suppkey", F.col("similarity").alias("likeness"))
+
+
+@query("JN-26-one-name", """with s as (select o_custkey, list(distinct 't' || o_orderkey % 41) as m from orders group by all)
+  select a.o_custkey as one, b.o_custkey as other, len(list_intersect(a.m, b.m))::double / len(list_distinct(list_concat(a.m, b.m))) as likeness from s a join s b on a.o_custkey < b.o_custkey where likeness >= 0.5""")
+def alike_sets_of_one_name(spark, sf):
+    """All customers under one name, so nothing but their sets tells which of them are alike."""
+    sets = table(spark, sf, "orders").groupBy("o_custkey").agg(F.collect_set(F.concat(F.lit("t"), F.col("o_orderkey") % 41)).alias("members")).withColumn("owner", F.lit("owner"))
+    found = similarity.similar_rows(sets.withColumnRenamed("o_custkey", "one"), sets.withColumnRenamed("o_custkey", "other"), "members", ["owner"], 0.5)
+    return found.where("one < other").select("one", "other", F.col("similarity").alias("likeness"))
 
 
 @query("JN-27", """with s as (select o_orderkey, o_orderdate, '010-' || lpad((o_custkey % 700)::varchar, 4, '0') as digits from orders where o_orderstatus = 'F'),
@@ -193,7 +214,7 @@ def phone_matches(spark, sf):
     number = lambda c, f: F.concat(F.lit(f), F.lpad((F.col(c) % 700).cast("string"), 4, "0"))
     done = table(spark, sf, "orders").where("o_orderstatus = 'F'").select("o_orderkey", "o_orderdate", number("o_custkey", "010 ").alias("phone"))
     asked = table(spark, sf, "customer").select("c_custkey", number("c_custkey", "(010)-").alias("asked"))
-    return choices.by_phone(asked, "asked", done, "phone", ["c_custkey"], ["o_orderdate", "o_orderkey"], 500).select("c_custkey", "o_orderkey", "place")
+    return choices.by_phone(asked, "asked", done, "phone", ["o_orderdate", "o_orderkey"], 500).select("c_custkey", "o_orderkey", "place")
 
 
 @query("JN-28", "select o.o_orderkey, c.c_name, n.n from orders o left join customer c on c.c_custkey = o.o_custkey left join (select l_orderkey, count(*) as n from lineitem where l_returnflag = 'R' group by all) n on n.l_orderkey = o.o_orderkey")
@@ -245,7 +266,9 @@ def nullable_sums(spark, sf):
 def ad_table(spark, sf):
     sums = ads(spark, sf).groupBy("campaign_id", "adgroup_id").agg(F.sum("impressions").alias("impressions"), F.sum("clicks").alias("clicks"), F.sum("cost").cast(MONEY).alias("spend"))
     ctr = F.when(F.col("impressions") > 0, F.col("clicks").cast("double") * 100 / F.col("impressions").cast("double"))
-    return sums.withColumn("place", F.row_number().over(Window.orderBy(F.desc("spend"), "campaign_id", "adgroup_id"))).withColumn("ctr", ctr)  # a row an ad, not a fact
+    order = sums.withColumns({"falling_": -F.col("spend"), "one_": F.lit(1)})
+    placed = scans.running(order, [], ["falling_", "campaign_id", "adgroup_id"], sums={"place": "one_"}).drop("falling_", "one_")
+    return placed.withColumn("place", F.col("place").cast("int")).withColumn("ctr", ctr)
 
 
 @query("AGG-40-sentiments", f"with {REVIEWS} select hospital_id, sentiment, count(*) as n from reviews where slot is null and visit_date >= date '2024-06-01' and visit_date < date '2024-12-01' group by all")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewell.functions import dates, numbers, text
+from tidewell.functions import dates, numbers, redaction, text
 from tidewell.operators import labs, rubric
 from tidewell.plans.fixtures import table
 from tidewell.plans.registry import query
@@ -45,7 +45,7 @@ _query("STR-15", {" A&amp;B  동물\t병원 ": "A B 동물 병원", None: "", "a
 _query("STR-16", {"ΑΒΕ": "ABE", "αβειηκμνορτυχ": "abeinkmnoptux", "АВЕКМНОРСТУХавекмнорстух": "ABEKMHOPCTYXabekmhopctyx", "Glu": "Glu"}, text.fold_lookalikes)
 _query("STR-17", {"병원": "병원은", "고양이": "고양이는", "cat": "cat는", "값": "값은"}, lambda c: text.with_particle(c, "은", "는"))
 _query("STR-18", {"mail a.b@c.co now": "mail [redacted:email] now", "call 010-1234-5678": "call [redacted:phone]", "id 900101-1234567": "id [redacted:rrn]", "02-123-4567": "[redacted:phone]", "plain 12": "plain 12", "x" * 501: "x" * 500 + "…(501자)"}, text.redact)
-_query("STR-18-fields", {"Card-Number": "[redacted]", "user_password2": "[redacted]", "name": "say [redacted:email]", "noted": "say [redacted:email]"}, lambda c: F.element_at(text.redact_fields(F.create_map(c, F.lit("say a@b.co"))), c))
+_query("STR-18-fields", {"Card-Number": "[redacted]", "user_password2": "[redacted]", "name": "[redacted]", "Patient Name": "[redacted]", "phone_number": "[redacted]", "renamed": "say [redacted:email]", "noted": "say [redacted:email]"}, lambda c: F.element_at(text.redact_fields(F.create_map(c, F.lit("say a@b.co"))), c))
 _query("STR-05", {"Kim ,Lee , (a ,b)": "Kim, Lee|a ,b", "Kim(a, b(2),)": "Kim(a, b|2),", "[RETAIL SALES]": "[RETAIL SALES]|", "Kim (x": "Kim (x|", "  Kim,": "Kim|", None: "|", "a)b(": "a)b(|"}, lambda c: F.concat_ws("|", text.split_owner_patients(c)["owner"], text.split_owner_patients(c)["patients"]))
 _query("FLT-09-escaping", {"all 100% sure": True, "all 1000 sure": False, "ALL 100% SURE": True, "100_": False}, lambda c: text.matches_literally(c, "L 100%"), "boolean")
 _query("DAT-02", {"2024-3-9": "2024-03-09", "2024-02-30": None, "x": None, "2024-12-31 10:00": "2024-12-31"}, dates.parse_mixed_date, "date")
@@ -69,6 +69,21 @@ _query("MTH-05", {"gpt-x-mini-2024": 0.0011, "gpt-x-2024": 0.011, "other": 0.0},
 _query("MTH-06", {"sms": 0.008, "alimtalk": 0.0, "none": 0.0}, lambda c: numbers.unit_cost(c, {"sms": "0.004"}, F.lit(2)).cast("double"), "double")
 
 
+@query("STR-18-nested", """with e as (select *, '010-' || lpad((event_id % 10000)::varchar, 4, '0') || '-' || lpad((user_id % 10000)::varchar, 4, '0') as phone, (props->>'$.k')::int as k from events),
+  told as (select event_id, '{"a":' || props || ',"list":[' || list_aggregate(list_transform(range(k), lambda i: case when i < 20 then i::varchar when i = 20 then '"…외 ' || (k - 20) || '개"' end), 'string_agg', ',') || '],"nest":{"PhoneNo":"call [redacted:phone] or [redacted:email]","deep":{"b":{"c":"[redacted:depth]","d":null},"user_name":"[redacted]"}},"noted":' || case when event_id % 3 = 0 then 'null' else event_id::varchar end || ',"type":"' || event_type || '"}' as payload from e where k > 0
+    union all select event_id, '{"a":' || props || ',"list":[],"nest":{"PhoneNo":"call [redacted:phone] or [redacted:email]","deep":{"b":{"c":"[redacted:depth]","d":null},"user_name":"[redacted]"}},"noted":' || case when event_id % 3 = 0 then 'null' else event_id::varchar end || ',"type":"' || event_type || '"}' from e where k = 0)
+  select event_id, replace(payload, '{"k": ', '{"k":') as payload from told""")
+def nested_payloads(spark, sf):
+    """Payloads of four levels built from each event, with its own phone number, and a list as long as its k."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    phone = F.concat(F.lit("010-"), F.lpad((F.col("event_id") % 10000).cast("string"), 4, "0"), F.lit("-"), F.lpad((F.col("user_id") % 10000).cast("string"), 4, "0"))
+    items = F.array_join(F.transform(F.when(k > 0, F.sequence(F.lit(0), k - 1)).otherwise(F.array().cast("array<int>")), lambda i: i.cast("string")), ",")
+    made = F.concat(
+        F.lit('{"type":"'), "event_type", F.lit('","noted":'), F.when(F.col("event_id") % 3 == 0, "null").otherwise(F.col("event_id").cast("string")), F.lit(',"nest":{"PhoneNo":"call '), phone, F.lit(' or a.b@c.co","deep":{"user_name":"'), phone,
+        F.lit('","b":{"c":"x","d":null}}},"a":'), "props", F.lit(',"list":['), items, F.lit("]}"))
+    return table(spark, sf, "events").select("event_id", redaction.redact_json(made).alias("payload"))
+
+
 shown = lambda *cs: F.concat_ws("|", *(F.coalesce(c.cast("string"), F.lit("")) for c in cs))
 _query("LAB-05-gas", {"Na+": "Na-BG", "hct": "HCT-BG", "iCa": "Ca-BG", "pH": None, "": None}, labs.blood_gas_name)
 _query("LAB-07", {"<5": "|5.0", ">100": "100.0|", "1,5 - 2,5": "1.5|2.5", "x": "|"}, lambda c: shown(*labs.open_range(c)))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.operators.ledger import newest_rows, upserted
+from tidewell.streaming.tables import KeyedTable
 
 
 def error_windows(errors: DataFrame, width: str = "6 minutes", every: str = "5 minutes", late: str = "1 hour") -> DataFrame:
@@ -14,27 +14,13 @@ def error_windows(errors: DataFrame, width: str = "6 minutes", every: str = "5 m
     return made.select("fingerprint", F.col("window.start").alias("window_start"), "n")
 
 
-def start_upserts(stream: DataFrame, path: str, key: list[str], version: str, checkpoint: str):
-    """STM-02: keep a Parquet table at path in step with a stream of changed rows: of each key the row with the greatest
-    version stays.  Each batch writes a new generation below path, so readers and retries see whole tables; the newest one
-    is named by the largest batch number (see latest)."""
+def start_upserts(stream: DataFrame, path: str, key: list[str], version: str, checkpoint: str, **options):
+    """STM-02: keep a table at path in step with a stream of changed rows: of each key the row with the greatest version stays.
+    A batch writes the buckets of its keys only (see KeyedTable, which also takes the options)."""
+    return KeyedTable(path, tuple(key), version, **options).start(stream, checkpoint)
 
-    def merge(batch: DataFrame, number: int) -> None:
-        changed = newest_rows(batch, key, F.desc(version))
-        old = latest(batch.sparkSession, path, before=number)
-        made = changed if old is None else newest_rows(upserted(old, changed, key).unionByName(old.join(changed, key, "left_semi")), key, F.desc(version))
-        made.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def latest(spark, path: str, before: int | None = None) -> DataFrame | None:
-    """The newest generation that start_upserts wrote (before a batch)."""
-    jvm = spark._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(folder):
-        return None
-    done = [int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(folder) if s.getPath().getName().startswith("batch=") and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    done = [n for n in done if before is None or n < before]
-    return spark.read.parquet(f"{path}/batch={max(done)}") if done else None
+def latest(spark: SparkSession, path: str) -> DataFrame | None:
+    """The rows that start_upserts has written at path."""
+    made = KeyedTable.opened(spark, path)
+    return made and made.read(spark)
