@@ -2,7 +2,9 @@
 
 Two logistic models see two views of a document: its text (byte and byte-pair shares, words, lines) and its page's metadata
 (language, source, length class).  In each round both score every unlabelled document on Spark, and each takes examples
-from those that the other is sure of.  Each view is then calibrated on held-out labels, and the two are combined."""
+from those that the other is sure of.  Each view is then calibrated on held-out labels, and the two are combined.
+
+Texts are read once: both views of every document are written, and rounds read these."""
 
 from __future__ import annotations
 
@@ -21,7 +23,9 @@ from tidewell.llm.common import materialize, slices, word_hashes
 #: on.  Everything else sees all rows.
 LABELLED, PSEUDO = 4000, 750
 PAIRS, SCALARS, LANGS, SOURCES, LENGTHS = 512, 8, 16, 64, 24
-ROUNDS, SURE = 2, 0.9
+#: A view's label counts if by its calibration no more than one in fifty such labels is wrong: good documents are so many that
+#: a view which knows nothing is right in five of six cases.
+ROUNDS, SURE = 4, 0.98
 
 
 def text_view(text: str | None) -> np.ndarray:
@@ -106,54 +110,76 @@ def fit_views(examples: Examples) -> dict[str, np.ndarray]:
     return {v: fit(*examples[v]) for v in VIEWS}
 
 
-def combined(weights: dict[str, np.ndarray], views: dict[str, np.ndarray], y: np.ndarray, fold: np.ndarray) -> Model:
-    """Calibrate each view on fold 0 of the held-out documents, and combine the calibrated views on fold 1."""
+def calibrated(weights: dict[str, np.ndarray], views: dict[str, np.ndarray], y: np.ndarray, fold: np.ndarray) -> dict[str, np.ndarray]:
+    """Slope and constant of each view by fold 0 of the held-out documents; a view that tells nothing there gets no slope."""
     scale = {v: fit(logit(views[v][fold == 0], weights[v])[:, None].astype(np.float32), y[fold == 0]) for v in VIEWS}
     for s in scale.values():
         s[0] = max(s[0], 0.0)
+    return scale
+
+
+def combined(weights: dict[str, np.ndarray], views: dict[str, np.ndarray], y: np.ndarray, fold: np.ndarray) -> Model:
+    """Calibrate each view on fold 0 of the held-out documents, and combine the calibrated views on fold 1."""
+    scale = calibrated(weights, views, y, fold)
     a, b = (logit(views[v][fold == 1], weights[v]) * scale[v][0] + scale[v][1] for v in VIEWS)
     both = fit(np.stack((a, b), 1).astype(np.float32), y[fold == 1], 1e-2)
     return Model(weights["text"], weights["page"], scale["text"], scale["page"], np.append(np.maximum(both[:2], 0), both[2]))
 
 
-def _views(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("long"))
+TEXT, PAGE = 256 + PAIRS + SCALARS, LANGS + SOURCES + LENGTHS
+
+
+def _both_views(texts: list, langs: list, sources: list, lengths: list) -> tuple[np.ndarray, np.ndarray]:
+    """A row a document: the text view, as exact as it is written, and the page view."""
+    text = np.stack([text_view(t) for t in texts]).astype(np.float16)
+    return text, np.stack([metadata_view(*x) for x in zip(langs, sources, lengths)]).astype(np.uint8)
 
 
-def _features(docs: DataFrame, ids: DataFrame) -> list:
-    """(doc_id, label, text and page features) of the documents under a bounded number of ids (doc_id, label), in order."""
+def _arrays(texts: list, pages: list) -> dict[str, np.ndarray]:
+    return {"text": np.frombuffer(b"".join(texts), np.float16).reshape(-1, TEXT).astype(np.float32), "page": np.unpackbits(np.frombuffer(b"".join(pages), np.uint8).reshape(-1, PAGE // 8), axis=1).astype(np.float32)}
+
+
+def featured(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, page) for each row of docs: its two views, written to the shared folder. Null columns count as empty; the
+    only pass over texts that training takes. A text view has TEXT numbers of two bytes."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            i, t, lang, source, n, y = (c.to_pylist() for c in b.columns)
-            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(y, pa.float64()), pa.array([text_view(x).tobytes() for x in t], pa.binary()), pa.array([metadata_view(*x).tobytes() for x in zip(lang, source, n)], pa.binary())], names=["doc_id", "label", "text", "page"])
+            i, *columns = (c.to_pylist() for c in b.columns)
+            text, page = _both_views(*columns)
+            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array([x.tobytes() for x in text], pa.binary()), pa.array([x.tobytes() for x in np.packbits(page, axis=1)], pa.binary())], names=["doc_id", "text", "page"])
+
+    read = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("long"))
+    return materialize(read.mapInArrow(rows, "doc_id long, text binary, page binary"))
 
-    picked = _views(docs).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "lang", "source", "n_chars", "label")
-    return sorted(picked.mapInArrow(rows, "doc_id long, label double, text binary, page binary").collect(), key=lambda r: (r["doc_id"], bytes(r["text"])))
 
+def _picked(features: DataFrame, ids: DataFrame) -> list:
+    """(doc_id, label, text, page) of the documents under a bounded number of ids (doc_id, label), in order."""
+    picked = features.join(F.broadcast(ids), "doc_id").select("doc_id", "label", "text", "page")
+    return sorted(picked.collect(), key=lambda r: (r["doc_id"], bytes(r["text"])))
 
-def _array(rows: list, view: str) -> np.ndarray:
-    width = {"text": 256 + PAIRS + SCALARS, "page": LANGS + SOURCES + LENGTHS}[view]
-    return np.frombuffer(b"".join(bytes(r[view]) for r in rows), np.float32).reshape(-1, width)
 
+def _views_of(rows: list) -> dict[str, np.ndarray]:
+    return _arrays([bytes(r["text"]) for r in rows], [bytes(r["page"]) for r in rows])
 
-def sure(docs: DataFrame, weights: dict[str, np.ndarray]) -> DataFrame:
-    """(doc_id, text_label, page_label): of every document that a view is sure of, the label that it gives, null if it is not."""
+
+def sure(features: DataFrame, weights: dict[str, np.ndarray], scale: dict[str, np.ndarray]) -> DataFrame:
+    """(doc_id, text_label, page_label) of every row of features with an id that a view is sure of, as far as it can be trusted
+    on held-out labels: the label that it gives, null if it is not sure. Rows that repeat an id are told one by one."""
 
     def labels(p):
         return pa.array(np.where(p >= SURE, 1.0, 0.0), pa.float64(), mask=(p < SURE) & (p > 1 - SURE))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            i, t, lang, source, n = (c.to_pylist() for c in b.columns)
-            text, page = np.stack([text_view(x) for x in t]), np.stack([metadata_view(*x) for x in zip(lang, source, n)])
-            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), labels(_sigmoid(logit(text, weights["text"]))), labels(_sigmoid(logit(page, weights["page"])))], names=["doc_id", "text_label", "page_label"])
+            views = _arrays(*(c.to_pylist() for c in b.columns[1:]))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(labels(_sigmoid(logit(views[v], weights[v]) * scale[v][0] + scale[v][1])) for v in VIEWS)], names=["doc_id", "text_label", "page_label"])
 
-    found = _views(docs).where("doc_id is not null").mapInArrow(rows, "doc_id long, text_label double, page_label double")
+    found = features.where("doc_id is not null").mapInArrow(rows, "doc_id long, text_label double, page_label double")
     return found.where("text_label is not null or page_label is not null")
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pseudo: int = PSEUDO, rounds: int = ROUNDS) -> Model | None:
+def train_on(features: DataFrame, labels: DataFrame, labelled: int = LABELLED, pseudo: int = PSEUDO, rounds: int = ROUNDS) -> Model | None:
     """Fit on at most `labelled` documents with a label (the mean of repeated ones, rounded).  In each round every document
     without a label is scored by both views; of those that one is sure of, `pseudo` a label are fitted on by the other, those
     with the least hashes of their ids.  The driver gets features of these bounded samples: rows of some 900 values.
@@ -161,50 +187,61 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pseudo:
     None unless both labels occur in each fold."""
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg("quality").alias("q"))
     known = materialize(known.select("doc_id", (F.col("q") >= 0.5).cast("double").alias("label")))
-    order, spark = [F.xxhash64("doc_id"), "doc_id"], docs.sparkSession
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).dropna().distinct()
-    some = ids.join(known, "doc_id").orderBy(*order).limit(labelled).collect()
-    made = _features(docs, spark.createDataFrame(some, "doc_id long, label double"))
+    order, spark = [F.xxhash64("doc_id"), "doc_id"], features.sparkSession
+    some = features.select("doc_id").dropna().distinct().join(known, "doc_id").orderBy(*order).limit(labelled).collect()
+    made = _picked(features, spark.createDataFrame(some, "doc_id long, label double"))
     fold, y = _fold([r["doc_id"] for r in made]), np.array([r["label"] for r in made])
     if any(len(np.unique(y[part])) < 2 for part in (fold == 0, fold == 1, fold > 1)):
         return None
-    views = {v: _array(made, v) for v in VIEWS}
-    examples = {v: (views[v][fold > 1], y[fold > 1]) for v in VIEWS}
-    weights = fit_views(examples)
+    views = _views_of(made)
+    weights = fit_views({v: (views[v][fold > 1], y[fold > 1]) for v in VIEWS})
     for _ in range(rounds):
-        free = materialize(sure(docs, weights).join(known, "doc_id", "left_anti").distinct())
+        free = materialize(sure(features, weights, calibrated(weights, views, y, fold)).join(known, "doc_id", "left_anti").distinct())
         more = {}
         for v, other in (("text", "page"), ("page", "text")):
             found = [x for k in (0.0, 1.0) for x in free.where(F.col(f"{v}_label") == k).select("doc_id", F.col(f"{v}_label").alias("label")).dropDuplicates(["doc_id"]).orderBy(*order).limit(pseudo).collect()]
-            got = _features(docs, spark.createDataFrame(found, "doc_id long, label double"))
-            more[other] = (np.concatenate((views[other][fold > 1], _array(got, other))), np.concatenate((y[fold > 1], [r["label"] for r in got])))
+            got = _picked(features, spark.createDataFrame(found, "doc_id long, label double"))
+            more[other] = (np.concatenate((views[other][fold > 1], _views_of(got)[other])), np.concatenate((y[fold > 1], [r["label"] for r in got])))
         weights = fit_views(more)
     return combined(weights, views, y, fold)
 
 
-def score(docs: DataFrame, model: Model | None) -> DataFrame:
-    """(doc_id, score, accepted) for each row of docs: the calibrated probability that it is good, and whether that is at
-    least a half.  Null columns count as empty. Without a model nothing is rejected, and scores are null."""
+def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pseudo: int = PSEUDO, rounds: int = ROUNDS) -> Model | None:
+    """train_on the views of docs."""
+    return train_on(featured(docs), labels, labelled, pseudo, rounds)
+
+
+def _told(ids: pa.Array, s: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(s, pa.float64()), pa.array([x is None or x >= 0.5 for x in s], pa.bool_())], names=["doc_id", "score", "accepted"])
+
+
+def score_features(features: DataFrame, model: Model | None) -> DataFrame:
+    """(doc_id, score, accepted) for each row of features: the calibrated probability that the document is good, and whether that
+    is at least a half. Without a model nothing is rejected, and scores are null."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            i, t, lang, source, n = (c.to_pylist() for c in b.columns)
-            s = [None] * len(i) if model is None else model.score(np.stack([text_view(x) for x in t]), np.stack([metadata_view(*x) for x in zip(lang, source, n)])).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(s, pa.float64()), pa.array([x is None or x >= 0.5 for x in s], pa.bool_())], names=["doc_id", "score", "accepted"])
+            views = _arrays(*(c.to_pylist() for c in b.columns[1:]))
+            yield _told(b.column(0), [None] * b.num_rows if model is None else model.score(views["text"], views["page"]).tolist())
+
+    return features.select("doc_id", "text", "page").mapInArrow(rows, "doc_id long, score double, accepted boolean")
 
-    return _views(docs).mapInArrow(rows, "doc_id long, score double, accepted boolean")
+
+def score(docs: DataFrame, model: Model | None) -> DataFrame:
+    """score_features of docs. Null columns count as empty."""
+    return score_features(featured(docs), model)
 
 
 def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The rows of docs that the model accepts, judged where they are: no exchange."""
+    """The rows of docs that the model accepts, with all their columns, judged where they are: no exchange. Null columns count as
+    empty; equal rows are judged alike; without a model, or of an empty table, all rows stay."""
     if model is None:
         return docs
+    read = docs.select("*", F.struct(F.col("text").cast("string").alias("a"), F.col("lang").cast("string").alias("b"), F.col("source").cast("string").alias("c"), F.col("n_chars").cast("long").alias("d")).alias("judged_by_"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            column = lambda name: b.column(b.schema.names.index(name)).to_pylist()
-            t = np.stack([text_view(x) for x in column("text")])
-            p = np.stack([metadata_view(*x) for x in zip(column("lang"), column("source"), column("n_chars"))])
-            yield b.filter(pa.array(model.score(t, p) >= 0.5))
+            text, page = _both_views(*(c.to_pylist() for c in b.column(b.num_columns - 1).flatten()))
+            yield pa.RecordBatch.from_arrays(b.columns[:-1], schema=pa.schema(list(b.schema)[:-1])).filter(pa.array(model.score(text.astype(np.float32), page.astype(np.float32)) >= 0.5))
 
-    return docs.mapInArrow(rows, docs.schema)
+    return read.mapInArrow(rows, docs.schema)

@@ -32,8 +32,8 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return classifier.score(docs, classifier.train(docs, table(spark, sf_dir, "labels")))
+    features = classifier.featured(table(spark, sf_dir, "documents"))
+    return classifier.score_features(features, classifier.train_on(features, table(spark, sf_dir, "labels")))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
