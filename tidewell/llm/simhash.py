@@ -109,8 +109,11 @@ LIKENESS = 0.8
 #: Differing bits up to which the sets of a proposed pair are compared.  At a likeness of 0.8 the bits that differ are 78 of
 #: 512 with a deviation of 8 (sets of 4 and 5: 96 and 9), in unrelated texts 256 with one of 11.
 RADIUS = 128
-#: Tables of the stars, and rows of a block of a bucket's members.
+#: Tables of the stars, and the most members of a bucket that are compared there; members of larger ones are known by their
+#: rarest shingles.
 STARS, BUCKET = 32, 1024
+#: Counters by which shingles are told rare: a bound of what is sent to all tasks (8 MB), not of what is counted.
+COUNTERS = 1 << 20
 
 
 WORDS, WORD_BITS = 64, 36
@@ -309,21 +312,89 @@ def in_blocks(members: DataFrame, block: int = BUCKET) -> DataFrame:
     return few.union(both.select("key", F.inline(groups), "id", "class", "bits"))
 
 
-def wide_links(prints: DataFrame, docs: DataFrame, radius: int = RADIUS, likeness: float = LIKENESS) -> DataFrame:
+def shingle_counts(sets: DataFrame) -> np.ndarray:
+    """How many sets hold a shingle that falls to each of COUNTERS counters, by its first bits. Tasks send the counters that they
+    use; the driver gets COUNTERS numbers at most, whatever the number of sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(COUNTERS, np.int64)
+        for b in slices(batches):
+            for s in _as_sets(b.column(0).to_pylist()):
+                sums += np.bincount(s >> np.uint64(64 - COUNTERS.bit_length() + 1), minlength=COUNTERS)
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(sums[at], pa.int64())], names=["counter", "n"])
+
+    out = np.zeros(COUNTERS, np.int64)
+    for r in sets.select("set").mapInArrow(run, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toLocalIterator():
+        out[r["counter"]] = r["n"]
+    return out
+
+
+def rarest(one: np.ndarray, counts: np.ndarray, likeness: float) -> tuple[np.ndarray, int]:
+    """A set's shingles from the rarest on, in an order that is the same for all sets, and two lengths of this list's beginning:
+    of two sets alike at `likeness` or more, the longer one's (all that is given) and the shorter one's (the number) share one."""
+    n = len(one)
+    keep, short = (n - int(np.ceil(share * n - 1e-9)) + 1 for share in (likeness, 2 * likeness / (1 + likeness)))
+    return one[np.lexsort((one, counts[one >> np.uint64(64 - COUNTERS.bit_length() + 1)]))[:keep]], short
+
+
+def rare_keys(sets: DataFrame, classes: DataFrame, likeness: float) -> DataFrame:
+    """(id, class, key) of sets (doc, set): the shingles by which sets alike enough are sure to meet, as keys below zero, which no
+    bucket has.
+
+    A set is listed under its rarest shingles, under some as the shorter of two and under all of them as the longer. Where two
+    meet first, what lies before that place is not shared; so each listing tells up to which size the other set could still be
+    alike enough, and those that fit none of the other side's leave. Sets of one template each of which has some 11 % of its
+    shingles for itself list the template's shingles as the longer ones only, and meet nobody, however many they are."""
+    counts = shingle_counts(sets)
+    share = likeness / (1 + likeness)
+
+    def rows(ids, classes, some):
+        out = {k: [] for k in ("id", "class", "key", "n", "reach", "shorter")}
+        for i, c, s in zip(ids, classes, _as_sets(some)):
+            first, short = rarest(s, counts, likeness)
+            k, at = len(first), np.arange(len(first))
+            made = {"id": np.full(k, i), "class": np.full(k, c), "key": (first | np.uint64(1 << 63)).view(np.int64), "n": np.full(k, len(s)), "reach": np.floor((len(s) - at) / share - len(s) + 1e-6).astype(np.int64), "shorter": at < short}
+            for name, v in made.items():
+                out[name].append(v)
+        return {name: np.concatenate(v) for name, v in out.items()}
+
+    both = sets.join(classes, sets["doc"] == classes["id"]).select("id", "class", "set")
+    listed = materialize(map_arrow(both, rows, "id long, class long, key long, n long, reach long, shorter boolean"))
+    fits = listed.groupBy("key").agg(F.min(F.when(F.col("shorter"), F.col("n"))).alias("least"), F.max("reach").alias("most")).where("least <= most")
+    kept = listed.join(fits, "key").where("reach >= least or (shorter and n <= most)")
+    return kept.select("id", "class", "key").distinct()
+
+
+def mixed_keys(rows: DataFrame) -> DataFrame:
+    """(key, n, min_id, max_id) of the keys of rows (id, class, key) under which different classes stand."""
+    ends = (f(c).alias(f.__name__ + "_" + c) for c in ("id", "class") for f in (F.min, F.max))
+    return materialize(rows.groupBy("key").agg(F.count("*").alias("n"), *ends).where("min_class < max_class"))
+
+
+def wide_links(prints: DataFrame, docs: DataFrame, radius: int = RADIUS, likeness: float = LIKENESS, bucket: int = BUCKET) -> DataFrame:
     """Links (src, dst) between the ids of prints (id, bits as 64 bytes) that share a bucket and whose texts in docs
     (doc_id, text) have shingle sets alike at `likeness` or more; the links join whatever such pairs join.
 
     Stars over the first tables link most near copies.  Then only buckets that hold different classes are read: those of two
-    rows as pairs, each other one in order, yielding fewer links than it has members.  Rows that no row of another class is
-    near by their bits leave before any text is made into a set."""
+    rows as pairs, each other one in order, yielding fewer links than it has members.  Members of a bucket of more than `bucket`
+    rows don't meet there: each of them, once for all its large buckets, is listed under the rarest shingles of its text, by
+    which all pairs that are alike enough are sure to meet.  Rows that no row of another class is near by their bits leave
+    before any text is made into a set."""
     stars = star_links(prints, docs, radius, likeness)
     classes = connected_components(stars)
     named = materialize(prints.join(classes, prints["id"] == classes["node"], "left").select("id", "bits", F.coalesce("component", "id").alias("class")))
     rows = bucket_keys(named, len(TABLES))
-    ends = (f(c).alias(f.__name__ + "_" + c) for c in ("id", "class") for f in (F.min, F.max))
-    mixed = materialize(rows.groupBy("key").agg(F.count("*").alias("n"), *ends).where("min_class < max_class"))
-    pairs = near_pairs(mixed.where("n = 2").select(F.col("min_id").alias("a"), F.col("max_id").alias("b")).distinct(), prints, radius)
-    members = materialize(rows.join(mixed.where("n > 2").select("key", "n"), "key").join(prints.select("id", "bits"), "id"))
+    mixed = mixed_keys(rows)
+    few = mixed.where(F.col("n") <= bucket)
+    held = rows.join(few.where("n > 2").select("key", "n"), "key")
+    crowd = materialize(rows.join(mixed.where(F.col("n") > bucket).select("key"), "key", "left_semi").select("id", "class").distinct())
+    if not crowd.isEmpty():
+        rare = materialize(rare_keys(shingle_sets(docs, crowd.select("id")), crowd, likeness))
+        more = mixed_keys(rare)
+        few, held = few.unionByName(more), held.unionByName(rare.join(more.where("n > 2").select("key", "n"), "key"))
+    pairs = near_pairs(few.where("n = 2").select(F.col("min_id").alias("a"), F.col("max_id").alias("b")).distinct(), prints, radius)
+    members = materialize(held.join(prints.select("id", "bits"), "id"))
     by = ["key", "i", "j"]
 
     def beside(key, ids, classes, bits):
