@@ -237,11 +237,12 @@ def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
     empty; equal rows are judged alike; without a model, or of an empty table, all rows stay."""
     if model is None:
         return docs
-    read = docs.select("*", F.struct(F.col("text").cast("string").alias("a"), F.col("lang").cast("string").alias("b"), F.col("source").cast("string").alias("c"), F.col("n_chars").cast("long").alias("d")).alias("judged_by_"))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    read = docs.select(row, F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("long"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            text, page = _both_views(*(c.to_pylist() for c in b.column(b.num_columns - 1).flatten()))
-            yield pa.RecordBatch.from_arrays(b.columns[:-1], schema=pa.schema(list(b.schema)[:-1])).filter(pa.array(model.score(text.astype(np.float32), page.astype(np.float32)) >= 0.5))
+            text, page = _both_views(*(c.to_pylist() for c in b.columns[1:]))
+            yield pa.RecordBatch.from_struct_array(b.column(0)).filter(pa.array(model.score(text.astype(np.float32), page.astype(np.float32)) >= 0.5))
 
     return read.mapInArrow(rows, docs.schema)
