@@ -10,7 +10,7 @@ from tidewell.operators import billing, ledger as L
 from tidewell.operators.storage import folder
 from tidewell.plans.fixtures import LEDGER, RANKS, USAGE, ledger, ranks, table, usage
 from tidewell.plans.registry import query
-from tidewell.sources import payloads, readers, workbooks
+from tidewell.sources import payloads, readers, textlayers, workbooks
 from tidewell.streaming.months import MonthSums
 from tidewell.streaming.tables import KeyedTable
 
@@ -426,3 +426,34 @@ def months_of_changes(spark, sf):
     new = lambda df: df.withColumn("amount", F.when(changed, F.col("amount") + 1).otherwise(F.col("amount")).cast(MONEY))
     sums.apply(signed(changes, -1).unionByName(signed(new(changes), 1)).unionByName(signed(new(more), 1)))
     return sums.read(spark)
+
+
+#: Words of every document set in lines of eight, forty to a page, of which a page draws the left half of all lines first.
+LAYER = r"""
+w as (select doc_id, unnest(range(len(ws))) as i, unnest(ws) as word from (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents)),
+items as (select doc_id, i // 320 as page, i // 8 % 40 as r, i % 8 as c, word, 100 * (i % 8) + least(5 * length(word), 100) as ends, 800 - 18 * (i // 8 % 40) as y from w),
+drawn as (select *, row_number() over (partition by doc_id, page order by c // 4, r, c) as seq from items),
+runs as (select *, sum(fresh) over (partition by doc_id, page order by seq) as run from (select *, case when y <> lag(y) over (partition by doc_id, page order by seq) then 1 else 0 end as fresh from drawn))"""
+_GAP = "case when 100 * c - lag(ends) over (partition by doc_id, page, {g} order by c) > 3.5 then ' ' else '' end || word"
+
+
+def _layer(spark, sf):
+    """The items of LAYER."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda x: x != "")
+    rows = table(spark, sf, "documents").select("doc_id", F.posexplode(words).alias("i", "text"))
+    line, c = F.floor(F.col("i") / 8), F.col("i") % 8
+    rows = rows.withColumns({"page": F.floor(F.col("i") / 320), "c": c, "r": line % 40, "x": 100.0 * c, "width": F.least(5.0 * F.length("text"), F.lit(100.0)), "y": 800.0 - 18 * (line % 40), "size": F.lit(10.0)})
+    return rows.withColumn("seq", F.floor(F.col("c") / 4) * 400 + F.col("r") * 8 + F.col("c"))
+
+
+@query("SRC-20", f"""with {LAYER}, t as (select doc_id, page, run, y, c, {_GAP.format(g="run")} as piece from runs), l as (select doc_id, page, run, max(y) as y, string_agg(piece, '' order by c) as text from t group by all)
+  select doc_id, page, row_number() over (partition by doc_id, page order by y desc, run)::int as line_no, text from l""")
+def stream_lines(spark, sf):
+    return textlayers.stream_lines(_layer(spark, sf))
+
+
+@query("SRC-20-bands", f"""with {LAYER}, t as (select doc_id, page, y, c, {_GAP.format(g="y")} as piece from runs), l as (select doc_id, page, y, string_agg(piece, '' order by c) as text from t group by all)
+  select doc_id, page, row_number() over (partition by doc_id, page order by y desc)::int as line_no, text from l""")
+def band_lines(spark, sf):
+    """Heights are off by less than a half, to either side, as they are where fonts differ."""
+    return textlayers.band_lines(_layer(spark, sf).withColumn("y", F.col("y") + (F.col("i") % 3 - 1) * 0.3))

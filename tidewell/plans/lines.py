@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewell.functions import numbers
-from tidewell.operators import labs, lines
+from tidewell.operators import buckets, labs, lines
 from tidewell.plans.fixtures import table
 from tidewell.plans.registry import query
 
@@ -105,3 +106,27 @@ def positions(spark, sf):
 def categories(spark, sf):
     rows = table(spark, sf, "part").selectExpr("p_partkey", "case p_size % 4 when 0 then 'cbc' when 1 then 'hormone' when 2 then 'urinalysis' else 'shoe' end as category")
     return rows.withColumn("place", labs.category_order(F.col("category")))
+
+
+CHART_LINES = """
+chart as (select o_custkey as doc_id, (row_number() over (partition by o_custkey order by l_orderkey, l_linenumber, l_partkey, l_suppkey))::int as line_no, l_partkey % 24 as k from lineitem join orders on o_orderkey = l_orderkey)"""
+_TITLES = ["Name : x", "Check List", "SOAP History", "Laboratory Result", "▶ vaccination DHPPL", "Vital signs", "2024-03-09 10:20 visit", "x  Radiology Result"]
+
+
+@query("TXT-01-buckets", f"""with recursive {CHART_LINES},
+  seen as (
+    select doc_id, line_no, k, 'basicInfo' as was from chart where line_no = 1
+    union all
+    select c.doc_id, c.line_no, c.k, case when s.was = 'basicInfo' and s.k not in (1, 2, 3, 6, 7) then 'basicInfo' when s.k = 1 or s.k = 5 then 'vitals' when s.k = 3 then 'lab' when s.k = 4 then 'vaccination'
+        when s.was = 'basicInfo' then 'chartBody' when s.k = 2 and s.was in ('vitals', 'lab') or s.k = 6 and s.was in ('vaccination', 'lab') or s.k = 7 and s.was = 'lab' then 'chartBody' else s.was end
+    from seen s join chart c on c.doc_id = s.doc_id and c.line_no = s.line_no + 1)
+  select doc_id, line_no, case when was = 'basicInfo' and k not in (1, 2, 3, 6, 7) then 'basicInfo' when k in (3, 5) then null when k = 1 then 'vitals' when k = 4 then 'vaccination' when was = 'basicInfo' then 'chartBody'
+      when k = 2 and was in ('vitals', 'lab') or k = 6 and was in ('vaccination', 'lab') or k = 7 and was = 'lab' then 'chartBody' else was end as bucket from seen""")
+def chart_buckets(spark, sf):
+    """Charts of one system, a line for each order line of a customer, a third of which are titles."""
+    rows = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+    k = (F.col("l_partkey") % 24).cast("int")
+    text = F.when(k < len(_TITLES), F.get(F.array(*map(F.lit, _TITLES)), k)).otherwise(F.concat(F.lit("BUN "), (F.col("l_suppkey") % 90).cast("string"), F.lit(" mg/dL")))
+    made = rows.select(F.col("o_custkey").alias("doc_id"), place.alias("line_no"), text.alias("text"))
+    return buckets.assigned(made, "efriends", "doc_id").select("doc_id", "line_no", "bucket")
