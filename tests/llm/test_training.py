@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from tidewell.llm import classifier, common, simhash  # noqa: E402
+from tidewell.llm import classifier, common, quality_rules, simhash  # noqa: E402
 
 
 def words(seed, n):
@@ -135,3 +135,34 @@ def test_a_fitted_model_and_its_training_on_odd_tables(spark, labelled):
     scale = {"text": model.text_scale, "page": model.page_scale}
     told = classifier.sure(features, weights, scale).collect()
     assert told and all(r["doc_id"] is not None and {r["text_label"], r["page_label"]} <= {None, 0.0, 1.0} for r in told)
+
+
+def rich_text(ratio, share, r):
+    """80 words in lines of four, of which about a share of words (or lines) shows what a ratio counts."""
+    w = words(r.randint(0, 10**9), 80)
+    for i in range(80):
+        if r.random() < share:
+            w[i] = {"symbols": w[i] + "#", "shouting": w[i].upper(), "long_words": w[i] * 7, "echoes": w[i - 1]}.get(ratio, w[i])
+    lines = [" ".join(w[i : i + 4]) for i in range(0, 80, 4)]
+    if ratio == "dup_lines":
+        lines = [r.choice(lines[:3]) if k > 3 and r.random() < share else x for k, x in enumerate(lines)]
+    return "\n".join(lines)
+
+
+@pytest.mark.parametrize("ratio", list(quality_rules.RATIOS))
+def test_each_ratio_has_bounds_of_its_source(spark, ratio):
+    """The same kind of text fails in a source that has none of it and passes in one whose documents often show it."""
+    r = random.Random(9)
+    rows = [(2 * k + s, rich_text(ratio, s * r.uniform(0, 0.5), r), "en", f"s{s}") for k in range(250) for s in (0, 1)]
+    rows += [(1000 + 2 * k + s, rich_text(ratio, 0.6, random.Random(k)), "en", f"s{s}") for k in range(10) for s in (0, 1)]
+    kept = {x["doc_id"]: x["kept"] for x in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert sum(kept[i] for i in range(500)) >= 490
+    probes = [(kept[1000 + 2 * k], kept[1001 + 2 * k]) for k in range(10)]
+    assert sum(not quiet and loud for quiet, loud in probes) >= 8
+
+
+def test_what_is_allowed_grows_with_the_length_of_a_text(spark):
+    long = words(1, 20_000)
+    rows = [(k, " ".join(words(k, 100)), "en", "s") for k in range(200)] + [(900, " ".join(long[:-5] + ["5%"] * 5), "en", "s"), (901, " ".join(words(3, 90) + ["%%"] * 5), "en", "s"), (902, " ".join(long[:-1000] + ["50%"] * 1000), "en", "s")]
+    kept = {x["doc_id"]: x["kept"] for x in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert kept[900] and not kept[901] and not kept[902] and all(kept[k] for k in range(200))

@@ -15,8 +15,10 @@ WINDOW = 8
 #: Each ratio by what is counted, and of what.
 RATIOS = {"symbols": ("n_symbols", "word_chars"), "dup_lines": ("n_dup_lines", "n_lines"), "echoes": ("n_echoes", "n_words"), "shouting": ("n_upper", "word_chars"), "long_words": ("n_long", "n_words")}
 #: A bound lies SPREAD times the distance from the median to the upper quartile above that quartile, so up to a quarter of
-#: a group may be bad.  A document fails if its count exceeds what the bound allows by more than ALLOWED: in a short text a
-#: few occurrences tell nothing.  A group's sketch is joined by that of its language with a weight of PRIOR documents.
+#: a group may be bad.  A document fails if its count exceeds what the bound allows by more than ALLOWED for each usual length
+#: of its group, the median of its documents' words: a few occurrences tell nothing, and in a text of many times the usual
+#: length as many times a few.  So what is allowed follows the group even where its quartiles are zero.  A group's sketch is
+#: joined by that of its language with a weight of PRIOR documents.
 SPREAD, ALLOWED, PRIOR = 8, 4, 30
 #: Bins of a sketch: 64 of one part per million, then 32 for each doubling up to a million.
 BINS = 64 + 32 * 14
@@ -67,9 +69,9 @@ def _bin(ppm: str) -> str:
 
 
 def sketches(rows: DataFrame, *group: str) -> DataFrame:
-    """(group, ratio, bin, n): how many documents have a ratio in a bin."""
+    """(group, ratio, bin, n): how many documents have a ratio in a bin; the ratio 'length' is the number of words."""
     parts = ", ".join(f"'{r}', {a} * 1000000 div greatest({b}, 1)" for r, (a, b) in RATIOS.items())
-    long = rows.select(*group, F.expr(f"stack({len(RATIOS)}, {parts}) as (ratio, ppm)"))
+    long = rows.select(*group, F.expr(f"stack({len(RATIOS) + 1}, {parts}, 'length', n_words) as (ratio, ppm)"))
     return long.groupBy(*group, "ratio", F.expr(_bin("ppm")).alias("bin")).agg(F.count("*").alias("n"))
 
 
@@ -89,21 +91,22 @@ def pooled(fine: DataFrame) -> DataFrame:
 
 
 def bounds(sketch: DataFrame, *group: str) -> DataFrame:
-    """(group, and a bound in parts per million for each ratio) from sketches of weights w."""
+    """(group, a bound in parts per million for each ratio, and usual: the median length in words) from sketches of weights w."""
     part = Window.partitionBy(*group, "ratio")
     ranked = sketch.withColumn("upto", F.sum("w").over(part.orderBy("bin"))).withColumn("total", F.sum("w").over(part))
     q = lambda k: F.min(F.when(F.col("upto") * 4 >= F.col("total") * k, F.col("bin")))
     found = ranked.groupBy(*group, "ratio").agg(q(2).alias("mid"), q(3).alias("high"))
     found = found.withColumn("bound", F.col("high") + SPREAD * (F.col("high") - F.col("mid")))
-    return found.groupBy(*group).agg(*(F.max(F.when(F.col("ratio") == r, F.col("bound"))).alias(f"{r}_bound") for r in RATIOS))
+    usual = F.max(F.when(F.col("ratio") == "length", F.col("mid"))).alias("usual")
+    return found.groupBy(*group).agg(*(F.max(F.when(F.col("ratio") == r, F.col("bound"))).alias(f"{r}_bound") for r in RATIOS), usual)
 
 
 def judge(docs: DataFrame, *keep: str) -> DataFrame:
     """A row for each row of docs: doc_id, `keep`, the five base measures, base_failed and kept.
 
     base_failed: fewer than 20 words, or more than 30 % of the words in repeated windows.  kept: not base_failed, and no
-    ratio above its bound for the language and source (null is a value of its own) by more than ALLOWED occurrences.
-    Documents that fail the base rules are left out of the sketches."""
+    ratio above its bound for the language and source (null is a value of its own) by more than ALLOWED occurrences for each
+    usual length of the group, once at least.  Documents that fail the base rules are left out of the sketches."""
     names = list(dict.fromkeys(["doc_id", *keep]))
     held = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row_"), "text", F.col("lang").cast("string").alias("lang_"), F.col("source").cast("string").alias("source_"))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
@@ -113,6 +116,7 @@ def judge(docs: DataFrame, *keep: str) -> DataFrame:
     own = materialize(own)  # its size is known when the join is planned
     both = rows.join(own, rows["lang_"].eqNullSafe(own["own_lang"]) & rows["source_"].eqNullSafe(own["own_source"]), "left")
     passed = ~F.col("base_failed")
+    allowed = ALLOWED * F.greatest(F.col("n_words") / F.col("usual"), F.lit(1.0))
     for r, (a, b) in RATIOS.items():
-        passed &= F.coalesce((F.col(a) - ALLOWED) * 1000000 <= F.col(f"{r}_bound") * F.col(b), F.lit(True))
+        passed &= F.coalesce((F.col(a) - allowed) * 1000000.0 <= F.col(f"{r}_bound").cast("double") * F.col(b).cast("double"), F.lit(True))
     return both.select("row_.*", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", passed.alias("kept"))

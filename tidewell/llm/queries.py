@@ -123,7 +123,8 @@ base as (
     len(list_filter(list_zip(words[2:], words), lambda p: p[1] = p[2]))::bigint as n_echoes
   from split left join covered using (k)),
 rated as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from base),
-long as ({" union all ".join(f"select lang, source, '{r}' as ratio, {_PPM.format(a=a, b=b)} as ppm from rated where not base_failed" for r, (a, b) in _RATIOS.items())}),
+long as ({" union all ".join(f"select lang, source, '{r}' as ratio, {_PPM.format(a=a, b=b)} as ppm from rated where not base_failed" for r, (a, b) in _RATIOS.items())}
+  union all select lang, source, 'length', n_words from rated where not base_failed),
 fine as (
   select lang, source, ratio, (ppm >> greatest(length(bin(ppm)) - 6, 0)) << greatest(length(bin(ppm)) - 6, 0) as bin, count(*)::hugeint as n
   from long group by all),
@@ -137,9 +138,9 @@ weighed as (
   group by all),
 ranked as (select *, sum(w) over (partition by lang, source, ratio order by bin) as upto, sum(w) over (partition by lang, source, ratio) as total from weighed),
 levels as (select lang, source, ratio, min(bin) filter (where upto * 2 >= total) as mid, min(bin) filter (where upto * 4 >= total * 3) as high from ranked group by all),
-bounds as (select lang, source, {", ".join(f"max(high + 8 * (high - mid)) filter (where ratio = '{r}') as {r}_bound" for r in _RATIOS)} from levels group by all)
+bounds as (select lang, source, {", ".join(f"max(high + 8 * (high - mid)) filter (where ratio = '{r}') as {r}_bound" for r in _RATIOS)}, max(mid) filter (where ratio = 'length') as usual from levels group by all)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  not base_failed and {" and ".join(f"coalesce(({a} - 4) * 1000000 <= {r}_bound * {b}, true)" for r, (a, b) in _RATIOS.items())} as kept
+  not base_failed and {" and ".join(f"coalesce(({a}::double - 4::double * greatest(n_words::double / usual::double, 1::double)) * 1000000::double <= {r}_bound::double * {b}::double, true)" for r, (a, b) in _RATIOS.items())} as kept
 from rated left join bounds on rated.lang is not distinct from bounds.lang and rated.source is not distinct from bounds.source
 """
 
