@@ -130,3 +130,53 @@ def chart_buckets(spark, sf):
     text = F.when(k < len(_TITLES), F.get(F.array(*map(F.lit, _TITLES)), k)).otherwise(F.concat(F.lit("BUN "), (F.col("l_suppkey") % 90).cast("string"), F.lit(" mg/dL")))
     made = rows.select(F.col("o_custkey").alias("doc_id"), place.alias("line_no"), text.alias("text"))
     return buckets.assigned(made, "efriends", "doc_id").select("doc_id", "line_no", "bucket")
+
+
+TABLE_LINES = """
+sheet as (select o_custkey as doc_id, (row_number() over (partition by o_custkey order by l_orderkey, l_linenumber, l_partkey, l_suppkey))::int as n, l_partkey, l_quantity::int as q from lineitem join orders on o_orderkey = l_orderkey),
+kinds as (select *, case when n // 20 % 3 = 0 and n % 20 between 5 and 11 then case when n % 20 = 8 then 'note' else 'test' end when n // 20 % 3 = 1 and n % 20 = 17 then 'head' when n // 20 % 3 = 1 and n % 20 = 4 then 'range' else 'prose' end as kind from sheet)"""
+_TESTS = ["ALT", "Glucose GLU", "WBC", "T-Bil CREA"]
+
+
+def _sheet(spark, sf):
+    rows = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    n = F.row_number().over(Window.partitionBy("o_custkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+    rows = rows.select(F.col("o_custkey").alias("doc_id"), n.alias("n"), "l_partkey", F.col("l_quantity").cast("int").alias("q"))
+    at, part = F.col("n") % 20, F.floor(F.col("n") / 20) % 3
+    name = F.get(F.array(*map(F.lit, _TESTS)), (F.col("l_partkey") % 4).cast("int"))
+    told = F.when(F.col("q") > 40, "High").when(F.col("q") < 10, "Low").otherwise("Normal")
+    test = F.concat_ws(" ", name, F.lit("mg/dL"), F.lit("10"), F.lit("40,5"), F.col("q").cast("string"), told)
+    text = F.when((part == 0) & at.between(5, 11), F.when(at == 8, "Performed by machine 7").otherwise(test)).when((part == 1) & (at == 17), "Name Unit Min Max Result").when((part == 1) & (at == 4), "between 5 - 7").otherwise("we walked for hours")
+    return rows.select("doc_id", F.col("n").alias("row_no"), text.alias("text"), name.alias("name"), "q", ((part == 0) & at.between(5, 11) & (at != 8)).alias("is_test"))
+
+
+@query("TXT-09-blocks", f"""with {TABLE_LINES}, s as (select *, case kind when 'test' then 6 when 'range' then 3 when 'head' then 1 else 0 end as score, max(case when kind = 'head' then n end) over (partition by doc_id order by n) as header from kinds),
+  c as (select *, score >= 2 or coalesce(n - header <= 20, false) as inside from s), k as (select *, sum((not inside and kind <> 'note')::int) over (partition by doc_id order by n) as others from c),
+  b as (select *, sum(fresh) over (partition by doc_id order by n) as block from (select *, case when others - lag(others) over (partition by doc_id order by n) > 3 then 1 else 0 end as fresh from k where inside))
+  select doc_id, min(n) as first_row, max(n) as last_row, (max(n) - min(n) + 1)::bigint as n_rows, sum(score + (kind = 'head')::int)::bigint as score from b group by doc_id, block
+  having max(n) - min(n) >= 1 and sum(score + (kind = 'head')::int) >= 4 and max(score) >= 4""")
+def table_blocks(spark, sf):
+    """Tables planted among prose: rows of tests with a note among them, headers, and lone ranges."""
+    return labs.table_blocks(_sheet(spark, sf), "doc_id")
+
+
+@query("TXT-09-items", f"""with {TABLE_LINES} select doc_id, n as row_no, ['ALT', 'Glucose GLU', 'WBC', 'T-Bil CREA'][l_partkey % 4 + 1] as item, 'mg/dL' as unit, 10.0::double as low, 40.5::double as high, q::double as value, case when q > 40 then 'high' when q < 10 then 'low' else 'normal' end as told from kinds where kind = 'test'""")
+def table_items(spark, sf):
+    rows = _sheet(spark, sf).where("is_test")
+    return rows.select("doc_id", "row_no", labs.layout_item(F.col("text")).alias("i")).select("doc_id", "row_no", "i.*")
+
+
+@query("LAB-01-rules", """with n as (select p_partkey, p_partkey % 10 as b, p_partkey // 10 % 7 as d from part)
+  select p_partkey, case when b < 6 then ['NEU', 'LYM', 'MONO', 'EOS', 'BASO', 'IMG'][b + 1] || case when d in (2, 3) then '(%)' else '' end when b = 6 then case when d % 2 = 0 then 'ALB/GLOB' else 'BUN/CREA' end
+    when b = 7 then case when d % 3 = 0 then 'iCA(7.4)' when d % 3 = 1 then 'iCA' else 'Pre-ACTH' end when b = 8 then case when d % 2 = 0 then 'ALP' else 'cPL' end else 'XQ' || p_partkey end as canonical, b < 9 as recognized from n""")
+def named_items(spark, sf):
+    """Names of every part: kinds of cells in seven ways of writing, names that patterns tell, aliases, and unknown ones."""
+    b, d = F.col("p_partkey") % 10, (F.floor(F.col("p_partkey") / 10) % 7).cast("int")
+    of = lambda values, i: F.get(F.array(*map(F.lit, values)), i.cast("int"))
+    base = of(["Neutrophils", "LYMPH", "ΜΟΝΟ", "eosin", "Baso", "IMG"], b)
+    written = F.get(F.array(base, F.concat(base, F.lit("#")), F.concat(base, F.lit(" %")), F.concat(F.lit("WBC-"), base, F.lit("%")), F.concat(F.lit("ABS-"), base), F.concat(base, F.lit(" Count")), F.concat(F.lit(" "), base, F.lit(" (K/uL)"))), d)
+    name = F.when(b < 6, written).when(b == 6, F.when(d % 2 == 0, "Albumin / Globulin ratio").otherwise("BUN/Cr")).when(b == 7, of(["Ca2+ (7.4)", "iCa++", "Cortisol (Pre)"], d % 3))
+    name = name.when(b == 8, F.when(d % 2 == 0, "ALKP (IDEXX)").otherwise("Spec cPL")).otherwise(F.concat(F.lit("xq-"), "p_partkey"))
+    aliases = spark.createDataFrame([("ALKP", "ALP"), ("CI", "CL")], "alias string, canonical string")
+    known = spark.createDataFrame([(x,) for x in ["neu", "LYM", "MONO", "EOS", "BASO", "IMG", "NEU(%)", "LYM(%)", "MONO(%)", "EOS(%)", "BASO(%)", "IMG(%)", "ALB/GLOB", "BUN/CREA", "iCA", "ICA(7.4)", "Pre-ACTH", "ALP", "cPL"]], "canonical string")
+    return labs.named(table(spark, sf, "part").select("p_partkey", name.alias("item_name")), aliases, known, "dog").select("p_partkey", "canonical", "recognized")
