@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from tidewell.operators import billing, ledger as L
 from tidewell.operators.storage import folder
 from tidewell.plans.fixtures import LEDGER, RANKS, USAGE, ledger, ranks, table, usage
 from tidewell.plans.registry import query
-from tidewell.sources import payloads, readers, textlayers, workbooks
+from tidewell.sources import payloads, readers, scans, textlayers, workbooks
 from tidewell.streaming.months import MonthSums
 from tidewell.streaming.tables import KeyedTable
 
@@ -198,11 +200,13 @@ def intake(spark, sf):
     return payloads.intake(rows).select("c_custkey", "phone", "species", "sex", "birth")
 
 
-@query("SRC-21", "select sha256('한 줄' || chr(10)) as sha256, 8::bigint as length")
+@query("SRC-21", "select sha256(string_agg(p_partkey || ',' || p_name || chr(10), '' order by p_partkey)) as sha256, sum(strlen(p_partkey || ',' || p_name) + 1)::bigint as length from part group by p_brand")
 def digests(spark, sf):
+    """A file of parts for each brand."""
     path = folder(spark)
-    spark.createDataFrame([("한 줄",)], "value string").coalesce(1).write.text(path)
-    return readers.file_digests(spark, path + "/part-*").select("sha256", "length")
+    lines = table(spark, sf, "part").select("p_brand", "p_partkey", F.concat_ws(",", F.col("p_partkey").cast("string"), "p_name").alias("value"))
+    lines.repartition("p_brand").sortWithinPartitions("p_brand", "p_partkey").select("p_brand", "value").write.partitionBy("p_brand").text(path)
+    return readers.file_digests(spark, path + "/p_brand=*/part-*").select("sha256", "length")
 
 
 @query("SNK-04", f"with {LEDGER}, m as (select date_trunc('month', service_date)::date as month, sum(amount)::decimal(18,2) as amount from ledger group by all) select month, case when month >= date '1998-01-01' then 0 else amount end::decimal(18,2) as amount from m")
@@ -457,3 +461,12 @@ def stream_lines(spark, sf):
 def band_lines(spark, sf):
     """Heights are off by less than a half, to either side, as they are where fonts differ."""
     return textlayers.band_lines(_layer(spark, sf).withColumn("y", F.col("y") + (F.col("i") % 3 - 1) * 0.3))
+
+
+@query("SRC-18", """select c_custkey, c_name, n_orders, spend, last_order from customer left join (select o_custkey, count(*) as n_orders, sum(o_totalprice::decimal(18,2))::decimal(18,2) as spend, max(o_orderdate)::date as last_order
+  from orders where o_orderdate >= date '1998-08-01' - 400 group by o_custkey) on o_custkey = c_custkey""")
+def scanned(spark, sf):
+    """A statement with a parameter over tables by name, as a dashboard sends it."""
+    statement = """select c_custkey, c_name, n_orders, spend, last_order from {customers} left join (select o_custkey, count(*) as n_orders, cast(sum(cast(o_totalprice as decimal(18,2))) as decimal(18,2)) as spend, cast(max(o_orderdate) as date) as last_order
+      from {orders} where o_orderdate >= date_sub(:today, :days) group by o_custkey) on o_custkey = c_custkey"""
+    return scans.statement(spark, statement, {"customers": table(spark, sf, "customer"), "orders": table(spark, sf, "orders")}, today=date(1998, 8, 1), days=400)

@@ -88,6 +88,12 @@ def stale(spark, sf):
     return table(spark, sf, "events").groupBy("user_id").agg(F.max("ts").alias("last_seen")).where("last_seen < timestamp_ntz'2024-01-20 00:00:00'")
 
 
+@query("AGG-26-features", "select user_id, event_type, hour(ts)::int as hour, max(ts) as last_seen from events group by all having max(ts) < timestamp '2024-01-20'")
+def stale_features(spark, sf):
+    """What a user has not done at an hour of the day for long; at every size there are some such and some others."""
+    return table(spark, sf, "events").groupBy("user_id", "event_type", F.hour("ts").alias("hour")).agg(F.max("ts").alias("last_seen")).where("last_seen < timestamp_ntz'2024-01-20 00:00:00'")
+
+
 @query("AGG-27", "select p_type as name, count(*) as n from part group by all order by n desc, name limit 3")
 def frequent(spark, sf):
     return table(spark, sf, "part").groupBy(F.col("p_type").alias("name")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name").limit(3)
