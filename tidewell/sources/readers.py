@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions import dates, numbers, text
+from tidewell.operators.storage import written
 
 # Positions of a sales export's columns, by chart system: number, name, patient, treatment, amount
 POSITIONS = {"woorien": {"service_date": 0, "customer_no": 1, "customer_name": 2, "patient_name": 3, "treatment": 5, "amount": 11}, "efriends": {"service_date": 0, "customer_name": 5, "treatment": 6, "receipt": 7, "amount": 10}}
@@ -22,17 +23,15 @@ def raw_rows(spark: SparkSession, path: str, columns: int, encoding: str = "UTF-
 def export_rows(spark: SparkSession, path: str, columns: int, other: str = "euc_kr") -> DataFrame:
     """SRC-05: raw_rows of files of which each is UTF-8, with or without a byte order mark, or in the other encoding where its bytes
     are not valid UTF-8.  Spark's readers lack that encoding, so lines of such files, and only those, are decoded in Arrow batches.
-    Only these files' names reach the driver, which lists all files anyway."""
+    What a file is, is a row a file, joined to its lines."""
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row_no"))
-    odd = [r["file"] for r in lines.where("not is_valid_utf8(value)").select("file").distinct().collect()]
+    plain = written(lines.groupBy("file").agg(F.bool_and(F.is_valid_utf8("value")).alias("plain_")))  # a row a file
 
     @F.pandas_udf("string")
     def decoded(values: pd.Series) -> pd.Series:
-        return values.map(lambda b: bytes(b).decode(other, "replace"))
+        return values.map(lambda b: bytes(b).decode(other, "replace"), na_action="ignore")
 
-    if odd:
-        theirs = F.col("file").isin(odd)
-        lines = lines.where(~theirs).union(lines.where(theirs).withColumn("value", decoded(F.col("value").cast("binary"))))
+    lines = lines.join(plain, "file").withColumn("value", F.coalesce(decoded(F.when(~F.col("plain_"), F.col("value").cast("binary"))), "value"))
     schema = ", ".join(f"c{i} string" for i in range(columns))
     cells = F.from_csv(F.regexp_replace("value", "^\ufeff", ""), schema, {"quote": '"', "escape": '"'})
     return lines.where("trim(value) <> ''").select(cells.alias("r"), "file", "row_no").select("r.*", "file", "row_no")
