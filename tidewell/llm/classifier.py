@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import materialize, slices, word_hashes
+from tidewell.llm.common import discard, materialize, slices, word_hashes
 
 #: Bounds of the samples of labelled and, a view and label and round, of pseudo-labelled documents that the models are fitted
 #: on.  Everything else sees all rows.
@@ -207,8 +207,11 @@ def train_on(features: DataFrame, labels: DataFrame, labelled: int = LABELLED, p
 
 
 def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pseudo: int = PSEUDO, rounds: int = ROUNDS) -> Model | None:
-    """train_on the views of docs."""
-    return train_on(featured(docs), labels, labelled, pseudo, rounds)
+    """train_on the views of docs, which are deleted then."""
+    features = featured(docs)
+    model = train_on(features, labels, labelled, pseudo, rounds)
+    discard(features)
+    return model
 
 
 def _told(ids: pa.Array, s: list) -> pa.RecordBatch:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import connected_components, map_arrow, materialize, mix64, shingle_hashes, slices, word_hashes
+from tidewell.llm.common import connected_components, discard, map_arrow, materialize, mix64, shingle_hashes, slices, word_hashes
 
 BITS = 64
 
@@ -362,8 +362,9 @@ def rare_keys(sets: DataFrame, classes: DataFrame, likeness: float) -> DataFrame
     both = sets.join(classes, sets["doc"] == classes["id"]).select("id", "class", "set")
     listed = materialize(map_arrow(both, rows, "id long, class long, key long, n long, reach long, shorter boolean"))
     fits = listed.groupBy("key").agg(F.min(F.when(F.col("shorter"), F.col("n"))).alias("least"), F.max("reach").alias("most")).where("least <= most")
-    kept = listed.join(fits, "key").where("reach >= least or (shorter and n <= most)")
-    return kept.select("id", "class", "key").distinct()
+    kept = materialize(listed.join(fits, "key").where("reach >= least or (shorter and n <= most)").select("id", "class", "key").distinct())
+    discard(listed)
+    return kept
 
 
 def mixed_keys(rows: DataFrame) -> DataFrame:
@@ -386,15 +387,18 @@ def wide_links(prints: DataFrame, docs: DataFrame, radius: int = RADIUS, likenes
     named = materialize(prints.join(classes, prints["id"] == classes["node"], "left").select("id", "bits", F.coalesce("component", "id").alias("class")))
     rows = bucket_keys(named, len(TABLES))
     mixed = mixed_keys(rows)
-    few = mixed.where(F.col("n") <= bucket)
-    held = rows.join(few.where("n > 2").select("key", "n"), "key")
-    crowd = materialize(rows.join(mixed.where(F.col("n") > bucket).select("key"), "key", "left_semi").select("id", "class").distinct())
+    met = materialize(rows.join(mixed.where("n > 2").select("key", "n").hint("merge"), "key"))  # a merge join at any size
+    few, held = mixed.where(F.col("n") <= bucket), met.where(F.col("n") <= bucket)
+    crowd = materialize(met.where(F.col("n") > bucket).select("id", "class").distinct())
     if not crowd.isEmpty():
-        rare = materialize(rare_keys(shingle_sets(docs, crowd.select("id")), crowd, likeness))
+        sets = shingle_sets(docs, crowd.select("id"))
+        rare = rare_keys(sets, crowd, likeness)
+        discard(sets)
         more = mixed_keys(rare)
         few, held = few.unionByName(more), held.unionByName(rare.join(more.where("n > 2").select("key", "n"), "key"))
     pairs = near_pairs(few.where("n = 2").select(F.col("min_id").alias("a"), F.col("max_id").alias("b")).distinct(), prints, radius)
     members = materialize(held.join(prints.select("id", "bits"), "id"))
+    discard(met)
     by = ["key", "i", "j"]
 
     def beside(key, ids, classes, bits):
