@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from tidewell.llm import classifier, common, quality_rules, simhash  # noqa: E402
+from tidewell.llm import classifier, common, html_blocks, quality_rules, simhash  # noqa: E402
 
 
 def words(seed, n):
@@ -166,3 +166,8 @@ def test_what_is_allowed_grows_with_the_length_of_a_text(spark):
     rows = [(k, " ".join(words(k, 100)), "en", "s") for k in range(200)] + [(900, " ".join(long[:-5] + ["5%"] * 5), "en", "s"), (901, " ".join(words(3, 90) + ["%%"] * 5), "en", "s"), (902, " ".join(long[:-1000] + ["50%"] * 1000), "en", "s")]
     kept = {x["doc_id"]: x["kept"] for x in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
     assert kept[900] and not kept[901] and not kept[902] and all(kept[k] for k in range(200))
+
+
+def test_formulas_stand_within_their_paragraph():
+    page = "<article><p>Mass is <math><semantics><mrow><mi>m</mi><mo>=</mo><mn>3</mn></mrow><annotation>m=3</annotation></semantics></math> here.</p></article>"
+    assert [b[0] for b in html_blocks.blocks(page)] == ["Mass is m=3 here."]
