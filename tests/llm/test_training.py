@@ -3,6 +3,7 @@
 import os
 import random
 import sys
+import zlib
 
 import numpy as np
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from tidewell.llm import classifier, common, html_blocks, quality_rules, simhash  # noqa: E402
+from tidewell.llm import classifier, common, html_blocks, quality_rules, sharding, simhash  # noqa: E402
 
 
 def words(seed, n):
@@ -144,8 +145,8 @@ def rich_text(ratio, share, r):
         if r.random() < share:
             w[i] = {"symbols": w[i] + "#", "shouting": w[i].upper(), "long_words": w[i] * 7, "echoes": w[i - 1]}.get(ratio, w[i])
     lines = [" ".join(w[i : i + 4]) for i in range(0, 80, 4)]
-    if ratio == "dup_lines":
-        lines = [r.choice(lines[:3]) if k > 3 and r.random() < share else x for k, x in enumerate(lines)]
+    if ratio == "dup_lines":  # between other lines, so that no eight words are repeated
+        lines = [r.choice(lines[:3]) if k > 3 and k % 2 and r.random() < share * 1.6 else x for k, x in enumerate(lines)]
     return "\n".join(lines)
 
 
@@ -171,3 +172,23 @@ def test_what_is_allowed_grows_with_the_length_of_a_text(spark):
 def test_formulas_stand_within_their_paragraph():
     page = "<article><p>Mass is <math><semantics><mrow><mi>m</mi><mo>=</mo><mn>3</mn></mrow><annotation>m=3</annotation></semantics></math> here.</p></article>"
     assert [b[0] for b in html_blocks.blocks(page)] == ["Mass is m=3 here."]
+
+
+def test_shards_are_those_of_one_sort(spark):
+    """Rows in order of id and text: what stands before a shard's end by bytes is told by sums over all rows."""
+    r = random.Random(12)
+    rows = [(r.choice([None, *range(400)]), None if r.random() < 0.05 else "é" * r.randint(0, 60), k) for k in range(3000)]
+    told = sharding.assign(spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(6)).collect()
+    assert sorted((str(x["doc_id"]), x["size"], x["text_crc32"]) for x in told) == sorted((str(i), len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, _ in rows)
+    order = sorted(told, key=lambda x: (x["shard"], x["slot"]))
+    ids = [-1 if x["doc_id"] is None else x["doc_id"] for x in order]
+    assert ids == sorted(ids)
+    for k in range(8):
+        assert [x["slot"] for x in order if x["shard"] == k] == list(range(sum(x["shard"] == k for x in order)))
+    ends, total, upto = [0], sum(x["size"] for x in order), 0
+    for x in order:
+        upto += x["size"]
+        ends.append(upto)
+    for k in range(1, 8):  # a boundary is as near to its share of the bytes as rows and the tolerance let it be
+        at = sum(x["shard"] < k for x in order)
+        assert abs(ends[at] - total * k / 8) <= min(abs(e - total * k / 8) for e in ends) + 0.001 * total / 8 + 1
