@@ -73,7 +73,7 @@ def action_summary(actions: DataFrame, redundant: list[str], catalog: DataFrame)
     """AGG-38: totals by type of action, without those that only repeat another or are zero, in the catalog's order
     (action_type, place); types that the catalog lacks follow, the greatest first."""
     total = actions.where(~F.col("action_type").isin(redundant)).groupBy("action_type").agg(F.sum("n").alias("total")).where("total <> 0")
-    found = total.join(F.broadcast(catalog), "action_type", "left")
+    found = total.join(catalog, "action_type", "left")
     order = Window.orderBy(F.col("place").asc_nulls_last(), F.col("total").desc(), "action_type")  # one row a type
     return found.withColumn("position", F.row_number().over(order))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.numbers import change_percent, merged_set
 from tidewell.operators import billing, choices, ledger as L, periods, ranks as K, scans, similarity
+from tidewell.operators.ads import level as grain
 from tidewell.plans.fixtures import ADS, LEDGER, RANKS, REVIEWS, USAGE, ads, ledger, ranks, reviews, table, usage
 from tidewell.plans.registry import query
 
@@ -82,8 +83,7 @@ def known(spark, sf):
 
 @query("FLT-14", f"with {ADS} select case when adgroup_id = '' and keyword_id = '' then 'campaign' when keyword_id = '' then 'adgroup' else 'keyword' end as level, count(*) as n, sum(clicks)::bigint as clicks from ads group by all")
 def levels(spark, sf):
-    level = F.when((F.col("adgroup_id") == "") & (F.col("keyword_id") == ""), "campaign").when(F.col("keyword_id") == "", "adgroup").otherwise("keyword")
-    return ads(spark, sf).groupBy(level.alias("level")).agg(F.count("*").alias("n"), F.sum("clicks").alias("clicks"))
+    return ads(spark, sf).groupBy(grain().alias("level")).agg(F.count("*").alias("n"), F.sum("clicks").alias("clicks"))
 
 
 @query("FLT-15-presets", f"""with {RANKS}, best as (select hospital_id, keyword, metric_date, min(rank_value) as r, min(importance) as importance from ranks group by all),
