@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.numbers import parse_number
 from tidewell.functions.text import bare_store_name
+from tidewell.operators.joins import dealt_join
 from tidewell.operators.similarity import containments
 
 
@@ -63,4 +64,4 @@ def same_stores(targets: DataFrame, target: str, seen: DataFrame, shown: str, by
     wide = containments(named(s, "s_"), named(t, "t_"), by).select(*by, F.col("name").alias("t_"), F.col("holder").alias("s_"))
     narrow = containments(named(t, "t_"), named(s, "s_").where(F.length("name") >= 4), by).select(*by, F.col("holder").alias("t_"), F.col("name").alias("s_"))
     pairs = wide.unionByName(narrow).distinct()
-    return t.join(pairs, [*by, "t_"]).join(s, [*by, "s_"]).drop("t_", "s_")
+    return dealt_join(t.join(pairs, [*by, "t_"]).drop("t_"), s, [*by, "s_"]).drop("s_")
