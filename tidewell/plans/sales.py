@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import dates, numbers, text
 from tidewell.operators import ledger as L
-from tidewell.operators import periods
+from tidewell.operators import joins, periods
 from tidewell.plans.fixtures import LEDGER, ledger, table
 from tidewell.plans.registry import query
 
@@ -270,4 +270,4 @@ def likeness(spark, sf):
 @query("JN-22", "select p_partkey, c_custkey from part join customer on lower(regexp_replace(p_name, '\\s+', '', 'g')) || (p_partkey % 50) = 'coldwidget' || (c_custkey % 50)")
 def keyword_lookup(spark, sf):
     parts = table(spark, sf, "part").select("p_partkey", F.concat(text.keyword_key(F.col("p_name")), F.col("p_partkey") % 50).alias("key"))
-    return parts.join(table(spark, sf, "customer").select("c_custkey", F.concat(F.lit("coldwidget"), F.col("c_custkey") % 50).alias("key")), "key").drop("key")
+    return joins.dealt_join(parts, table(spark, sf, "customer").select("c_custkey", F.concat(F.lit("coldwidget"), F.col("c_custkey") % 50).alias("key")), ["key"]).drop("key")
