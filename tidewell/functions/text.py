@@ -144,7 +144,8 @@ def redact(c: Column) -> Column:
         (r"\d{6}\s*-\s*[1-4]\d{6}", "[redacted:rrn]"),
         (r"01[016-9][-\s]?\d{3,4}[-\s]?\d{4}", "[redacted:phone]"),
         (r"0\d{1,2}[-\s]\d{3,4}[-\s]\d{4}", "[redacted:phone]"),
-        (r"[\w.+-]+@[\w-]+\.[\w.-]+", "[redacted:email]"),
+        # An address is looked for where a word begins or the last match ended, so a long word is read once and not from each character
+        (r"(?:\G|(?<![\w.+-]))[\w.+-]++@[\w-]+\.[\w.-]+", "[redacted:email]"),
     ]
     for pattern, shown in patterns:
         c = F.regexp_replace(c, pattern, shown)
