@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidewell.functions.columns import once
 from tidewell.functions.text import is_private_key, redact
 
 #: Levels of nesting that are kept, members of an array that are, and bytes of a payload.
@@ -13,31 +14,40 @@ DEPTH, MEMBERS, BYTES, PREVIEW = 4, 20, 8000, 1000
 
 def _quoted(c: Column) -> Column:
     """A text as JSON."""
-    array = F.to_json(F.array(c))
-    return F.substring(array, F.lit(2), F.length(array) - 2)
+    return once(F.to_json(F.array(c)), lambda array: F.substring(array, F.lit(2), F.length(array) - 2))
+
+
+def _redacted(c: Column) -> Column:
+    """A text as JSON, redacted."""
+    return _quoted(once(c, redact))
 
 
 def _walked(v: Column, depth: int) -> Column:
     """The JSON of a variant at a depth: fields in order of their names."""
     if depth == DEPTH:
         return F.when(F.is_variant_null(v), "null").otherwise('"[redacted:depth]"')
-    members = F.try_variant_get(v, "$", "array<variant>")
-    fields = F.try_variant_get(v, "$", "map<string,variant>")
-    more = F.size(members) - MEMBERS
-    head = F.transform(F.slice(members, 1, MEMBERS), lambda m: _walked(m, depth + 1))
-    head = F.when(more > 0, F.array_append(head, F.concat(F.lit('"…외 '), more.cast("string"), F.lit('개"')))).otherwise(head)
-    named = F.transform(F.map_entries(fields), lambda e: F.concat(_quoted(e["key"]), F.lit(":"), F.when(is_private_key(e["key"]), '"[redacted]"').otherwise(_walked(e["value"], depth + 1))))
     joined = lambda parts, a, b: F.concat(F.lit(a), F.array_join(parts, ","), F.lit(b))
-    text = F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
-    return (F.when(v.isNull() | F.is_variant_null(v), "null").when(members.isNotNull(), joined(head, "[", "]")).when(fields.isNotNull(), joined(named, "{", "}"))
-            .when(text.isNotNull(), _quoted(redact(text))).otherwise(F.to_json(v)))
+
+    def listed(members):
+        more = F.size(members) - MEMBERS
+        rest = F.when(more > 0, F.array(F.concat(F.lit('"…외 '), more.cast("string"), F.lit('개"')))).otherwise(F.array().cast("array<string>"))
+        return joined(F.concat(F.transform(F.slice(members, 1, MEMBERS), lambda m: _walked(m, depth + 1)), rest), "[", "]")
+
+    def told(json):
+        # What a variant is can be told by its JSON's first character, so nothing is read as what it is not
+        members, fields = F.try_variant_get(v, "$", "array<variant>"), F.try_variant_get(v, "$", "map<string,variant>")
+        named = F.transform(F.map_entries(fields), lambda e: F.concat(_quoted(e["key"]), F.lit(":"), F.when(is_private_key(e["key"]), '"[redacted]"').otherwise(_walked(e["value"], depth + 1))))
+        first = F.substring(json, 1, 1)
+        return F.when(json.isNull(), "null").when(first == "[", once(members, listed)).when(first == "{", joined(named, "{", "}")).when(first == '"', _redacted(F.try_variant_get(v, "$", "string"))).otherwise(json)
+
+    return once(F.to_json(v), told)
 
 
 def redact_json(c: Column) -> Column:
     """A payload (JSON) in which private fields are replaced whole, texts by what they contain, and what lies deeper than DEPTH
     levels or beyond MEMBERS members of an array is only told of; null stays null, and what is no JSON counts as a text."""
-    v = F.try_parse_json(c)
-    return F.when(c.isNotNull(), F.when(v.isNull(), _quoted(redact(c))).otherwise(_walked(v, 0)))
+    walked = lambda payload: once(F.try_parse_json(payload), lambda v: F.when(v.isNull(), _redacted(payload)).otherwise(_walked(v, 0)))
+    return F.when(c.isNotNull(), once(c, walked))
 
 
 def capped(payload: Column) -> Column:
