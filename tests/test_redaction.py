@@ -6,7 +6,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from tidewell.functions import text
+from tidewell.functions import redaction, text
 
 
 def redacted(t):
@@ -34,3 +34,11 @@ def test_a_long_word_takes_about_as_long_as_short_ones(spark):
         return time.time() - begun
 
     assert seconds("x") < 8 * max(seconds("xxx "), 0.1)
+
+
+def test_a_payload_is_parsed_once(spark):
+    payloads = ['{"b":[1,{"name":"x","c":"a@b.co"}],"a":null}', "[]", "{}", '"call 010-1234-5678"', "no json a@b.co", "1.50", "null", None]
+    made = spark.createDataFrame([(n, p) for n, p in enumerate(payloads)], "n int, p string").select("n", redaction.redact_json(F.col("p")).alias("v"))
+    told = ['{"a":null,"b":[1,{"c":"[redacted:email]","name":"[redacted]"}]}', "[]", "{}", '"call [redacted:phone]"', '"no json [redacted:email]"', "1.5", "null", None]
+    assert [r["v"] for r in made.orderBy("n").collect()] == told
+    assert made._jdf.queryExecution().analyzed().toString().count("parse_json(") == 1
