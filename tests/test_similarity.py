@@ -63,3 +63,20 @@ def test_names_within_names_are_those_of_all_pairs(spark):
     found = [tuple(x) for x in similarity.containments(holders, held, ["place"]).collect()]
     want = {(p, a, b) for p, a in map(tuple, holders.collect()) for q, b in map(tuple, held.collect()) if p == q and a and b and b in a}
     assert set(found) == want and len(found) == len(want) > 100
+
+
+def test_a_crowd_without_rare_members_is_compared_in_blocks(spark, monkeypatch):
+    """Two owners whose sets are of thirty common members each, and one of few sets; blocks and slices are cut small."""
+    for name, value in {"CROWD": 1000, "BLOCK": 64, "COLUMNS": 7, "SLICE": 16}.items():
+        monkeypatch.setattr(similarity, name, value)
+    r = random.Random(5)
+    members = [f"t{k}" for k in range(30)]
+    made = lambda n: [(k, r.choice("ab"), r.choices(members, k=r.randint(0, 14)) + r.choice([[], [" "], ["한글"]])) for k in range(n)]
+    one, two = made(300) + [(300, "c", ["t1", "t2"]), (301, None, ["t1"]), (302, "a", None)], made(200) + [(200, "c", ["t1"]), (201, None, ["t1"])]
+    left, right = (spark.createDataFrame(rows, f"{k} long, owner string, members array<string>") for rows, k in ((one, "l"), (two, "r")))
+    assert similarity._crowds(similarity._sides(left, right, "members", ["owner"]), ["owner"], 0.4).count() == 2
+    found = similarity.similar_rows(left, right, "members", ["owner"], 0.4).collect()
+    want = {(a, b): likeness(s, t) for a, o, s in one for b, p, t in two if o is not None and o == p and likeness(s, t) >= 0.4}
+    assert {(x["l"], x["r"]): x["similarity"] for x in found} == want and len(found) == len(want) > 300
+    pairs = similarity.candidate_sets(left, right, "members", ["owner"], 0.4)
+    assert pairs.columns == ["owner", "l_set", "r_set"] and pairs.count() == pairs.distinct().count() == similarity.similar_sets(left, right, "members", ["owner"], 0.4).count()

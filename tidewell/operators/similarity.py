@@ -1,16 +1,25 @@
 """Joins of alike sets and of names that contain each other, without comparing all pairs.
 
 Each set is known by its rarest members and each name by its rarest run of characters; only those that share one are compared,
-and every comparison that follows is exact."""
+and every comparison that follows is exact. Sets of which nearly all share their rarest members are compared in blocks."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions.numbers import jaccard, set_key
 from tidewell.operators.storage import written
 
+#: So many pairs make a crowd, if nothing is rare among them; what a pair of a crowd costs next to one that is met at a rare
+#: member; sets of a block; members that stand side by side in a matrix; sets of the right block that are compared at once.
+CROWD, COST, BLOCK, COLUMNS, SLICE = 1 << 16, 1 / 20, 8192, 1024, 256
+
 
 def _by_rarity(sets: DataFrame, by: list[str]) -> DataFrame:
     """Distinct sets (by, set_, side) with ranked_: their members, those that fewer sets of the same `by` hold first."""
@@ -24,36 +33,160 @@ def _prefixes(ranked: DataFrame, by: list[str], least: float, side: str) -> Data
     """A row for each of a set's rarest members, so many that two sets alike at `least` or more share one of theirs."""
     n = F.size("ranked_")
     keep = n - F.ceil(n * F.lit(least) - 1e-9).cast("int") + 1
-    rows = ranked.where(F.col("side_") == side).select(*by, F.col("set_").alias(f"{side}_set"), F.col("ranked_").alias(f"{side}_ranked"), F.posexplode(F.slice("ranked_", F.lit(1), F.greatest(keep, F.lit(1)))).alias(f"{side}_at", "member_"))
+    rows = ranked.where(F.col("side_") == side).select(*by, F.col("id_").alias(f"{side}_id"), F.col("set_").alias(f"{side}_set"), F.col("ranked_").alias(f"{side}_ranked"), F.posexplode(F.slice("ranked_", F.lit(1), F.greatest(keep, F.lit(1)))).alias(f"{side}_at", "member_"))
     return rows.withColumn(f"{side}_n", F.size(f"{side}_ranked"))
 
 
-def candidate_sets(left: DataFrame, right: DataFrame, members: str, by: list[str], least: float) -> DataFrame:
-    """(by, l_set, r_set) of distinct sets that may be alike at `least` or more (above 0), each pair once.
+def _sides(left: DataFrame, right: DataFrame, members: str, by: list[str]) -> DataFrame:
+    """_by_rarity of the sets of both sides, with id_, written."""
+    side = lambda df, s: df.select(*by, F.lit(s).alias("side_"), set_key(members).alias("set_")).where(F.size("set_") > 0).distinct()
+    return written(_by_rarity(side(left, "l").unionByName(side(right, "r")), by).withColumn("id_", F.monotonically_increasing_id()))
+
+
+def _crowds(ranked: DataFrame, by: list[str], least: float) -> DataFrame:
+    """(by, crowd_, l_blocks_, r_blocks_) of the `by` in which it costs less to compare all pairs than those that share one of
+    their rarest members, each as often as it shares one: nothing is rare there."""
+    sides = [F.count(F.when(F.col("side_") == s, 1)).alias(f"{s}_sets") for s in "lr"]
+    held = [_prefixes(ranked, by, least, s).groupBy(*by, "member_").agg(F.count("*").cast("double").alias(f"{s}_held")) for s in "lr"]
+    met = held[0].join(held[1], [*by, "member_"]).groupBy(*by).agg(F.sum(F.col("l_held") * F.col("r_held")).alias("met_"))
+    pairs = F.col("l_sets").cast("double") * F.col("r_sets")
+    blocks = [F.greatest(F.ceil(F.col(f"{s}_sets") / BLOCK), F.least(F.lit(8), F.ceil(F.col(f"{s}_sets") / 256))).cast("int").alias(f"{s}_blocks_") for s in "lr"]
+    crowded = ranked.groupBy(*by).agg(*sides).join(met, by).where((pairs >= CROWD) & (F.col("met_") > pairs * COST))
+    return written(crowded.select(*by, F.monotonically_increasing_id().alias("crowd_"), *blocks))
+
+
+def _rare_pairs(ranked: DataFrame, by: list[str], least: float) -> DataFrame:
+    """(l_id, r_id, l_set, r_set) of sets that share a rare member and may be alike, each pair once.
 
     A pair is met at the first member that the two have in common, in one order of rarity for both. It is passed over there if
     the sizes, or the members that are left behind that one, can't make it alike enough."""
-    side = lambda df, s: df.select(*by, F.lit(s).alias("side_"), set_key(members).alias("set_")).where(F.size("set_") > 0).distinct()
-    ranked = written(_by_rarity(side(left, "l").unionByName(side(right, "r")), by))
     l, r = (_prefixes(ranked, by, least, s) for s in "lr")  # noqa: E741
     both = l.join(r, [*by, "member_"])
     n, m = F.col("l_n"), F.col("r_n")
     both = both.where((F.least(n, m) >= F.greatest(n, m) * least - 1e-9) & (F.least(n - F.col("l_at"), m - F.col("r_at")) >= (n + m) * (least / (1 + least)) - 1e-9))
     first = F.size(F.array_intersect(F.slice("l_ranked", F.lit(1), F.col("l_at") + 1), F.slice("r_ranked", F.lit(1), F.col("r_at") + 1))) == 1
-    return both.where(first).select(*by, "l_set", "r_set")
+    return both.where(first).select("l_id", "r_id", "l_set", "r_set")
+
+
+def _codes(sets: pa.Array, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the set, place in the vocabulary) of the members of sets that the vocabulary has."""
+    code = pc.index_in(sets.flatten(), value_set=vocabulary)
+    known = pc.is_valid(code).to_numpy(zero_copy_only=False)
+    at = np.repeat(np.arange(len(sets)), pc.list_value_length(sets).to_numpy(zero_copy_only=False))
+    return at[known], code.drop_null().to_numpy(zero_copy_only=False)
+
+
+def _alike(left: pa.RecordBatch, right: pa.RecordBatch, least: float) -> Iterator[pa.RecordBatch]:
+    """The pairs of two blocks (id, set) that are alike: shared members are counted by products of matrices of members, of which
+    COLUMNS stand side by side at once, for a slice of the right block after another."""
+    vocabulary = left.column(1).flatten().unique()
+    n, m = (pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False).astype("float64") for b in (left, right))
+    kind, share = ("float32" if max(n.max(), m.max()) < 10_000 else "float64"), least / (1 + least)
+    slack = 1e-3 + 1e-5 * (n.max() + m.max()) if kind == "float32" else 1e-6
+    l_at, l_code = _codes(left.column(1), vocabulary)
+    l_ids, r_ids = (b.column(0).to_numpy() for b in (left, right))
+    made = {}
+
+    def held(chunk: int) -> np.ndarray:
+        if chunk not in made:
+            made.clear()
+            inside = l_code // COLUMNS == chunk
+            made[chunk] = np.zeros((len(n), min(COLUMNS, len(vocabulary) - chunk * COLUMNS)), kind)
+            made[chunk][l_at[inside], l_code[inside] % COLUMNS] = 1
+        return made[chunk]
+
+    for begin in range(0, len(m), SLICE):
+        part, sizes = right.column(1).slice(begin, SLICE), m[begin : begin + SLICE]
+        at, code = _codes(part, vocabulary)
+        # What two sets share, less the least that they must share
+        over = (-share * (sizes[:, None] + n[None, :])).astype(kind)
+        for chunk in np.unique(code // COLUMNS):
+            inside = code // COLUMNS == chunk
+            asked = np.zeros((len(sizes), held(chunk).shape[1]), kind)
+            asked[at[inside], code[inside] % COLUMNS] = 1
+            over += asked @ held(chunk).T
+        r, l = np.nonzero(over > -slack)  # noqa: E741
+        total = sizes[r] + n[l]
+        both = np.rint(over[r, l] + share * total)
+        similarity = both / (total - both)
+        fits = similarity >= least
+        yield pa.RecordBatch.from_arrays([pa.array(l_ids[l[fits]]), pa.array(r_ids[begin:][r[fits]]), pa.array(similarity[fits])], names=["l_id", "r_id", "similarity"])
+
+
+def _crowded_pairs(ranked: DataFrame, crowds: DataFrame, by: list[str], least: float) -> DataFrame:
+    """(l_id, r_id, similarity) of all alike sets of the crowds. Each side's sets are dealt to blocks, every block of one side
+    meets each of the other in some task, and a task holds two blocks at a time."""
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("id_"), F.col(n)).cast("int")
+    sets = ranked.join(crowds, by)
+    columns = ["crowd_", "side_", "id_", "set_"]
+    l = sets.where("side_ = 'l'").select(*columns, own("l_blocks_").alias("l_at_"), every("r_blocks_").alias("r_at_"))  # noqa: E741
+    r = sets.where("side_ = 'r'").select(*columns, every("l_blocks_").alias("l_at_"), own("r_blocks_").alias("r_at_"))
+    met = ["crowd_", "l_at_", "r_at_"]
+    tasks = int(ranked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = l.unionByName(r).repartition(tasks, *met).sortWithinPartitions(*met, "side_").select(*met, (F.col("side_") == "r").cast("int").alias("is_r_"), "id_", "set_")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sides = None, ([], [])
+        whole = lambda rows: pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
+        for b in batches:
+            key = np.stack([b.column(i).to_numpy() for i in range(4)])
+            cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1), b.num_rows] if b.num_rows else []
+            for begin, end in zip(cuts, cuts[1:]):
+                if now != (at := tuple(key[:3, begin])):
+                    if sides[0] and sides[1]:
+                        yield from _alike(whole(sides[0]), whole(sides[1]), least)
+                    now, sides = at, ([], [])
+                sides[key[3, begin]].append(pa.RecordBatch.from_arrays([b.column(4), b.column(5)], names=["id", "set"]).slice(begin, end - begin))
+        if sides[0] and sides[1]:
+            yield from _alike(whole(sides[0]), whole(sides[1]), least)
+
+    return dealt.mapInArrow(run, "l_id long, r_id long, similarity double")
+
+
+def _pairs(ranked: DataFrame, by: list[str], least: float) -> tuple[DataFrame, DataFrame | None]:
+    """The pairs to be compared that share a rare member, and the alike ones of crowds (None if there is no crowd)."""
+    crowds = _crowds(ranked, by, least)
+    if crowds.isEmpty():
+        return _rare_pairs(ranked, by, least), None
+    return _rare_pairs(ranked.join(crowds, by, "left_anti"), by, least), _crowded_pairs(ranked, crowds, by, least)
+
+
+def _similar_ids(ranked: DataFrame, by: list[str], least: float) -> DataFrame:
+    """(l_id, r_id, similarity) of the alike sets of ranked."""
+    rare, crowded = _pairs(ranked, by, least)
+    found = rare.select("l_id", "r_id", jaccard(F.col("l_set"), F.col("r_set")).alias("similarity")).where(F.col("similarity") >= least)
+    return found if crowded is None else found.unionByName(crowded)
+
+
+def _named(ranked: DataFrame, by: list[str], side: str) -> DataFrame:
+    return ranked.where(F.col("side_") == side).select(*(by if side == "l" else []), F.col("id_").alias(f"{side}_id"), F.col("set_").alias(f"{side}_set"))
+
+
+def candidate_sets(left: DataFrame, right: DataFrame, members: str, by: list[str], least: float) -> DataFrame:
+    """(by, l_set, r_set) of distinct sets that may be alike at `least` or more (above 0), each pair once. Where nothing is rare
+    all pairs are compared at once, and these are the alike ones."""
+    ranked = _sides(left, right, members, by)
+    rare, crowded = _pairs(ranked, by, least)
+    ids = rare.select("l_id", "r_id") if crowded is None else rare.select("l_id", "r_id").unionByName(crowded.select("l_id", "r_id"))
+    return ids.join(_named(ranked, by, "l"), "l_id").join(_named(ranked, by, "r"), "r_id").select(*by, "l_set", "r_set")
 
 
 def similar_sets(left: DataFrame, right: DataFrame, members: str, by: list[str], least: float) -> DataFrame:
     """(by, l_set, r_set, similarity): the distinct sets (arrays in order, without blanks and repeats) of left and right, within
     equal `by`, whose Jaccard likeness is `least` or more. Null `by` match nothing."""
-    return candidate_sets(left, right, members, by, least).withColumn("similarity", jaccard(F.col("l_set"), F.col("r_set"))).where(F.col("similarity") >= least)
+    ranked = _sides(left, right, members, by)
+    return _similar_ids(ranked, by, least).join(_named(ranked, by, "l"), "l_id").join(_named(ranked, by, "r"), "r_id").select(*by, "l_set", "r_set", "similarity")
 
 
 def similar_rows(left: DataFrame, right: DataFrame, members: str, by: list[str], least: float) -> DataFrame:
-    """JN-26: the rows of left and right with alike sets: by, the other columns of both (without `members`) and similarity."""
-    pairs = similar_sets(left, right, members, by, least)
-    l, r = (df.withColumn(f"{s}_set", set_key(members)).drop(members) for df, s in ((left, "l"), (right, "r")))  # noqa: E741
-    return l.join(pairs, [*by, "l_set"]).join(r, [*by, "r_set"]).drop("l_set", "r_set")
+    """JN-26: the rows of left and right with alike sets: by, the other columns of both (without `members`) and similarity. Pairs
+    go by the sets' numbers, so no set is sent once for each that is like it."""
+    ranked = _sides(left, right, members, by)
+    rows = lambda df, s: df.withColumn("set_", set_key(members)).drop(members).join(ranked.where(F.col("side_") == s).select(*by, "set_", F.col("id_").alias(f"{s}_id")), [*by, "set_"]).drop("set_")
+    l, r = rows(left, "l"), rows(right, "r").drop(*by)  # noqa: E741
+    found = l.join(_similar_ids(ranked, by, least), "l_id").join(r, "r_id")
+    return found.select(*by, *(c for c in l.columns if c not in (*by, "l_id")), *(c for c in r.columns if c != "r_id"), "similarity")
 
 
 def _runs(c: Column, k: int) -> Column:
