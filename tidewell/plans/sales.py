@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidewell.functions import dates, numbers, text
 from tidewell.operators import ledger as L
 from tidewell.operators import joins, periods
+from tidewell.operators.storage import written
 from tidewell.plans.fixtures import LEDGER, ledger, table
 from tidewell.plans.registry import query
 
@@ -217,7 +218,7 @@ def merge_master(spark, sf):
 def identities(spark, sf):
     both = table(spark, sf, "orders").join(table(spark, sf, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
     sets = both.groupBy("o_custkey").agg(F.array_sort(F.collect_set(F.concat(F.lit("p"), F.col("l_partkey") % 12))).alias("patients"))
-    sets = sets.withColumn("owner", F.concat(F.lit("owner"), F.col("o_custkey") % 200))
+    sets = written(sets.withColumn("owner", F.concat(F.lit("owner"), F.col("o_custkey") % 200)))  # read as owners and as customers
     ids = sets.where("o_custkey % 2 = 0 or o_custkey % 3 = 0").select("owner", F.concat(F.lit("c"), F.col("o_custkey")).alias("customer"), "patients")
     return L.resolved_owners(sets.where("o_custkey % 2 = 0").select("owner", "patients").distinct(), ids)
 
