@@ -11,6 +11,7 @@ import re
 import zipfile
 from collections.abc import Iterator
 from datetime import datetime, timedelta
+from functools import lru_cache
 from xml.etree.ElementTree import ParseError, iterparse
 from xml.sax.saxutils import escape
 
@@ -18,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewell.operators.storage import written
 from tidewell.sources import readers
 
 ROWS = "file string, sheet int, sheet_name string, row_no int, cells array<string>"
@@ -30,6 +32,7 @@ INTOVET = {"service_date": 0, "customer_no": 1, "customer_name": 2, "patient_nam
 INTOVET_AMOUNT = 70
 
 
+@lru_cache(4096)
 def _local(tag: str) -> str:
     return tag.rpartition("}")[2]
 
@@ -73,6 +76,7 @@ def _date_styles(archive: zipfile.ZipFile) -> set[int]:
     return {i for i, f in enumerate(styles) if f in own}
 
 
+@lru_cache(4096)
 def _shown_date(serial: float, from_1904: bool) -> str:
     """A date, with a time if there is one, from its serial number; the first one counts a day in 1900 that was not."""
     base = datetime(1904, 1, 1) if from_1904 else datetime(1899, 12, 30) + timedelta(days=serial < 60)
@@ -80,9 +84,10 @@ def _shown_date(serial: float, from_1904: bool) -> str:
     return at.strftime("%Y-%m-%d" if (at.hour, at.minute, at.second) == (0, 0, 0) else "%Y-%m-%d %H:%M:%S")
 
 
-def _column(reference: str) -> int:
+@lru_cache(32768)
+def _column(letters: str) -> int:
     n = 0
-    for c in re.match("[A-Z]*", reference)[0]:
+    for c in re.match("[A-Z]*", letters)[0]:
         n = 26 * n + ord(c) - 64
     return n - 1
 
@@ -96,7 +101,11 @@ def _sheets(archive: zipfile.ZipFile) -> tuple[list[tuple[str, str]], bool]:
 
 
 def _cell(c, strings: list[str], dates: set[int], from_1904: bool) -> str:
-    kind, value = c.get("t", "n"), next((v.text or "" for v in c if _local(v.tag) == "v"), "")
+    kind, value = c.get("t", "n"), ""
+    for v in c:
+        if _local(v.tag) == "v":
+            value = v.text or ""
+            break
     if kind == "inlineStr":
         return "".join(_text(i) for i in c if _local(i.tag) == "is")
     if kind == "s":
@@ -120,8 +129,9 @@ def sheet_rows(content: bytes) -> Iterator[tuple[int, str, int, list[str]]]:
             for row in _elements(archive, part, "row"):
                 last, cells = int(row.get("r", last + 1)), []
                 for c in row:
-                    at = _column(c.get("r")) if c.get("r") else len(cells)
-                    cells += [""] * (at - len(cells)) + [_cell(c, strings, dates, from_1904)]
+                    if reference := c.get("r"):
+                        cells += [""] * (_column(reference.rstrip("0123456789")) - len(cells))
+                    cells.append(_cell(c, strings, dates, from_1904))
                 if cells:
                     yield k, name, last, cells
 
@@ -180,6 +190,7 @@ _HEAD = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n'
 _NO_XML = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f￾￿]")
 
 
+@lru_cache(32768)
 def _name(at: int) -> str:
     out = ""
     at += 1
@@ -189,31 +200,44 @@ def _name(at: int) -> str:
     return out
 
 
+@lru_cache(4096)
+def _serial(value: str) -> str:
+    return repr((datetime.fromisoformat(value) - datetime(1899, 12, 30)) / timedelta(days=1))
+
+
 class _Book:
-    """A workbook being written, sheet after sheet and row after row; texts are kept once each."""
+    """A workbook being written, sheet after sheet and row after row; texts are kept once each, rows go to the archive some at a
+    time."""
 
     def __init__(self):
-        self.bytes, self.sheets, self.strings, self.part = io.BytesIO(), [], {}, None
+        self.bytes, self.sheets, self.strings, self.part, self.waiting = io.BytesIO(), [], {}, None, []
         self.archive = zipfile.ZipFile(self.bytes, "w", zipfile.ZIP_DEFLATED)
 
-    def row(self, sheet: str, row_no: int, cells: list[dict]) -> None:
+    def row(self, sheet: str, row_no: int, kinds: list[str], values: list[str]) -> None:
         if not self.sheets or self.sheets[-1] != sheet:
             self._close()
             self.sheets.append(sheet)
             self.part = self.archive.open(f"xl/worksheets/sheet{len(self.sheets)}.xml", "w")
             self.part.write(f"{_HEAD}<worksheet {_MAIN}><sheetData>".encode())
-        shown = "".join(self._cell(f"{_name(i)}{row_no}", c["kind"], c["value"]) for i, c in enumerate(cells) if c and c["value"])
-        self.part.write(f'<row r="{row_no}">{shown}</row>'.encode())
+        shown = "".join([self._cell(f"{_name(i)}{row_no}", kind, value) for i, (kind, value) in enumerate(zip(kinds, values)) if value])
+        self.waiting.append(f'<row r="{row_no}">{shown}</row>')
+        if len(self.waiting) == BATCH:
+            self._flush()
 
     def _cell(self, at: str, kind: str, value: str) -> str:
         if kind == "number":
             return f'<c r="{at}"><v>{escape(value)}</v></c>'
         if kind == "date":
-            return f'<c r="{at}" s="1"><v>{(datetime.fromisoformat(value) - datetime(1899, 12, 30)) / timedelta(days=1)!r}</v></c>'
+            return f'<c r="{at}" s="1"><v>{_serial(value)}</v></c>'
         return f'<c r="{at}" t="s"><v>{self.strings.setdefault(_NO_XML.sub("", value), len(self.strings))}</v></c>'
 
+    def _flush(self) -> None:
+        self.part.write("".join(self.waiting).encode())
+        self.waiting.clear()
+
     def _close(self) -> None:
         if self.part:
+            self._flush()
             self.part.write(b"</sheetData></worksheet>")
             self.part.close()
 
@@ -249,16 +273,19 @@ def packed(sheets: DataFrame) -> DataFrame:
         out = lambda: pa.RecordBatch.from_arrays([pa.array([now]), pa.array([book.done()], pa.binary())], names=["path", "content"])
         now, book = None, None
         for b in batches:
-            for file, name, row_no, cells in zip(*(c.to_pylist() for c in b.columns)):
+            kinds, values = (c.to_pylist() for c in b.column(3).values.flatten())
+            ends = b.column(3).offsets.to_pylist()
+            for file, name, row_no, begin, end in zip(*(c.to_pylist() for c in b.columns[:3]), ends, ends[1:]):
                 if file != now:
                     if book:
                         yield out()
                     now, book = file, _Book()
-                book.row(name, row_no, cells)
+                book.row(name, row_no, kinds[begin:end], values[begin:end])
         if book:
             yield out()
 
-    ordered = sheets.repartition("file").sortWithinPartitions("file", "sheet", "row_no")
+    # A number that is asked for, as small partitions would be put together by their bytes, not by the work on them
+    ordered = sheets.repartition(int(sheets.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file").sortWithinPartitions("file", "sheet", "row_no")
     return ordered.select("file", "sheet_name", "row_no", "cells").mapInArrow(run, "path string, content binary")
 
 
@@ -280,8 +307,8 @@ def amount_positions(head: DataFrame, fallback: int, group: str = "청구금액"
 
 def intovet(found: DataFrame) -> DataFrame:
     """SRC-01: visits of the first sheet of each workbook: two header rows and a last row of totals are left out, the amount
-    stands where the header says."""
-    first = found.where("sheet = 0")
+    stands where the header says. The rows are written once, as headers and totals are read from them too."""
+    first = written(found.where("sheet = 0"))
     at = amount_positions(first.where("row_no <= 2"), INTOVET_AMOUNT)
     named = first.where("row_no > 2").join(at, "file", "left").select("file", "row_no", *(_at(i).alias(f"c{i}") for i in INTOVET.values()), F.coalesce(_at(F.coalesce("at", F.lit(INTOVET_AMOUNT))), F.lit("")).alias("c99"))
     who = [f"c{INTOVET[c]}" for c in ("customer_no", "customer_name", "patient_name")]
@@ -289,9 +316,10 @@ def intovet(found: DataFrame) -> DataFrame:
 
 
 def woorien(found: DataFrame) -> DataFrame:
-    """SRC-04: treatments of the first sheet of each workbook, below one header row; a last row of totals is left out."""
+    """SRC-04: treatments of the first sheet of each workbook, below one header row; a last row of totals is left out.
+    The rows are written once, as totals are told from them too."""
     at = readers.POSITIONS["woorien"]
-    named = found.where("sheet = 0 and row_no > 1").select("file", "row_no", *(_at(i).alias(f"c{i}") for i in at.values()))
+    named = written(found.where("sheet = 0 and row_no > 1")).select("file", "row_no", *(_at(i).alias(f"c{i}") for i in at.values()))
     who = [f"c{at[c]}" for c in ("customer_no", "customer_name", "patient_name")]
     return readers.positional(readers.without_totals(named, who, [f"c{at['amount']}"]), at)
 
@@ -304,7 +332,9 @@ def _day(c: Column) -> Column:
 
 def dashboard(found: DataFrame, hospital: str, account: str, customer: str) -> dict[str, DataFrame]:
     """SRC-08: the daily tables of a dashboard's first four sheets, by name: blog, place, powerlink and placead. Rows without a
-    date, and ads without a campaign and a group, are left out; what is no number counts as 0."""
+    date, and ads without a campaign and a group, are left out; what is no number counts as 0. The rows are written once for all
+    four."""
+    found = written(found)
     whole = lambda i: F.coalesce(_at(i).try_cast("double").cast("long"), F.lit(0))
     fixed = {"hospital_id": F.lit(hospital), "metadata": F.lit("{}")}
     daily = found.where(F.col("row_no") > 1).withColumn("metric_date", _day(_at(0))).where("metric_date is not null")
