@@ -284,8 +284,11 @@ def packed(sheets: DataFrame) -> DataFrame:
         if book:
             yield out()
 
-    # A number that is asked for, as small partitions would be put together by their bytes, not by the work on them
-    ordered = sheets.repartition(int(sheets.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file").sortWithinPartitions("file", "sheet", "row_no")
+    # A number that is asked for, as small partitions would be put together by their bytes, not by the work on them; some a core,
+    # as each task begins with a start of Python
+    spark = sheets.sparkSession
+    tasks = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    ordered = sheets.repartition(tasks, "file").sortWithinPartitions("file", "sheet", "row_no")
     return ordered.select("file", "sheet_name", "row_no", "cells").mapInArrow(run, "path string, content binary")
 
 
