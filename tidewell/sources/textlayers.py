@@ -1,29 +1,53 @@
 """SRC-20: lines of a document's text layer from its positioned items (doc_id, page, seq, x, y, width, size, text).
 
 Items are what a page draws, in the order in which it does (seq); y grows upwards. All is Column code: a page's items are
-grouped by runs or bands, joined in order of x, and numbered from the top."""
+gathered, cut into runs or bands, joined in order of x, and numbered from the top."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.functions.columns import once
+
 PAGE = ("doc_id", "page")
 
 
-def _joined() -> Column:
-    """The texts of a group's items in order of x (then seq), with a space where the gap before one is more than a third of its
-    size and three units: cells of a table are told apart, letters that are set close are not."""
-    items = F.array_sort(F.collect_list(F.struct("x", "seq", "width", "size", F.coalesce("text", F.lit("")).alias("text"))))
-    start = F.struct(F.lit("").alias("text"), F.lit(None).cast("double").alias("end"))
-    wide = lambda a, i: (i["x"] - a["end"]) > F.greatest(F.lit(3.0), i["size"] * 0.35)
-    add = lambda a, i: F.struct(F.concat(a["text"], F.when(F.coalesce(wide(a, i), F.lit(False)), " ").otherwise(""), i["text"]).alias("text"), (i["x"] + i["width"]).alias("end"))
-    return F.aggregate(items, start, add)["text"]
+def _text(items: Column) -> Column:
+    """The texts of a line's items, which are in order of x (then seq), with a space where the gap before one is more than a third
+    of its size and three units: cells of a table are told apart, letters that are set close are not."""
+
+    def piece(item: Column, i: Column) -> Column:
+        before = F.get(items, i - 1)
+        wide = (item["x"] - (before["x"] + before["width"])) > F.greatest(F.lit(3.0), item["size"] * 0.35)
+        return F.concat(F.when(F.coalesce(wide, F.lit(False)), " ").otherwise(""), item["text"])
+
+    return F.array_join(F.transform(items, piece), "")
+
+
+def _lines(items: DataFrame, height: Column, drawn: bool, trimmed: str) -> DataFrame:
+    """Items (as _placed gives them) as numbered lines: neighbours of one height, in the order in which they were drawn or from below.
+
+    A page's items are gathered once, as an array, and sorted, cut into lines and joined there, so an item moves no more than once
+    and nothing is sorted anew for lines or their numbers."""
+    item = F.struct("x", "seq", "width", "size", "text").alias("item")
+    order = (F.col("seq").alias("drawn"), height.alias("height")) if drawn else (height.alias("height"),)
+    made = items.select(*PAGE, F.struct(*order, item).alias("item"))  # here in generated code, which collect_list is not
+    pages = made.groupBy(*PAGE).agg(F.collect_list("item").alias("items"))
+    pages = pages.select(*PAGE, F.sort_array("items").alias("items"))
+    at = lambda i: F.get(F.col("items"), i)
+    starts = F.filter(F.sequence(F.lit(0), F.size("items") - 1), lambda i: (i == 0) | (at(i)["height"] != at(i - 1)["height"]))
+    pages = pages.select(*PAGE, "items", starts.alias("starts"))
 
+    def line(start: Column, k: Column) -> Column:
+        end = F.coalesce(F.get(F.col("starts"), k + 1), F.size("items"))
+        of = F.transform(F.sequence(start, end - 1), lambda i: at(i)["item"])
+        text = once(F.sort_array(of) if drawn else of, _text)
+        return F.struct(at(start)["height"].alias("height"), (-k).alias("place"), F.regexp_replace(text, trimmed, "").alias("text"))
 
-def _numbered(lines: DataFrame, *order: Column) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy(*PAGE).orderBy(*order)).alias("line_no")
-    return lines.where(r"not text rlike '(?U)^\\s*$'").select(*PAGE, place, "text")
+    lines = F.filter(F.transform("starts", line), lambda v: ~v["text"].rlike(r"(?U)^\s*$"))
+    told = pages.select(*PAGE, F.posexplode(F.sort_array(lines, asc=False)).alias("at", "line"))
+    return told.select(*PAGE, (F.col("at") + 1).alias("line_no"), "line.text")
 
 
 def _placed(items: DataFrame) -> DataFrame:
@@ -34,19 +58,13 @@ def _placed(items: DataFrame) -> DataFrame:
 def stream_lines(items: DataFrame) -> DataFrame:
     """(doc_id, page, line_no, text): items that follow each other at one height are a line; lines go from the top, those of one
     height in the order in which they were drawn. Items without a height, and blank lines, are left out."""
-    order = Window.partitionBy(*PAGE).orderBy("seq")
-    fresh = F.coalesce((F.col("y") != F.lag("y").over(order)).cast("int"), F.lit(0))
-    runs = _placed(items).withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    lines = runs.groupBy(*PAGE, "run").agg(F.first("y").alias("y"), F.regexp_replace(_joined(), r"(?U)\s+$", "").alias("text"))
-    return _numbered(lines, F.desc("y"), F.col("run"))
+    return _lines(_placed(items), F.col("y"), True, r"(?U)\s+$")
 
 
 def band_lines(items: DataFrame) -> DataFrame:
     """(doc_id, page, line_no, text): all items of a page at one height, rounded, are a line, whenever they were drawn: labels meet
     the values beside them."""
-    bands = _placed(items).withColumn("band", F.floor(F.col("y") + 0.5))
-    lines = bands.groupBy(*PAGE, "band").agg(F.regexp_replace(_joined(), r"(?U)^\s+|\s+$", "").alias("text"))
-    return _numbered(lines, F.desc("band"))
+    return _lines(_placed(items), F.floor(F.col("y") + 0.5), False, r"(?U)^\s+|\s+$")
 
 
 def sufficient(items: DataFrame) -> DataFrame:
