@@ -33,6 +33,13 @@ def since(rows: DataFrame, day: str, first: str, everything: bool = False) -> Da
     return rows if everything else rows.where(F.col(day) >= F.lit(first).cast("date"))
 
 
+def scopes(rows: DataFrame, day: str, firsts: dict[str, str | None]) -> DataFrame:
+    """FLT-06: rows with scope, once for each scope that they are in: those from its first day on, or all of them; rows are read
+    once, however many scopes there are."""
+    names = [F.lit(n) if first is None else F.when(F.col(day) >= F.lit(first).cast("date"), n) for n, first in firsts.items()]
+    return rows.withColumn("scope", F.explode(F.array_compact(F.array(*names))))
+
+
 def kept_added_removed(before: Column, after: Column) -> tuple[Column, Column, Column]:
     """SET-04: members of both, of the later only and of the earlier only; repeats stay, as they do in a comparison of lists."""
     in_ = lambda a, b: F.filter(a, lambda x: F.array_contains(b, x))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,8 +24,10 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_linenumber as line_no",
         "cast(l_extendedprice as decimal(18,2)) as amount",
     )
-    back = base.where("run_id % 7 = 0 or (run_id % 11 = 0 and line_no = 1)").withColumn("amount", (-base["amount"]).cast("decimal(18,2)"))
-    return base.unionByName(back)
+    # The reversed lines beside their own, so that the join is worked out once
+    back = "run_id % 7 = 0 or (run_id % 11 = 0 and line_no = 1)"
+    both = base.selectExpr("*", f"explode(case when {back} then array(false, true) else array(false) end) as reversed")
+    return both.withColumn("amount", F.when(F.col("reversed"), -F.col("amount")).otherwise(F.col("amount")).cast("decimal(18,2)")).drop("reversed")
 
 
 LEDGER = """
@@ -137,6 +140,4 @@ reviews as (
 
 
 def _same(a: str, b: str):
-    from pyspark.sql import functions as F
-
     return F.col(a) == F.col(b)
