@@ -16,3 +16,9 @@ def test_scopes_of_days(spark):
     rows = spark.createDataFrame([(1, "2024-01-01"), (2, "2024-01-02"), (3, None)], "k int, day string").selectExpr("k", "cast(day as date) as day")
     found = choices.scopes(rows, "day", {"all": None, "late": "2024-01-02"}).select("k", "scope").collect()
     assert sorted(map(tuple, found)) == [(1, "all"), (2, "all"), (2, "late"), (3, "all")]
+
+
+def test_owners_and_identities_read_the_ledger_once(spark):
+    """The join reads what was written of both, not the ledger's tables."""
+    plan = registry.queries()["JN-04"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem.parquet" not in plan and "orders.parquet" not in plan

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidewell.functions.numbers import change_percent, merged_set
 from tidewell.operators import billing, choices, ledger as L, periods, ranks as K, scans, similarity
 from tidewell.operators.ads import level as grain
+from tidewell.operators.storage import written
 from tidewell.plans.fixtures import ADS, LEDGER, RANKS, REVIEWS, USAGE, ads, ledger, ranks, reviews, table, usage
 from tidewell.plans.registry import query
 
@@ -108,9 +109,10 @@ OWNERS = """owners as (select distinct hospital_id, chart_type, customer from le
 
 
 def _owners(spark, sf):
-    rows = ledger(spark, sf)
+    """Owners, and the identities of those with a large amount; the ledger is read once for both."""
     key = ["hospital_id", "chart_type", "customer"]
-    return rows.select(*key).distinct(), rows.where("amount > 50000").select(*key).distinct().withColumn("identity", F.concat(F.lit("id"), "customer")), key
+    owners = written(ledger(spark, sf).groupBy(*key).agg(F.max("amount").alias("most")))
+    return owners.select(*key), owners.where("most > 50000").select(*key).withColumn("identity", F.concat(F.lit("id"), "customer")), key
 
 
 @query("JN-02", f"with {LEDGER}, {OWNERS} select * from owners join mapped using (hospital_id, chart_type, customer)")
