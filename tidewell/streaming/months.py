@@ -58,7 +58,7 @@ class MonthSums:
         month = F.trunc(self.day, "month").alias("month")
         rows = written(changes.where(F.col(self.day).isNotNull()).select(*self.keys, month, self.visit, F.col(self.value).cast(MONEY).alias("value_"), sign.alias("change")))
         months = [*self.keys, "month"]
-        each = rows.where(F.col(self.visit).isNotNull()).groupBy(*months, self.visit).agg(F.sum("change").alias("n")).where("n <> 0")
+        each = written(rows.where(F.col(self.visit).isNotNull()).groupBy(*months, self.visit).agg(F.sum("change").alias("n")).where("n <> 0"))
         seen = written(self._added(self.visits, each, {"n": "long"}))
         turned = (F.col("n") > 0).cast("int") - (F.col("before_n") > 0).cast("int")
         steps = seen.groupBy(*months).agg(F.sum(turned).alias("visits")).where("visits <> 0")
@@ -68,8 +68,8 @@ class MonthSums:
         delta = delta.groupBy(*months).agg(F.sum("value").cast(MONEY).alias("value"), F.sum("n_rows").alias("n_rows"), F.sum("visits").alias("visits"))
         made = self._added(self.sums, delta, {"value": MONEY, "n_rows": "long", "visits": "long"}).select(*months, "value", "n_rows", "visits")
         serial = lambda t: F.lit(t.number(spark) + 1).cast("long").alias("serial")
-        self.sums.apply(made.select("*", serial(self.sums), (F.col("n_rows") == 0).alias("gone")), writer, number)
-        self.visits.apply(seen.select(*months, self.visit, "n", serial(self.visits), (F.col("n") == 0).alias("gone")), writer, number)
+        self.sums.apply(made.select("*", serial(self.sums), (F.col("n_rows") == 0).alias("gone")), writer, number, True)
+        self.visits.apply(seen.select(*months, self.visit, "n", serial(self.visits), (F.col("n") == 0).alias("gone")), writer, number, True)
 
     def read(self, spark: SparkSession) -> DataFrame:
         """keys, month, value, n_rows and visits of the months that have rows."""

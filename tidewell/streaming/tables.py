@@ -109,15 +109,16 @@ class KeyedTable:
         rows = self._stored(spark, manifest, one)
         return rows.unionByName(self._newest(self._stored(spark, manifest, many), "generation_")) if many else rows
 
-    def apply(self, batch: DataFrame, writer: str = "", number: int | None = None) -> bool:
-        """Bring a batch in; False if it has been brought in before, as told by the writer's last number."""
+    def apply(self, batch: DataFrame, writer: str = "", number: int | None = None, unique: bool = False) -> bool:
+        """Bring a batch in; False if it has been brought in before, as told by the writer's last number. With `unique`, the caller
+        knows that no key comes twice in the batch, and it is not gathered by key."""
         spark = batch.sparkSession
         files = _Files(spark, self.path)
         old = self._manifest(files)
         if number is not None and old["batches"].get(writer, -1) >= number:
             return False
         new = json.loads(json.dumps(old)) | {"number": old["number"] + 1}
-        rows = self._newest(batch).withColumn("generation_", F.lit(new["number"]).cast("long"))
+        rows = (batch if unique else self._newest(batch)).withColumn("generation_", F.lit(new["number"]).cast("long"))
         if new["schema"] is None:
             new["schema"] = rows.schema.jsonValue()
         stored = StructType.fromJson(new["schema"])
