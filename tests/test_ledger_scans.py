@@ -22,3 +22,14 @@ def test_owners_and_identities_read_the_ledger_once(spark):
     """The join reads what was written of both, not the ledger's tables."""
     plan = registry.queries()["JN-04"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "lineitem.parquet" not in plan and "orders.parquet" not in plan
+
+
+@pytest.mark.parametrize("name", ["FLT-12"])
+def test_lines_are_not_sorted_for_their_orders(spark, name):
+    """Whatever the sizes, a task keeps its orders, and lines pass by them."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "ShuffledHashJoin" in plan and "BuildRight" in plan and "SortMergeJoin" not in plan

@@ -10,10 +10,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with their orders. A task hashes its orders, of which it needs two keys each, in place of sorting their lines, which
+    are many times as many and as wide as what is made of them."""
+    return table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").hint("shuffle_hash"), _same("l_orderkey", "o_orderkey"))
+
+
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of receipts; whole receipts of every seventh order, and first lines of every eleventh, are reversed."""
-    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), _same("l_orderkey", "o_orderkey"))
-    base = lines.selectExpr(
+    base = order_lines(spark, sf_dir).selectExpr(
         "concat('h', o_custkey % 5) as hospital_id",
         "case o_custkey % 3 when 0 then 'intovet' when 1 then 'woorien' else 'efriends' end as chart_type",
         "cast(l_shipdate as date) as service_date",
