@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewell.operators import automata, buckets
+from tidewell.plans import registry
 
 
 def test_states_are_those_of_a_loop(spark):
@@ -131,3 +132,24 @@ def test_buckets_are_those_of_a_line_by_line_reader(spark, kind):
     for d, texts in docs.items():
         assert [told[d, n] for n in range(len(texts))] == read_on(texts, kind), texts
     assert len(set(told.values())) >= 5
+
+
+def test_lines_of_charts_move_once(spark):
+    """Beside the join with orders, lines are dealt once, by chart; they are read once, and not gathered."""
+    plan = registry.queries()["TXT-01-buckets"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 2 and plan.count("Exchange hashpartitioning(doc_id") == 1 and plan.count("Exchange") == 3
+    assert "collect_list" not in plan
+
+
+@pytest.mark.parametrize("size", [1, 7, 64, 100])
+def test_states_go_on_from_batch_to_batch(spark, size):
+    """Keys that begin, end and go on at the edges of Arrow batches and spans, and a column that is called as the answer."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    try:
+        rows = spark.range(400).selectExpr("id div 150 as k", "id as n", "'own' as state", "cast(id % 3 = 0 as int) as e").repartition(3)
+        moves = F.when(F.col("e") == 1, F.array(F.lit(1), F.lit(2), F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1), F.lit(2)))
+        found = automata.states_before(rows, ["k"], ["n"], moves, 3, start=1, name="met").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    turns = lambda n: len([i for i in range(n // 150 * 150, n) if i % 3 == 0])
+    assert len(found) == 400 and all(x["met"] == (1 + turns(x["n"])) % 3 and x["state"] == "own" for x in found)

@@ -24,7 +24,7 @@ def test_owners_and_identities_read_the_ledger_once(spark):
     assert "lineitem.parquet" not in plan and "orders.parquet" not in plan
 
 
-@pytest.mark.parametrize("name", ["FLT-12"])
+@pytest.mark.parametrize("name", ["FLT-12", "TXT-01-buckets"])
 def test_lines_are_not_sorted_for_their_orders(spark, name):
     """Whatever the sizes, a task keeps its orders, and lines pass by them."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,7 +30,7 @@ _PIPED = rf"{_CELL}\[?\s*{_DATE}\s+\d{{1,2}}:\d{{2}}(?::\d{{2}})?\s*\|\s*"
 # Signs that a line shows, by name, in texts with single spaces
 SIGNS = {
     "visit_context": rf"\[?\s*(?:{_DATE}|\d{{4}}\s*년\s*\d{{1,2}}\s*월\s*\d{{1,2}}\s*일?)\s+{_TIME}\s*\]?|\[\s*20\d{{2}}-\d{{1,2}}-\d{{1,2}}\s+\d{{1,2}}:\d{{2}}:\d{{2}}\s*\]",
-    "report_table": r"(?=.*검사\s*항목)(?=.*검사\s*결과).*참고\s*(?:치|범위)|(?i)(?=.*\b(?:test|item)\b)(?=.*\bresult\b).*\breference\b",
+    "report_table": r"^(?=.*검사\s*항목)(?=.*검사\s*결과).*참고\s*(?:치|범위)|(?i)^(?=.*\b(?:test|item)\b)(?=.*\bresult\b).*\breference\b",
     "vaccination": r"(?i)^(?:▶\s*)?vaccination\b",
     "vitals_title": r"(?i)^바이탈$|^vital(?:\s*signs?)?$",
     "vitals": r"(?i)바이탈|vital",
@@ -45,7 +46,7 @@ SIGNS = {
     "document": r"(?i)^medical\s*record$",
     "soap": r"(?i)^s\.?\s*o\.?\s*a\.?\s*p\.?$",
     "loose_visit": rf"(?i)^\[?\s*{_DATE}\s+(?:(?:오전|오후|am|pm)\s*)?{_TIME}",
-    "signed": rf"(?i)(?=.*\bSign\b\s*[:：]).*{_DATE}",
+    "signed": rf"(?i)^(?=.*\bSign\b\s*[:：]).*{_DATE}",
     "subjective": r"(?i)^subjective\b",
     "moment": rf"^\[?\s*{_DATE}\s+\d{{1,2}}:\d{{2}}",
     "visit_header": _PIPED + _VISIT,
@@ -55,13 +56,14 @@ SIGNS = {
     "trend": r"진단\s*결과\s*추이",
     "anchor": rf"(?i){_CELL}\[?\s*{_DATE}\s+(?:(?:오전|오후|am|pm)\s*)?{_TIME}\b",
     "bare_moment": rf"^{_DATE}\s+{_TIME}$",
+    "visit_date": rf"(?i)^date\s*:\s*{_DATE}\b",
+    "beside": r"(?i)purpose of visit\s*:|record user\s*:",
 }
 
 
-def _signs(kind: str) -> dict[str, Column]:
-    """Whether a line (text_, and the next three) shows each sign, and what several of them tell together."""
-    seen = {n: F.col("text_").rlike(p) for n, p in SIGNS.items()}
-    soon = lambda p, n: F.coalesce(F.greatest(*(F.coalesce(F.col(f"next_{i}").rlike(p), F.lit(False)) for i in range(1, n + 1))), F.lit(False))
+def _signs(kind: str, text: Column) -> dict[str, Column]:
+    """Whether a line shows each sign, and what several of them tell together."""
+    seen = {n: text.rlike(p) for n, p in SIGNS.items()}
     lab = {
         "plusvet": F.lit(False), "intovet": seen["lab_exam"], "woorien_pms": seen["lab_exam"] | seen["lab_alone"] | seen["lab_words"],
         "efriends": seen["lab_exam"] | seen["lab_result"] | seen["lab_words"], "other": seen["lab_exam"] | seen["lab_words"],
@@ -72,7 +74,7 @@ def _signs(kind: str) -> dict[str, Column]:
     }[kind]
     seen["lab"] = lab
     seen["begins"] = seen["visit_context"] | seen["report_table"] | lab | begins
-    seen["visit"] = seen["moment"] & (seen["visit_header"] | soon(SIGNS["subjective"], 3))
+    seen["visit"] = seen["moment"] & seen["visit_header"]
     seen["boundary"] = seen["subjective"] | seen["signed"]
     seen["resumes"] = seen["panel"] | seen["visit_header"] | seen["subjective"] | seen["results_title"] | seen["report_table"] | seen["vaccination"] | seen["vitals_title"]
     seen["trends"] = seen["trend"] | seen["panel_title"]
@@ -137,9 +139,9 @@ def states_of(kind: str) -> list[str]:
     return [BASIC, *inner, *(SKIPPED + s for s in inner)]
 
 
-def _told(kind: str) -> tuple[Column, Column]:
-    """What a line does: for each state the number of the next one, and the line's bucket."""
-    states, signs, asked = states_of(kind), _signs(kind), rules(kind)
+def _told(kind: str, shown: dict[str, Column]) -> tuple[Column, Column]:
+    """What a line that shows these signs does: for each state the number of the next one, and the line's bucket."""
+    states, asked = states_of(kind), rules(kind)
     number = {s: i for i, s in enumerate(states)}
 
     def resolved(at: int, state: str) -> tuple[Column, Column]:
@@ -152,28 +154,48 @@ def _told(kind: str) -> tuple[Column, Column]:
         hit = resolved(at + 1, rule.as_if(state)) if rule.as_if else (F.lit(number[to]), F.lit(rule.bucket).cast("string"))
         if rule.sign is None:
             return hit
-        sign = ~F.col(rule.sign[4:]) if rule.sign.startswith("not ") else F.col(rule.sign)
+        sign = ~shown[rule.sign[4:]] if rule.sign.startswith("not ") else shown[rule.sign]
         return tuple(F.when(sign, h).otherwise(r) for h, r in zip(hit, resolved(at + 1, state)))
 
     made = [resolved(0, s) for s in states]
     return F.array(*(m for m, _ in made)), F.array(*(b for _, b in made))
 
 
+#: Signs that are also looked for in so many lines after a line, by chart system.
+AHEAD = {"plusvet": ("subjective", 3), "efriends": ("beside", 2)}
+
+
+def _names(kind: str) -> list[str]:
+    """The signs that a chart system needs of each line."""
+    return sorted({r.sign.removeprefix("not ") for r in rules(kind) if r.sign} | {"plusvet": {"subjective", "moment"}, "efriends": {"beside", "visit_date"}}.get(kind, set()))
+
+
+def _shown(kind: str) -> dict[str, Column]:
+    """The signs of a line with bits_, those that the next lines have a part in among them (ahead_: the bits of any of these)."""
+    at = {n: 1 << i for i, n in enumerate(_names(kind))}
+    found = {n: F.col("bits_").bitwiseAND(F.lit(bit)) != 0 for n, bit in at.items()}
+    if kind in AHEAD:
+        soon = F.col("ahead_").bitwiseAND(F.lit(at[AHEAD[kind][0]])) != 0
+        if kind == "plusvet":
+            found["visit"] |= found["moment"] & soon
+        else:  # a date, with the visit's purpose or its writer beside it or in the next two lines
+            found["begins"] |= found["visit_date"] & (found["beside"] | soon)
+    return found
+
+
 def assigned(lines: DataFrame, kind: str, *keys: str) -> DataFrame:
     """lines (keys, line_no, text) with bucket; null for titles that belong to none and for what is skipped. Null texts count as
-    empty."""
-    order = Window.partitionBy(*keys).orderBy("line_no")
-    plain = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))
-    read = lines.select(F.struct("*").alias("line_"), *keys, "line_no", plain(F.col("text")).alias("text_"))
-    read = read.withColumns({f"next_{i}": F.lead("text_", i).over(order) for i in (1, 2, 3)})
-    signs = _signs(kind)
-    if kind == "efriends":  # a date, with the visit's purpose or its writer beside it or in the next two lines
-        beside = "(?i)purpose of visit\\s*:|record user\\s*:"
-        near = F.col("text_").rlike(beside) | F.coalesce(F.col("next_1").rlike(beside), F.lit(False)) | F.coalesce(F.col("next_2").rlike(beside), F.lit(False))
-        signs["begins"] = signs["begins"] | (F.col("text_").rlike(rf"(?i)^date\s*:\s*{_DATE}\b") & near)
-    used = {r.sign.removeprefix("not ") for r in rules(kind) if r.sign}
-    shown = read.withColumns({n: c for n, c in signs.items() if n in used})
-    moves, buckets = _told(kind)
-    told = shown.select("line_", *keys, "line_no", moves.alias("moves_"), buckets.alias("buckets_"))
-    found = states_before(told, list(keys), ["line_no"], F.col("moves_"), len(states_of(kind)))
-    return found.select("line_.*", F.get("buckets_", F.col("state")).alias("bucket"))
+    empty.
+
+    What a line shows is read once, into the bits of a number, before lines are put in order, and lines know of the next ones by
+    their bits; so nothing is sorted but the lines as they came, with that number."""
+    read = lines.withColumn("text_", F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)\s+", " ")))  # as it is asked many times
+    signs = _signs(kind, F.col("text_"))
+    bits = reduce(Column.bitwiseOR, (F.when(signs[n], 1 << i).otherwise(0) for i, n in enumerate(_names(kind))))
+    read = read.withColumn("bits_", bits).drop("text_")
+    if kind in AHEAD:
+        order = Window.partitionBy(*keys).orderBy("line_no")
+        read = read.withColumn("ahead_", reduce(Column.bitwiseOR, (F.lead("bits_", i + 1, 0).over(order) for i in range(AHEAD[kind][1]))))
+    moves, buckets = _told(kind, _shown(kind))
+    found = states_before(read, list(keys), ["line_no"], moves, len(states_of(kind)), name="state_")
+    return found.select(*lines.columns, F.get(buckets, F.col("state_")).alias("bucket"))
