@@ -42,3 +42,25 @@ def test_lines_of_mixed_pages(spark):
         bands |= {(*key, i + 1): t for i, t in enumerate(t for t in shown if t)}
     found = lambda df: {(x["doc_id"], x["page"], x["line_no"]): x["text"] for x in df.collect()}
     assert found(textlayers.stream_lines(items)) == streams and found(textlayers.band_lines(items)) == bands
+
+
+@pytest.mark.parametrize("name", ["SRC-20", "SRC-20-bands"])
+def test_items_are_not_asked_for_one_by_one(spark, name):
+    plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "lambdafunction" not in plan and "MapInArrow" in plan
+
+
+def test_odd_items(spark):
+    """Items that share a place in all but their texts, texts that are null or blank, heights and places that are no numbers, and
+    pages of which nothing is shown."""
+    nan, rows = float("nan"), []
+    rows += [(1, 0, 0, 5.0, 10.0, 1.0, 10.0, t) for t in ("b", None, "a", "\u3000")]  # one number, one place
+    rows += [(2, None, 0, 0.0, 1.0, 1.0, 10.0, "no page"), (2, None, 1, 0.0, -0.0, 1.0, 10.0, "zero"), (2, None, 2, 9.0, 0.0, 1.0, 10.0, "again")]
+    rows += [(3, 0, 0, nan, nan, 1.0, 10.0, "x"), (3, 0, 1, 1.0, nan, 1.0, 10.0, "first\x1c\u00a0"), (3, 0, 2, 0.0, 5.0, 1.0, 10.0, "below")]
+    rows += [(4, 0, 0, 0.0, 1.0, 1.0, 10.0, "\u2003 "), (4, 0, 1, 0.0, 2.0, 1.0, 10.0, None), (5, 0, 0, 0.0, None, 1.0, 10.0, "nowhere")]
+    rows += [(6, 0, None, 3.0, 1.0, None, None, "2"), (6, 0, 7, None, 1.0, 1.0, 10.0, "1")]
+    items = spark.createDataFrame(rows, "doc_id int, page int, seq int, x double, y double, width double, size double, text string")
+    found = lambda df: sorted((x["doc_id"], x["page"], x["line_no"], x["text"]) for x in df.collect())
+    shown = [(1, 0, 1, "ab"), (2, None, 1, "no page"), (2, None, 2, "zero again"), (3, 0, 1, "first\x1c\u00a0 x"), (3, 0, 2, "below"), (6, 0, 1, "12")]
+    assert found(textlayers.stream_lines(items)) == shown
+    assert found(textlayers.stream_lines(items.limit(0))) == found(textlayers.band_lines(items.limit(0))) == []

@@ -444,7 +444,7 @@ _GAP = "case when 100 * c - lag(ends) over (partition by doc_id, page, {g} order
 def _layer(spark, sf):
     """The items of LAYER. Texts are dealt by document before they are taken apart, so that items, which take many times the room, need
     not be dealt by page."""
-    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda x: x != "")
+    words = F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), "")
     dealt = table(spark, sf, "documents").select("doc_id", "text").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
     rows = dealt.select("doc_id", F.posexplode(words).alias("i", "text"))
     line, c = F.floor(F.col("i") / 8), F.col("i") % 8
