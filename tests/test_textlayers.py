@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
 from tidewell.plans import registry
@@ -50,6 +51,17 @@ def test_items_are_not_asked_for_one_by_one(spark, name):
     assert "lambdafunction" not in plan and "MapInArrow" in plan
 
 
+@pytest.mark.parametrize("most", [1, 50])
+def test_pages_are_worked_on_in_shares(most, monkeypatch):
+    """The pages of a batch in shares of few items, and pages of more items than a share has."""
+    monkeypatch.setattr(textlayers, "ITEMS", most)
+    item = {"seq": 0, "height": 1.0, "x": 0.0, "width": 5.0, "size": 10.0, "text": "w"}
+    pages = [{"doc_id": d, "page": 0, "items": [item | {"seq": i, "height": float(-i), "text": f"{d}-{i}"} for i in range(n)]} for d, n in enumerate([3, 0, 60, 1, 49, 2])]
+    found = [r for b in textlayers.in_shares([pa.RecordBatch.from_pylist(pages).slice(1), pa.RecordBatch.from_pylist(pages[:1])], True, False) for r in b.to_pylist()]
+    shown = [(p["doc_id"], i + 1, x["text"]) for p in pages[1:] + pages[:1] for i, x in enumerate(p["items"])]
+    assert [(r["doc_id"], r["line_no"], r["text"]) for r in found] == shown
+
+
 def test_odd_items(spark):
     """Items that share a place in all but their texts, texts that are null or blank, heights and places that are no numbers, and
     pages of which nothing is shown."""

@@ -5,7 +5,7 @@ bands, joined in order of x, and numbered from the top."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 PAGE = ("doc_id", "page")
+#: Items that are worked on at once, or a page's if these are more
+ITEMS = 1 << 17
 #: What Unicode calls white space
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
@@ -83,19 +85,26 @@ def _page_lines(pages: pa.RecordBatch, drawn: bool, both_ends: bool) -> pa.Recor
     return pa.RecordBatch.from_arrays([pages.column(0).take(at), pages.column(1).take(at), pa.array(n, pa.int32()), lines.take(pa.array(shown[down]))], [*PAGE, "line_no", "text"])
 
 
+def in_shares(batches: Iterable[pa.RecordBatch], drawn: bool, both_ends: bool) -> Iterator[pa.RecordBatch]:
+    """The lines of batches of pages, of so many pages at once that memory is that of ITEMS items, or of one page."""
+    for batch in batches:
+        ends, begin = batch.column(2).offsets.to_numpy(), 0
+        while begin < batch.num_rows:
+            end = max(begin + 1, int(np.searchsorted(ends, ends[begin] + ITEMS, "right")) - 1)
+            if (found := _page_lines(batch.slice(begin, end - begin), drawn, both_ends)) is not None:
+                yield found
+            begin = end
+
+
 def _lines(items: DataFrame, height: Column, drawn: bool, both_ends: bool) -> DataFrame:
     """Items (as _placed gives them) as numbered lines: neighbours of one height, in the order in which they were drawn or from below.
 
-    A page's items are gathered once, as an array, so an item moves no more than once; what is done to them is done to the pages of
-    an Arrow batch at once, and no item is asked for by itself."""
+    A page's items are gathered once, as an array, so an item moves no more than once; what is done to them is done to many
+    pages of an Arrow batch at once, and no item is asked for by itself."""
     made = items.select(*PAGE, F.struct("seq", height.alias("height"), "x", "width", "size", "text").alias("item"))  # here in generated code, which collect_list is not
     pages = made.groupBy(*PAGE).agg(F.collect_list("item").alias("items"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if (found := _page_lines(batch, drawn, both_ends)) is not None:
-                yield found
-
+    run = lambda batches: in_shares(batches, drawn, both_ends)
     kinds = [made.schema[c] for c in PAGE]
     return pages.mapInArrow(run, StructType([*kinds, StructField("line_no", IntegerType()), StructField("text", StringType())]))
 
