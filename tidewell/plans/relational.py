@@ -204,8 +204,8 @@ def alike_sets(spark, sf):
 def alike_sets_of_one_name(spark, sf):
     """All customers under one name, so nothing but their sets tells which of them are alike."""
     sets = table(spark, sf, "orders").groupBy("o_custkey").agg(F.collect_set(F.concat(F.lit("t"), F.col("o_orderkey") % 41)).alias("members")).withColumn("owner", F.lit("owner"))
-    found = similarity.similar_rows(sets.withColumnRenamed("o_custkey", "one"), sets.withColumnRenamed("o_custkey", "other"), "members", ["owner"], 0.5)
-    return found.where("one < other").select("one", "other", F.col("similarity").alias("likeness"))
+    found = similarity.similar_pairs(sets, "o_custkey", "members", ["owner"], 0.5)
+    return found.select("one", "other", F.col("similarity").alias("likeness"))
 
 
 @query("JN-27", """with s as (select o_orderkey, o_orderdate, '010-' || lpad((o_custkey % 700)::varchar, 4, '0') as digits from orders where o_orderstatus = 'F'),
