@@ -89,16 +89,15 @@ def _least_shared(n: np.ndarray, m: int, least: float) -> np.ndarray:
     return tried[np.arange(len(n)), (tried / np.maximum((n + m)[:, None] - tried, 1) >= least).argmax(axis=1)]
 
 
-def _sums(held: np.ndarray, asked: np.ndarray, start: list[np.ndarray], free: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-    """For each row of `asked` (places in held) and each bit of its words: the start, a number in len(start) planes of bits, and
-    one for each place that has the bit. Returns the planes of the sum and what it carries beyond them.
+def _sums(held: np.ndarray, asked: np.ndarray, free: list[np.ndarray]) -> list[np.ndarray]:
+    """For each row of `asked` (places in held) and each bit of its words, how many of the places have the bit, in planes of bits.
 
     Bits of 64 sets are added in one go: three planes of equal weight become their sum and a carry of twice that weight."""
-    planes = [[] for _ in range(len(start) + 1)]
+    planes = [[] for _ in range(asked.shape[1].bit_length())]
 
     def add(at: int, plane: np.ndarray) -> None:
         planes[at].append(plane)
-        if len(planes[at]) < 3 or at == len(start):
+        if len(planes[at]) < 3:
             return
         (x, y, z), t = planes[at], free.pop()
         np.bitwise_xor(x, y, out=t)
@@ -110,15 +109,11 @@ def _sums(held: np.ndarray, asked: np.ndarray, start: list[np.ndarray], free: li
         planes[at] = [z]
         add(at + 1, y)
 
-    for at, plane in enumerate(start):
-        own = free.pop()
-        np.copyto(own, plane)
-        add(at, own)
     for k in range(asked.shape[1]):
         own = free.pop()
         np.take(held, asked[:, k], axis=0, out=own, mode="clip")
         add(0, own)
-    for at in range(len(start)):
+    for at in range(len(planes)):
         if len(planes[at]) == 2:
             (x, y), t = planes[at], free.pop()
             np.bitwise_and(x, y, out=t)
@@ -126,11 +121,17 @@ def _sums(held: np.ndarray, asked: np.ndarray, start: list[np.ndarray], free: li
             free.append(y)
             planes[at] = [x]
             add(at + 1, t)
-    beyond, *more = planes[-1]
-    for plane in more:
-        np.bitwise_or(beyond, plane, out=beyond)
-    free.extend(more)
-    return [p[0] for p in planes[:-1]], beyond
+    return [p[0] for p in planes]
+
+
+def _reached(planes: list[np.ndarray], need: np.ndarray, out: np.ndarray) -> None:
+    """out: the bits of which the number in planes is that of their word in need, or more. Words of one need stand together."""
+    for begin, end in zip(cuts := [0, *(np.flatnonzero(np.diff(need)) + 1)], [*cuts[1:], len(need)]):
+        least, part = int(need[begin]), out[:, begin:end]
+        lowest = (least & -least).bit_length() - 1
+        part[...] = planes[lowest][:, begin:end]
+        for k in range(lowest + 1, len(planes)):
+            (np.bitwise_and if least >> k & 1 else np.bitwise_or)(part, planes[k][:, begin:end], out=part)
 
 
 def _shared(left: pa.Array, right: pa.Array, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -171,29 +172,29 @@ def _shared(left: pa.Array, right: pa.Array, least: float) -> Iterator[tuple[np.
                 continue
             lo, hi, depth = int(fit[0]), int(fit[-1]) + 1, m.bit_length()
             held, need, n = np.ascontiguousarray(columns[:, lo:hi]), np.minimum(need[lo:hi], m), size[lo:hi]
-            # The sum goes beyond its planes from the least number on that must be shared
-            planes = [np.where(((1 << depth) - need) >> k & 1, ~np.uint64(0), np.uint64(0)) for k in range(depth)]
             rows = asked[start : start + m * count].reshape(count, m)
             many, free, found, n_found = max(SLICE * COLUMNS // (hi - lo), 1), [], [], 0
             for k in range(0, count, many):
                 part = rows[k : k + many]
                 if not free or free[0].shape[0] != len(part):
-                    free = [np.empty((len(part), hi - lo), "uint64") for _ in range(3 * depth + 6)]
-                sums, beyond = _sums(held, part, planes, free)
-                hit = np.flatnonzero(beyond.ravel() != 0)
-                found.append((k + hit // (hi - lo), hit % (hi - lo), beyond.ravel()[hit], np.stack([s.ravel()[hit] for s in sums])))
-                free.extend((*sums, beyond))
+                    free = [np.empty((len(part), hi - lo), "uint64") for _ in range(3 * depth + 3)]
+                sums, reached = _sums(held, part, free), free.pop()
+                _reached(sums, need, reached)
+                hit = np.flatnonzero(reached.ravel() != 0)
+                found.append((k + hit // (hi - lo), hit % (hi - lo), reached.ravel()[hit], np.stack([s.ravel()[hit] for s in sums])))
+                free.extend((*sums, reached))
                 n_found += len(hit)
                 if n_found < TOLD and k + many < count:
                     continue
-                r, word, beyond, sums = (np.concatenate(f, axis=-1) for f in zip(*found))
+                r, word, reached, sums = (np.concatenate(f, axis=-1) for f in zip(*found))
                 found, n_found = [], 0
-                at = np.flatnonzero(np.unpackbits(beyond.view("uint8"), bitorder="little").view("bool"))
-                bit, r, word, sums = (at % 64).astype("uint64"), r[at // 64], word[at // 64], sums[:, at // 64]
-                both = need[word] + ((sums >> bit & np.uint64(1)).astype("int64") << np.arange(depth)[:, None]).sum(axis=0)
-                similarity = both / (n[word] + m - both)
-                fits = similarity >= least
-                yield place[(first + lo + word) * 64 + at % 64][fits], turn[begin + r][fits], similarity[fits]
+                hits = np.flatnonzero(np.unpackbits(reached.view("uint8"), bitorder="little").view("bool"))
+                for part in np.split(hits, range(TOLD, len(hits), TOLD)):
+                    at, bit = part // 64, part % 64
+                    both = ((sums[:, at] >> bit.astype("uint64") & np.uint64(1)).astype("int64") << np.arange(depth)[:, None]).sum(axis=0)
+                    similarity = both / (n[word[at]] + m - both)
+                    fits = similarity >= least
+                    yield place[(first + lo + word[at]) * 64 + bit][fits], turn[begin + r[at]][fits], similarity[fits]
 
 
 def _by_set(block: pa.RecordBatch) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray]:
@@ -206,9 +207,9 @@ def _alike(left: pa.RecordBatch, right: pa.RecordBatch | None, least: float) ->
     """(keys of left, keys of right, similarity) of the pairs of rows of two blocks that are alike; without a right block those
     of the left one, each pair once and no row with itself. Equal sets are compared once."""
     l_sets, l_keys, l_first, l_copies = _by_set(left)
-    r_sets, r_keys, r_first, r_copies = _by_set(right) if right else (l_sets, l_keys, l_first, l_copies)
+    r_sets, r_keys, r_first, r_copies = _by_set(right) if right is not None else (l_sets, l_keys, l_first, l_copies)
     for l, r, similarity in _shared(l_sets, r_sets, least):  # noqa: E741
-        if not right:
+        if right is None:
             l, r, similarity = l[l <= r], r[l <= r], similarity[l <= r]  # noqa: E741
         ends = np.cumsum(l_copies[l] * r_copies[r])
         for begin in range(0, int(ends[-1]) if len(ends) else 0, TOLD):
@@ -216,7 +217,7 @@ def _alike(left: pa.RecordBatch, right: pa.RecordBatch | None, least: float) ->
             at = np.searchsorted(ends, pair, side="right")
             back, copies = ends[at] - 1 - pair, r_copies[r[at]]
             x, y, told = l_first[l[at]] + back // copies, r_first[r[at]] + back % copies, similarity[at]
-            if not right:
+            if right is None:
                 once = (l[at] != r[at]) | (x < y)
                 x, y, told = x[once], y[once], told[once]
             yield l_keys.take(pa.array(x)), r_keys.take(pa.array(y)), pa.array(told)
@@ -232,15 +233,20 @@ def _crowded_pairs(rows: DataFrame, crowds: DataFrame, by: list[str], least: flo
     own = lambda n: F.pmod(F.xxhash64("id_", F.when(parts > 1, F.pmod(F.xxhash64("key_"), parts))), F.col(n)).cast("int")
     rows = rows.join(crowds, by)
     met, columns = ["crowd_", "l_at_", "r_at_"], ["id_", "key_", "ranked_"]
+    kept = ["r_blocks_", *columns]
     if same:
-        met_all = rows.select("crowd_", *columns, own("l_blocks_").alias("own_"), every("l_blocks_").alias("other_"))
-        dealt = met_all.select("crowd_", F.least("own_", "other_").alias("l_at_"), F.greatest("own_", "other_").alias("r_at_"), (F.col("other_") < F.col("own_")).cast("int").alias("is_r_"), *columns)
+        each = rows.select("crowd_", *kept, own("l_blocks_").alias("own_"), every("l_blocks_").alias("other_"))
+        dealt = each.select("crowd_", F.least("own_", "other_").alias("l_at_"), F.greatest("own_", "other_").alias("r_at_"), (F.col("other_") < F.col("own_")).cast("int").alias("is_r_"), *kept)
     else:
-        l = rows.where(_of("l")).select("crowd_", own("l_blocks_").alias("l_at_"), every("r_blocks_").alias("r_at_"), F.lit(0).alias("is_r_"), *columns)  # noqa: E741
-        r = rows.where(_of("r")).select("crowd_", every("l_blocks_").alias("l_at_"), own("r_blocks_").alias("r_at_"), F.lit(1).alias("is_r_"), *columns)
+        l = rows.where(_of("l")).select("crowd_", own("l_blocks_").alias("l_at_"), every("r_blocks_").alias("r_at_"), F.lit(0).alias("is_r_"), *kept)  # noqa: E741
+        r = rows.where(_of("r")).select("crowd_", every("l_blocks_").alias("l_at_"), own("r_blocks_").alias("r_at_"), F.lit(1).alias("is_r_"), *kept)
         dealt = l.unionByName(r)
-    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(tasks, *met).sortWithinPartitions(*met, "is_r_")
+    n = F.col("l_blocks_").cast("long")
+    meetings = crowds.agg(F.sum(n * (n + 1) / 2 if same else n * F.col("r_blocks_"))).first()[0] or 1
+    # Some pairs of blocks to a task, as many to each; by their own number, as hashes would leave some tasks with many more
+    tasks = int(min(meetings, 8 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    turn = F.xxhash64("crowd_") % tasks + (F.col("r_at_") * (F.col("r_at_") + 1) / 2 + F.col("l_at_") if same else F.col("l_at_") * F.col("r_blocks_") + F.col("r_at_"))
+    dealt = dealt.repartitionById(tasks, F.pmod(turn.cast("long"), F.lit(tasks)).cast("int")).sortWithinPartitions(*met, "is_r_").select(*met, "is_r_", *columns)
 
     def compared(at: tuple[int, int, int], sides: tuple[list, list]) -> Iterator[pa.RecordBatch]:
         if not sides[0] or not (sides[1] or same and at[1] == at[2]):
