@@ -101,15 +101,15 @@ def test_pairs_of_one_table_are_told_once(spark, monkeypatch, crowd, block):
 
 
 def test_many_sets_of_common_members_are_compared_at_little_cost():
-    """400 million pairs; 170 ns a pair, as products of matrices took in JN-26-one-name, would be 68 s."""
+    """400 million pairs; products of matrices took 11 ns of CPU a pair, 4.4 s."""
     r = random.Random(6)
     sets = pa.array([sorted(r.sample(range(41), r.randint(5, 13))) for _ in range(20_000)], pa.list_(pa.int64()))
-    began, found = time.process_time(), 0
-    for left, right, alike in similarity._shared(sets, sets, 0.5):
-        found += len(left)
-        for a, b, x in list(zip(left.tolist(), right.tolist(), alike.tolist()))[::1000]:
-            assert x == likeness([str(m) for m in sets[a].as_py()], [str(m) for m in sets[b].as_py()]) >= 0.5
-    assert found > 20_000 and time.process_time() - began < 12
+    began = time.process_time()
+    found = list(similarity._shared(sets, sets, 0.5))
+    took = time.process_time() - began
+    for a, b, x in [x for part in found for x in zip(*(p.tolist() for p in part))][::1000]:
+        assert x == likeness([str(m) for m in sets[a].as_py()], [str(m) for m in sets[b].as_py()]) >= 0.5
+    assert sum(len(part[0]) for part in found) > 20_000 and took < 2.5, took
 
 
 def test_comparing_is_exact_for_odd_sizes_and_bounds(monkeypatch):
