@@ -57,7 +57,7 @@ def _crowds(ranked: DataFrame, by: list[str], least: float) -> DataFrame:
     held = [_prefixes(ranked, by, least, s).groupBy(*by, "member_").agg(F.count("*").cast("double").alias(f"{s}_held")) for s in "lr"]
     met = held[0].join(held[1], [*by, "member_"]).groupBy(*by).agg(F.sum(F.col("l_held") * F.col("r_held")).alias("met_"))
     pairs = F.col("l_sets").cast("double") * F.col("r_sets")
-    blocks = [F.greatest(F.ceil(F.col(f"{s}_members") / BLOCK), F.least(F.lit(16), F.ceil(F.col(f"{s}_sets") / 256))).cast("int").alias(f"{s}_blocks_") for s in "lr"]
+    blocks = [F.greatest(F.ceil(F.col(f"{s}_members") / BLOCK), F.least(F.lit(16), F.ceil(F.col(f"{s}_sets") / 4096))).cast("int").alias(f"{s}_blocks_") for s in "lr"]
     crowded = ranked.groupBy(*by).agg(*sides).join(met, by).where((pairs >= CROWD) & (F.col("met_") > pairs * COST))
     return written(crowded.select(*by, F.monotonically_increasing_id().alias("crowd_"), *blocks))
 
